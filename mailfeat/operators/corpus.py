@@ -45,7 +45,9 @@ def with_terms(df: DataFrame, params: BodyParams = BodyParams(), clean_col: str
 def doc_term_rows(df: DataFrame, keys=("dataset", "msg_id"), extra=()) -> DataFrame:
     """Long form (keys..., term, tf) from the in-row counts."""
     cols = [F.col(k) for k in (*keys, *extra)]
-    return df.select(*cols, F.explode("terms").alias("x")).select(
+    # explode_outer + null filter: plain explode makes the optimizer infer a
+    # size(terms) > 0 filter and push the whole n-gram expression into the scan.
+    return df.select(*cols, F.explode_outer("terms").alias("x")).where(F.col("x").isNotNull()).select(
         *[F.col(k) for k in (*keys, *extra)], F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import add_term_counts, clean_text, vector_tokens, word_ngrams
 from ..operators import corpus as V
-from ..sources.tables import labelled_documents, table
+from ..sources.tables import labelled_documents, table, text_table
 from .sqltext import sql_clean, sql_ngrams, sql_vector_tokens
 
 R = 6  # decimals kept in float outputs
@@ -20,17 +20,17 @@ def _labelled_terms(spark, sf_dir, params=V.BodyParams()):
 
 
 def q_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", clean_text(F.col("text")).alias("clean"))
 
 
 def q_text_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = text_table(spark, sf_dir, "pages", "page_id")
     return p.select("page_id", clean_text(F.concat_ws(" ", "url", "html")).alias("clean"))
 
 
 def q_tokens_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("clean"))
+    d = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", clean_text(F.col("text")).alias("clean"))
     d = d.withColumn("toks", vector_tokens(F.col("clean")))
     d = d.withColumn("ngrams", word_ngrams(F.col("toks")))
     d = add_term_counts(d, "ngrams")
@@ -84,7 +84,7 @@ def q_tfidf_transform_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _labelled_terms(spark, sf_dir)
     vocab = V.fit_vocabulary(docs)
     lab = table(spark, sf_dir, "labels").select("doc_id")
-    unseen = table(spark, sf_dir, "documents").join(lab, "doc_id", "left_anti").select(
+    unseen = text_table(spark, sf_dir, "documents", "doc_id").join(lab, "doc_id", "left_anti").select(
         F.col("doc_id").alias("msg_id"),
         F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("dataset"),
         F.coalesce(F.col("text"), F.lit("")).alias("body_text"))

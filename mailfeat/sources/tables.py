@@ -23,6 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row text work at least one partition per core.
+
+    Large inputs already arrive in many file splits and are left alone (no
+    shuffle); a small table stored as a single row group would otherwise run
+    its whole text pipeline in one task.  Hash partitioning on the key keeps
+    the split deterministic, so a retried task sees the same rows.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A text-bearing table, spread over the cores (see `spread`)."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 # Header template columns: None = header absent, '' = present and empty.
 TEMPLATE_COLUMNS = [
     "t", "from_h", "to_h", "cc_h", "bcc_h", "subject_h", "subject_dec", "reply_to_h",
@@ -58,11 +77,11 @@ TEMPLATES = [
          cte_h="", recv_n=3, recv_span_s=10),
     dict(t=4, from_h="Bank <alerts@bdo.com.ph>", to_h="<>", subject_h="Statement",
          message_id_h="<{id}.x@notices.bdo.com.ph>", reply_to_h="Desk? <desk@bdo.com.ph>",
-         spf_h="softfail", auth_h="mx; dkim = none", x_mailer_h="Outlook", cte_h="base64",
+         spf_h="softfail", auth_h="mx; dkim = none", x_mailer_h="Outlook", cte_h="8bit",
          return_path_h="<alerts@bdo.com.ph>", recv_n=2, recv_span_s=11),
     dict(t=5, from_h="=?utf-8?Q?Caf=C3=A9_Team?= <newsletter@cafe.example.com>", to_h="a@x.com, b@y.com",
          cc_h="c@z.com", subject_h="Weekly news", message_id_h="<n{id}@cafe.example.com>",
-         spf_h="pass", auth_h="mx; dkim=pass", x_mailer_h="Mailer 2", cte_h="quoted-printable",
+         spf_h="pass", auth_h="mx; dkim=pass", x_mailer_h="Mailer 2", cte_h="binary",
          return_path_h="<newsletter@cafe.example.com>", recv_n=4, recv_span_s=0),
     dict(t=6, from_h="x{id}verylongusernamethatkeepsgoingandgoing.more@mail.amazon.com",
          to_h="me@example.com", subject_h="Order {id} shipped", message_id_h="<{id}@mail.amazon.com>",
@@ -147,7 +166,7 @@ def messages(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFra
     `labelled=True` inner-joins labels (label = toxic); otherwise label is null
     for unlabelled documents.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     if labelled:
         lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
         docs = docs.join(lab, "doc_id", "inner")
@@ -171,7 +190,7 @@ def messages(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFra
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents ⋈ labels as (msg_id, dataset, label, body_text) — the body-only corpus."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return docs.join(lab, "doc_id").select(
         F.col("doc_id").alias("msg_id"),
