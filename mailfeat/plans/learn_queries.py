@@ -10,6 +10,7 @@ from ..operators import assemble as M
 from ..operators import corpus as V
 from ..operators import headers as H
 from ..operators import learn as L
+from ..session import checkpoint_dir
 from ..sources.tables import labelled_documents, messages
 from . import header_queries as HQ
 from . import text_queries as TQ
@@ -83,13 +84,18 @@ def fusion_frame(spark: SparkSession, sf_dir: str, params: V.BodyParams = V.Body
     return L.with_class_weight(M.assemble(hs, body))
 
 
-def _oof(spark, sf, classifier, condition="fusion"):
+# Driver queries use the reference's quick-run fold count; the library default is CV_FOLDS.
+OOF_FOLDS = 3
+
+
+def _oof(spark, sf, classifier, condition="fusion", k=OOF_FOLDS):
+    checkpoint_dir(spark)
     fr = fusion_frame(spark, sf)
-    folds = L.stratified_folds(fr.select("msg_id", "dataset", "label"), CV_FOLDS).select("msg_id", "fold")
-    fr = fr.join(folds, "msg_id").cache()
+    folds = L.stratified_folds(fr.select("msg_id", "dataset", "label"), k).select("msg_id", "fold")
+    fr = fr.join(folds, "msg_id").checkpoint()  # one materialised input for all fits
     out = None
     for ds in sorted(r[0] for r in fr.select("dataset").distinct().collect()):  # a handful of datasets
-        s = L.oof_scores(fr.where(F.col("dataset") == ds), f"{condition}_vec", classifier, CV_FOLDS, RANDOM_SEED)
+        s = L.oof_scores(fr.where(F.col("dataset") == ds), f"{condition}_vec", classifier, k, RANDOM_SEED)
         s = s.select(F.lit(ds).alias("dataset"), F.lit(condition).alias("condition"),
                      F.lit(classifier).alias("classifier"), "*")
         out = s if out is None else out.unionByName(s)
