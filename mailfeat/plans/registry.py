@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import header_queries, learn_queries, metric_queries, report_queries, text_queries
+from . import header_queries, learn_queries, metric_queries, report_queries, stream_queries, text_queries
 
 QUERIES = {}
 ORACLE = {}
-for mod in (text_queries, metric_queries, header_queries, learn_queries, report_queries):
+for mod in (text_queries, metric_queries, header_queries, learn_queries, report_queries, stream_queries):
     QUERIES.update(mod.QUERIES)
     ORACLE.update(mod.ORACLE)
 

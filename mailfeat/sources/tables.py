@@ -173,6 +173,11 @@ def messages(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFra
     else:
         lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
         docs = docs.join(lab, "doc_id", "left")
+    return build_raw(spark, docs)
+
+
+def build_raw(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, text, label) -> (msg_id, dataset, label, raw); works on streams too."""
     tpl = F.broadcast(templates_df(spark))  # 16 rows: fixed size
     m = docs.withColumn("t", (F.col("doc_id") % 16).cast("int")).join(tpl, "t")
     raw = F.concat(
