@@ -80,7 +80,7 @@ def auc_roc(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(
         F.sum(area.cast("double")).alias("_a"), F.first("P").alias("P"), F.first("N").alias("N")
     ).select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                           F.col("_a") / (2.0 * F.col("P") * F.col("N"))).alias("auc_roc"))
+                           F.try_divide(F.col("_a"), 2.0 * F.col("P") * F.col("N"))).alias("auc_roc"))
 
 
 def average_precision(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,7 +88,7 @@ def average_precision(points: DataFrame, keys: list[str]) -> DataFrame:
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     return points.groupBy(*keys).agg(
         F.sum(F.col("n_pos") * prec).alias("_s"), F.first("P").alias("P")
-    ).select(*keys, F.when(F.col("P") > 0, F.col("_s") / F.col("P")).alias("pr_auc"))
+    ).select(*keys, F.when(F.col("P") > 0, F.try_divide(F.col("_s"), F.col("P"))).alias("pr_auc"))
 
 
 def roc_points(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,8 +103,8 @@ def roc_points(points: DataFrame, keys: list[str]) -> DataFrame:
     same = (F.col("nx_pos") == F.col("n_pos")) & (F.col("nx_neg") == F.col("n_neg"))
     kept = j.where(~(interior & same))
     pts = kept.select(*keys, "point", F.col("score").alias("threshold"),
-                      (F.col("cum_neg") / F.col("N")).alias("fpr"),
-                      (F.col("cum_pos") / F.col("P")).alias("tpr"))
+                      F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
+                      F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
     start = points.select(*keys).distinct().select(
         *keys, F.lit(0).cast("long").alias("point"), F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -121,7 +121,7 @@ def fpr_at_tpr(roc: DataFrame, keys: list[str], target: float = TARGET_TPR) -> D
 def pr_curve(points: DataFrame, keys: list[str]) -> DataFrame:
     """E11 points: (recall, precision) per threshold, plus the final (0, 1)."""
     pts = points.select(*keys, "point", F.col("score").alias("threshold"),
-                        (F.col("cum_pos") / F.col("P")).alias("recall"),
+                        F.try_divide(F.col("cum_pos"), F.col("P")).alias("recall"),
                         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"))
     end = points.select(*keys).distinct().select(
         *keys, F.lit(0).cast("long").alias("point"), F.lit(None).cast("double").alias("threshold"),
@@ -135,7 +135,7 @@ def pr_trapezoid(points: DataFrame, keys: list[str]) -> DataFrame:
     prev_all = prev_pos + F.col("cum_neg") - F.col("n_neg")
     prev_prec = F.when(prev_all == 0, F.lit(1.0)).otherwise(prev_pos / prev_all)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    area = F.col("n_pos") / F.col("P") * (prec + prev_prec) / 2.0
+    area = F.try_divide(F.col("n_pos"), F.col("P")) * (prec + prev_prec) / 2.0
     return points.groupBy(*keys).agg(F.sum(area).alias("_a"), F.first("P").alias("P")).select(
         *keys, F.when(F.col("P") > 0, F.col("_a")).alias("pr_trapezoid"))
 
