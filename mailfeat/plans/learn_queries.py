@@ -73,15 +73,8 @@ def q_body_scale(spark, sf):
 def fusion_frame(spark: SparkSession, sf_dir: str, params: V.BodyParams = V.BodyParams()) -> DataFrame:
     """CV-flow assembly on all labelled rows (the reference's fit scope):
     dataset, msg_id, label, weight, header_vec, body_vec, fusion_vec."""
-    ft = labelled_features(spark, sf_dir).cache()
-    hs = M.scale_headers(ft, M.header_stats(ft))
-    docs = V.with_terms(V.with_clean(ft.select("dataset", "msg_id", "label", "body_text")), params)
-    vocab = V.fit_vocabulary(docs, params).cache()
-    long = V.transform_long(docs, vocab)
-    scale = M.body_scale(long, V.corpus_size(docs))
-    vsize = vocab.groupBy("dataset").agg(F.count(F.lit(1)).alias("vocab_size"))
-    body = M.body_vectors(long, scale, vsize, docs)
-    return L.with_class_weight(M.assemble(hs, body))
+    from .flows import assemble_frame
+    return assemble_frame(labelled_features(spark, sf_dir), params)[0]
 
 
 # Driver queries use the reference's quick-run fold count; the library default is CV_FOLDS.
