@@ -51,6 +51,14 @@ def id_hash(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the third of the documents no model may learn from."""
     return id_hash(doc_id) % 3 == 1

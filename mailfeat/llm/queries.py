@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, quality, urlrep
-from .common import table
+from . import chat, decontam, htmltext, jaccard, langid, mixing, pii, quality, toxicity, urlrep
+from .common import held_out, table
 
 URL_RULES = [urlrep.Rule("block", "net/"), urlrep.Rule("allow", "example.net/en/"), urlrep.Rule("block", "example.com/de/"), urlrep.Rule("allow", "org/fr/")]
 URL_STRENGTH, URL_Z, URL_LIMIT = 8.0, 1.64, 0.3
@@ -75,5 +75,86 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_turns(rows.unionByName(more)))
 
 
-QUERIES = {"op5_url_reputation": op5_url_reputation, "op6_pii_anchors": op6_pii_anchors, "op9_quality_rules": op9_quality_rules, "op10_chat_format": op10_chat_format}
-ORACLE = {"op5_url_reputation": OP5_SQL}
+#: Target weights of the documents' tree; a source's domain goes by its number.
+DOMAINS = ("web", "books", "forum")
+MIX = mixing.Mix(weights={"domain": {"web": 0.5, "books": 0.3, "forum": 0.2}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}, default=0.1, budget_share=0.6, max_epochs=2, seed=17)
+
+
+def source_domain(source: str = "source"):
+    number = F.try_to_number(F.nullif(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("")), F.lit("999999999"))
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), (F.coalesce(number, F.lit(0)) % len(DOMAINS) + 1).cast("int"))
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX, source_domain())
+
+
+def _level_sql(level: int) -> str:
+    """One level of the budgets: children of every parent filled by rising cap/weight."""
+    keys, name = mixing.LEVELS[: level + 1], mixing.LEVELS[level]
+    parent = ", ".join(keys[:-1])
+    over = f"PARTITION BY {parent} " if parent else ""
+    listed = " ".join(f"WHEN '{n}' THEN {w}" for n, w in sorted(MIX.weights.get(name, {}).items()))
+    weight = f"CASE {name} {listed} ELSE {MIX.default} END" if listed else str(MIX.default)
+    cols = ", ".join(keys)
+    source = f"n{level - 1} USING ({parent})" if parent else "total ON true"
+    return f"""
+c{level} AS (SELECT {cols}, sum(leaf_tokens * {MIX.max_epochs})::DOUBLE AS cap, {weight} AS weight FROM leaves GROUP BY {cols}),
+r{level} AS (SELECT *, cap / weight AS ratio FROM c{level} JOIN {source}),
+l{level} AS (SELECT *, (budget - coalesce(sum(cap) OVER ({over}ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER ({over}ORDER BY ratio, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM r{level}),
+m{level} AS (SELECT *, max(CASE WHEN ratio > here THEN here END) OVER ({over}) AS level FROM l{level}),
+n{level} AS (SELECT {cols}, CASE WHEN ratio <= here THEN cap ELSE least(cap, greatest(level * weight, 0)) END AS budget FROM m{level})"""
+
+
+def mixing_sql(source: str) -> str:
+    """The rows of mix_sources over a table or subquery, as DuckDB SQL."""
+    keys = ", ".join(mixing.LEVELS)
+    return f"""
+docs AS (
+  SELECT doc_id, ['{"', '".join(DOMAINS)}'][coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % {len(DOMAINS)} + 1] AS domain,
+         coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens
+  FROM {source}),
+leaves AS (SELECT {keys}, sum(tokens) AS leaf_tokens FROM docs GROUP BY {keys}),
+total AS (SELECT coalesce(sum(leaf_tokens), 0) * {MIX.budget_share} AS budget FROM leaves),
+{",".join(_level_sql(i) for i in range(len(mixing.LEVELS)))},
+plan AS (
+  SELECT *, b // leaf_tokens AS epochs, b - (b // leaf_tokens) * leaf_tokens AS rest
+  FROM (SELECT {keys}, leaf_tokens::BIGINT AS leaf_tokens, floor(budget + 1e-6)::BIGINT AS b FROM leaves JOIN n2 USING ({keys})) WHERE leaf_tokens > 0),
+placed AS (
+  SELECT doc_id, {keys}, tokens, epochs, rest,
+         coalesce(sum(tokens) OVER (PARTITION BY {keys} ORDER BY md5('{MIX.seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs JOIN plan USING ({keys}) WHERE tokens > 0)
+SELECT doc_id, {keys}, tokens, epochs, greatest(least(rest - before, tokens), 0)::BIGINT AS extra_tokens
+FROM placed WHERE epochs > 0 OR rest > before
+"""
+
+
+OP1_SQL = "WITH " + mixing_sql("documents")
+
+
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.detect_language(docs, langid.fit_language(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_jaccard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity_grammar, op3_language_crf, op4_string_tiling, op5_url_reputation, op6_pii_anchors, op7_jaccard_paths, op8_html_blocks, op9_quality_rules, op10_chat_format)}
+ORACLE = {"op1_source_mixing": OP1_SQL, "op5_url_reputation": OP5_SQL}

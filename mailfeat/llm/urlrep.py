@@ -72,19 +72,18 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return rule, verdict
 
 
-def _shrunk(counts: DataFrame, key: str, parents: DataFrame | None, parent_key: str | None, strength: float, root: Column | None = None) -> DataFrame:
-    """Posterior (alpha, beta, mean) of each key from its counts and its parent's mean."""
-    if parents is None:
-        joined, prior = counts, root
-    else:
+def _shrunk(counts: DataFrame, key: str, parents: DataFrame | None, parent_key: str | None, strength: float) -> DataFrame:
+    """Posterior (alpha, beta, mean) of each key from its counts and its parent's mean (or the column prior)."""
+    joined = counts
+    if parents is not None:
         joined = counts.join(parents.select(parent_key, F.col("mean").alias("prior")), parent_key, "left")
-        prior = F.col("prior")
+    prior = F.col("prior")
     a, b = F.lit(strength) * prior + F.col("n_bad"), F.lit(strength) * (F.lit(1.0) - prior) + F.col("n_seen") - F.col("n_bad")
     return joined.withColumn("alpha", a).withColumn("beta", b).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
-def host_reputation(outcomes: DataFrame, strength: float = 8.0) -> dict[str, DataFrame]:
-    """Posteriors by level from (host, bad) rows: tables `host`, `domain`, `suffix`, `all`.
+def host_reputation(outcomes: DataFrame, strength: float = 8.0) -> tuple[dict[str, DataFrame], float]:
+    """Posteriors by level from (host, bad) rows: tables `host`, `domain`, `suffix`; and the global rate.
 
     Pages are summed by host first (partial sums before the one shuffle of
     pages); every further level adds up rows of the level below.
@@ -94,12 +93,12 @@ def host_reputation(outcomes: DataFrame, strength: float = 8.0) -> dict[str, Dat
     both = [F.sum("n_seen").alias("n_seen"), F.sum("n_bad").alias("n_bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*both)
     suffixes = domains.groupBy("suffix").agg(*both)
-    everything = suffixes.agg(*both).select(((F.coalesce("n_bad", F.lit(0)) + 1.0) / (F.coalesce("n_seen", F.lit(0)) + 2.0)).alias("root"))
-    tables = {"all": everything}
-    tables["suffix"] = _shrunk(suffixes.join(F.broadcast(everything)), "suffix", None, None, strength, F.col("root"))
+    seen, bad = suffixes.agg(F.sum("n_seen"), F.sum("n_bad")).first()  # two numbers
+    root = ((bad or 0) + 1.0) / ((seen or 0) + 2.0)
+    tables = {"suffix": _shrunk(suffixes.withColumn("prior", F.lit(root)), "suffix", None, None, strength)}
     tables["domain"] = _shrunk(domains, "domain", tables["suffix"], "suffix", strength)
     tables["host"] = _shrunk(hosts, "bare", tables["domain"], "domain", strength)
-    return tables
+    return tables, root
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], *, page_id: str = "page_id", url: str = "url",
@@ -111,15 +110,15 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], *, page
     looked up once a host and joined back to the pages, a join that Spark can
     split when one host holds many pages.
     """
-    rep = host_reputation(outcomes.select(bare_host(url_host(F.col(url))).alias("bare"), F.col("bad").cast("long").alias("bad"))
+    rep, root = host_reputation(outcomes.select(bare_host(url_host(F.col(url))).alias("bare"), F.col("bad").cast("long").alias("bad"))
                           .where(F.col("bad").isNotNull()), strength)
     page = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     hosts = page.select("host").distinct().withColumn("bare", bare_host(F.col("host")))
     hosts = hosts.withColumn("domain", domain_of(F.col("bare"))).withColumn("suffix", suffix_of(F.col("bare")))
     for level, key in (("host", "bare"), ("domain", "domain"), ("suffix", "suffix")):
         hosts = hosts.join(rep[level].select(key, F.struct("alpha", "beta").alias(f"p_{level}")), key, "left")
-    root = F.struct((F.lit(strength) * F.col("root")).alias("alpha"), (F.lit(strength) * (1 - F.col("root"))).alias("beta"))
-    hosts = hosts.join(F.broadcast(rep["all"])).select("host", F.coalesce("p_host", "p_domain", "p_suffix", root).alias("p"))
+    anyone = F.struct(F.lit(strength * root).alias("alpha"), F.lit(strength * (1 - root)).alias("beta"))
+    hosts = hosts.select("host", F.coalesce("p_host", "p_domain", "p_suffix", anyone).alias("p"))
     a, b = F.col("p.alpha"), F.col("p.beta")
     mean = a / (a + b)
     spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1.0)))
