@@ -7,7 +7,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,7 +15,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 #: Distinct words a Python worker remembers before it starts over.
 WORD_CACHE = 200_000
 #: Rows a Python worker handles at a time; bounds its memory for long texts.
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,20 +108,66 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list[Any]]], dict[str, li
     return df.mapInArrow(run, schema)
 
 
-class WordHasher:
-    """64-bit hashes of words (bytes), remembered within bounds."""
+#: Bytes of a text that are hashed at a time; bounds the tables of powers.
+PIECE = 1 << 20
+_STEP = 0x9E3779B97F4A7C15 | 1
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BLANK_BYTES = [bytes([i]) for i in np.flatnonzero(_BLANK)]
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, limit: int = WORD_CACHE) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.limit = limit
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.limit:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _STEP and of its inverse modulo 2 ** 64, n of each."""
+    if len(_powers[0]) < n:
+        size = max(n, 2 * len(_powers[0]), 4096)
+        for i, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            factors = np.full(size, base % (1 << 64), np.uint64)
+            factors[0] = 1
+            _powers[i] = np.cumprod(factors)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def run_hashes(units: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every maximal run of units that are inside, by sums of powers."""
+    n = len(units)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    up, down = _power_tables(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start]
+    return mix64(h ^ (end - start).astype(np.uint64)), start, end
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of a UTF-8 text, in order."""
+    out = []
+    while len(raw) > PIECE:  # cut at the last blank of the piece, or else after a word that is longer
+        at = max(raw.rfind(c, 0, PIECE) for c in _BLANK_BYTES)
+        if at <= 0:
+            at = min((i for i in (raw.find(c, PIECE) for c in _BLANK_BYTES) if i > 0), default=len(raw))
+        out.append(_hash_piece(raw[:at]))
+        raw = raw[at:]
+    return np.concatenate([*out, _hash_piece(raw)])
+
+
+def _hash_piece(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    return run_hashes(b, ~_BLANK[b])[0]
+
+
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -133,38 +178,26 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for j in range(k):
-            h = h * _MULTIPLIER + words[j : j + n]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of a text as UTF-8 (bytes.split knows just these blanks)."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    h = words[:n]
+    for j in range(1, k):
+        h = h * _MULTIPLIER + words[j : j + n]
+    return mix64(h)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def ridge_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 40, balance: bool = False) -> np.ndarray:
+def ridge_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 40) -> np.ndarray:
     """Weights (last one the intercept, not shrunk) by Newton's method; for few dense features."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    size = np.ones(len(y))
-    if balance and 0 < y.sum() < len(y):
-        size = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     pull = np.full(x.shape[1], l2)
     pull[-1] = 1e-6
     for _ in range(steps):
         p = sigmoid(x @ w)
-        grad = x.T @ (size * (p - y)) + pull * w
-        hess = (x * (size * p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-9)
+        grad = x.T @ (p - y) + pull * w
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-9)
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:

@@ -1,9 +1,8 @@
 """Quality rules: hashed n-gram logistic regression beside a few base counts.
 
-Features of a text are the hashed words, the hashed character n-grams inside
-its words and the hashed word pairs, each family as a share of its own total.
-The model is linear, so a word's part of the score is worked out once a worker
-and remembered; a text is scored with array sums in Arrow batches.  Weights
+Features of a text are its hashed words, character n-grams and word pairs,
+each family as shares of its own total, shrunk where that total is small.  A
+text is scored with array sums in Arrow batches.  Weights
 are fitted on a bounded sample of labelled rows (PER_CLASS rows a label,
 WINDOW characters of each) and calibrated by Platt's method on a part of that
 sample that the weights haven't seen.
@@ -21,14 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, ascii_words, bounded_sample, map_columns, sigmoid, text_window, window_hashes, WordHasher
+from .common import bounded_sample, map_columns, sigmoid, text_window, utf8, window_hashes, word_hashes
 
 #: Labelled rows of each label the model is fitted on, and characters of each.
 PER_CLASS, WINDOW = 800, 2000
 #: Buckets for each feature family.
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 #: A text is kept if P(good) reaches this.
-KEEP_AT = 0.2
+KEEP_AT = 0.1
 REPEAT_WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -52,87 +52,79 @@ def repeated_words(words: np.ndarray, k: int = REPEAT_WINDOW) -> int:
     h = window_hashes(words, k)
     if not len(h):
         return 0
-    _, back, count = np.unique(h, return_inverse=True, return_counts=True)
+    ordered = np.sort(h)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
     edge = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(count[back] > 1)
+    at = np.flatnonzero(np.isin(h, twice))
     np.add.at(edge, at, 1)
     np.add.at(edge, at + k, -1)
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def measure(text: str | None, words: list[bytes], hashes: np.ndarray) -> Measures:
+def measure(text: str | None, hashes: np.ndarray) -> Measures:
     t = text or ""
     lines = [x for x in t.split("\n") if x.strip(_BLANKS)]
-    return Measures(len(words), len(t) - sum(map(t.count, _BLANKS)), sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes))
+    return Measures(len(hashes), len(t) - sum(map(t.count, _BLANKS)), sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes))
+
 
+def _char_grams(text: bytes) -> np.ndarray:
+    """Buckets of the text's character n-grams (1 to 3 bytes of its UTF-8, blanks included)."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint32)
+    parts, gram = [], b
+    for n in range(1, 4):
+        if len(b) < n:
+            break
+        gram = b if n == 1 else gram[:-1] * np.uint32(257) + b[n - 1 :]
+        parts.append(((gram + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS))
+    return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
 
-def _char_grams(word: bytes, sizes: tuple[int, ...] = (1, 2, 3)) -> list[int]:
-    """Buckets of the word's character n-grams; case and marks are told apart."""
-    w = f"^{word.decode('utf-8', 'replace')}$"
-    return [hash_bytes(w[i : i + n].encode()) for n in sizes for i in range(len(w) - n + 1)]
 
+def feature_families(text: str | None, hashes: np.ndarray) -> list[np.ndarray]:
+    """Buckets of the text's words, character n-grams and word pairs."""
+    low = np.uint64(64 - BUCKET_BITS)
+    return [(hashes >> low).astype(np.int64), _char_grams(utf8(text)), (window_hashes(hashes, 2) >> low).astype(np.int64)]
 
-def hash_bytes(b: bytes) -> int:
-    import xxhash
 
-    return xxhash.xxh3_64_intdigest(b) % BUCKETS
+def _trust(n: int) -> float:
+    """How far a share over n things is trusted; few of them say little."""
+    return n / (n + 20.0)
 
 
 @dataclass
 class QualityModel:
     """Weights by family (words, character n-grams, word pairs) and Platt's line."""
 
-    words: np.ndarray
-    chars: np.ndarray
-    pairs: np.ndarray
+    weights: list[np.ndarray]
     scale: float
     shift: float
 
-    def scorer(self):
-        hasher, parts = WordHasher(), {}
-
-        def score(words: list[bytes], hashes: np.ndarray) -> float:
-            if not words:
-                return 0.0
-            if len(parts) > WORD_CACHE:
-                parts.clear()
-            for w in set(words).difference(parts):
-                grams = _char_grams(w)
-                parts[w] = (float(self.words[hash_bytes(w)]), float(self.chars[grams].sum()), len(grams))
-            got = [parts[w] for w in words]
-            z = sum(x[0] for x in got) / len(got) + sum(x[1] for x in got) / sum(x[2] for x in got)
-            pairs = window_hashes(hashes, 2)
-            if len(pairs):
-                z += float(self.pairs[(pairs % np.uint64(BUCKETS)).astype(np.int64)].mean())
-            return z
-
-        return hasher, score
+    def score(self, text: str | None, hashes: np.ndarray) -> float:
+        return sum(float(w[got].mean()) * _trust(len(got)) for w, got in zip(self.weights, feature_families(text, hashes)) if len(got))
 
     def probability(self, z: np.ndarray) -> np.ndarray:
         return sigmoid(self.scale * z + self.shift)
 
 
-def _features(text: str, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(columns, values) of a training text; the families follow one another."""
-    words = ascii_words(text)
-    h = hasher(words)
     cols, vals = [], []
-    for family, got in enumerate(([hash_bytes(w) for w in words], [g for w in words for g in _char_grams(w)], (window_hashes(h, 2) % np.uint64(BUCKETS)).astype(np.int64))):
+    for family, got in enumerate(feature_families(text, word_hashes(utf8(text)))):
         if len(got):
-            c, n = np.unique(np.asarray(got, np.int64), return_counts=True)
+            c, n = np.unique(got, return_counts=True)
             cols.append(c + family * BUCKETS)
-            vals.append(n / n.sum())
+            vals.append(n / n.sum() * _trust(len(got)))
     return (np.concatenate(cols), np.concatenate(vals)) if cols else (np.empty(0, np.int64), np.empty(0))
 
 
 def fit_rows(texts: list[str], labels: list[int], steps: int = 60, rate: float = 4.0, l2: float = 1e-6) -> QualityModel:
     """Weights by AdaGrad on two thirds of the rows, Platt's line on the rest."""
-    empty = QualityModel(*(np.zeros(BUCKETS) for _ in range(3)), 1.0, 5.0)
+    empty = QualityModel([np.zeros(BUCKETS) for _ in range(3)], 1.0, 5.0)
     y = np.asarray(labels, float)
     if not 0 < y.sum() < len(y):
         return empty
-    hasher = WordHasher()
-    got = [_features(t, hasher) for t in texts]
+    got = [_features(t) for t in texts]
     fit = np.arange(len(y)) % 3 != 0
     if not 0 < y[fit].sum() < fit.sum() or not 0 < y[~fit].sum() < (~fit).sum():
         fit[:] = True
@@ -151,7 +143,7 @@ def fit_rows(texts: list[str], labels: list[int], steps: int = 60, rate: float =
     z = np.bincount(row, val * w[col], minlength=len(y))
     held = ~fit if (~fit).any() else fit
     a, c = _platt(z[held], y[held])
-    return QualityModel(w[:BUCKETS], w[BUCKETS : 2 * BUCKETS], w[2 * BUCKETS :], a, c)
+    return QualityModel(list(w.reshape(3, BUCKETS)), a, c)
 
 
 def _platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -183,19 +175,15 @@ def score_quality(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT
     """A row a document: doc_id, the base measures, P(good) and the verdict, then the carried columns."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    held: list = []
 
     def run(cols: dict) -> dict:
-        if not held:
-            held.extend(shared.value.scorer())
-        hasher, score = held
+        model = shared.value
         m, z = [], np.zeros(len(cols["text"]))
         for i, t in enumerate(cols["text"]):
-            words = ascii_words(t)
-            h = hasher(words)
-            m.append(measure(t, words, h))
-            z[i] = score(words, h)
-        p = shared.value.probability(z)
+            h = word_hashes(utf8(t))
+            m.append(measure(t, h))
+            z[i] = model.score(t, h)
+        p = model.probability(z)
         failed = [x.base_failed for x in m]
         out = {k: [getattr(x, k) for x in m] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
         out |= {"doc_id": cols["doc_id"], "base_failed": failed, "p_good": p.tolist(), "kept": [not f and bool(q >= keep_at) for f, q in zip(failed, p)]}
