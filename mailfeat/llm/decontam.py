@@ -9,7 +9,7 @@ marked, again and again down to `least` words, so that passages whose parts
 were put in another order are covered too.  A document is contaminated by an
 item if its tiles cover at least `coverage` of the item's words.
 
-Words are compared without case and punctuation.  Nothing is lost by keeping
+Words are compared without case and ASCII punctuation.  Nothing is lost by keeping
 stretches only: a tile is a common run of at least `least` words, so each of
 its windows is a shared seed.  Documents with equal stretches are tiled once.
 
@@ -26,11 +26,10 @@ import hashlib
 from typing import Any
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, cut, fresh, map_columns, window_hashes
+from .common import cut, fresh, map_columns, utf8, window_hashes, word_hashes
 
 LEAST, COVERAGE = 5, 0.6
 MIN_ITEM = 3
@@ -40,21 +39,14 @@ _PRIME = (1 << 61) - 1
 _BASE = 1_000_003
 
 
-class Words:
-    """Hashes of a text's words without case and punctuation, remembered within bounds."""
+#: ASCII characters that a word is compared without (all but letters, digits and blanks).
+_DROPPED = bytes(c for c in range(128) if not chr(c).isalnum() and chr(c) not in "\t\n\x0b\x0c\r ")
 
-    def __init__(self) -> None:
-        self.seen: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        raw = (text or "").encode("utf-8", "surrogatepass").split()
-        if len(self.seen) > WORD_CACHE:
-            self.seen.clear()
-        for w in set(raw).difference(self.seen):
-            plain = "".join(c for c in w.decode("utf-8", "replace").lower() if c.isalnum())
-            self.seen[w] = (xxhash.xxh3_64_intdigest(plain) >> 1 or 1) if plain else 0
-        h = np.fromiter(map(self.seen.__getitem__, raw), np.uint64, len(raw))
-        return h[h != 0]
+def plain_words(text: str | None) -> np.ndarray:
+    """Hashes of a text's words without case and ASCII punctuation; none is 0, which stands for a gap."""
+    h = word_hashes(utf8((text or "").lower()).translate(None, _DROPPED))
+    return np.maximum(h, np.uint64(1))
 
 
 def greedy_tiles(p: list[int], t: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -116,10 +108,8 @@ def _scan(p: list[int], t: list[int], used_p: list[bool], used_t: list[bool], si
 
 def _seeds_of_items(items: DataFrame, item_id: str, text: str, least: int) -> DataFrame:
     """item_id, words and distinct seeds of each item that is long enough."""
-    words = Words()
-
     def run(cols: dict) -> dict:
-        got = [words(t) for t in cols["text"]]
+        got = [plain_words(t) for t in cols["text"]]
         seeds = [np.unique(window_hashes(w, min(least, max(len(w), 1)))).view(np.int64).tolist() if len(w) >= MIN_ITEM else [] for w in got]
         return {"item_id": cols["item_id"], "n_words": [len(w) for w in got], "words": [w.view(np.int64).tolist() for w in got], "seeds": seeds}
 
@@ -141,20 +131,18 @@ def _bitmap(seeds: DataFrame) -> np.ndarray:
 
 def _position(seeds: np.ndarray) -> np.ndarray:
     """Place of a seed's bit in the bitmap, as Spark's functions number it."""
-    v = np.mod(seeds.view(np.int64), BITS)
-    return np.where(v > 0, v - 1, 0)
+    v = seeds.view(np.int64) & (BITS - 1)  # as pmod, BITS being a power of two
+    return v - (v > 0)
 
 
 def _stretches(docs: DataFrame, doc_id: str, text: str, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     """Of each document with a possible seed: its stretches of words (0 between two), their places, and the seeds."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    words = Words()
-
     def run(cols: dict) -> dict:
         out: dict[str, list[Any]] = {"doc_id": [], "key": [], "words": [], "at": [], "seeds": []}
         table = shared.value
         for i, t in zip(cols["doc_id"], cols["text"]):
-            w = words(t)
+            w = plain_words(t)
             edge, seeds = np.zeros(len(w) + 1, np.int64), []
             for k in sizes:
                 h = window_hashes(w, k)

@@ -148,7 +148,7 @@ BLOCK_TABLE = (
     (90, 0.01, 8, 0.0, 75, 0.0, 0, 1), (60, 0.05, 70, 0.0, 80, 0.02, 0, 1), (35, 0.0, 60, 0.0, 50, 0.0, 0, 1), (25, 0.1, 9, 0.0, 60, 0.0, 0, 1),
     (150, 0.1, 3, 1.0, 2, 1.0, 0, 1), (18, 0.0, 80, 0.0, 65, 0.0, 0, 1), (7, 0.0, 90, 0.0, 100, 0.0, 0, 1), (5, 0.0, 2, 1.0, 90, 0.0, 0, 1),
     (9, 0.0, 1, 1.0, 45, 0.0, 0, 1), (40, 0.2, 35, 0.0, 6, 0.0, 0, 1), (28, 0.0, 2, 1.0, 3, 1.0, 0, 1), (16, 0.0, 40, 0.0, 30, 0.0, 0, 1),
-    (3, 1.0, 2, 1.0, 3, 1.0, 0, 0), (1, 1.0, 40, 0.0, 1, 1.0, 0, 0), (6, 0.8, 5, 0.9, 7, 0.7, 0, 0), (20, 0.9, 3, 1.0, 25, 0.8, 0, 0),
+    (3, 1.0, 2, 1.0, 3, 1.0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0), (4, 1.0, 2, 1.0, 90, 0.0, 0, 0), (3, 0.0, 2, 1.0, 70, 0.0, 0, 1), (1, 1.0, 40, 0.0, 1, 1.0, 0, 0), (6, 0.8, 5, 0.9, 7, 0.7, 0, 0), (20, 0.9, 3, 1.0, 25, 0.8, 0, 0),
     (4, 0.0, 3, 1.0, 2, 1.0, 0, 0), (7, 0.0, 1, 1.0, 3, 0.5, 0, 0), (5, 0.2, 4, 0.6, 0, 0.0, 0, 0), (9, 0.0, 30, 0.0, 1, 1.0, 0, 0),
     (3, 0.0, 0, 0.0, 2, 1.0, 0, 0), (12, 0.6, 90, 0.0, 4, 1.0, 0, 0), (50, 0.7, 40, 0.8, 5, 0.6, 0, 0), (45, 0.9, 5, 1.0, 3, 1.0, 0, 0), (8, 0.4, 2, 0.0, 3, 0.0, 0, 0),
 )

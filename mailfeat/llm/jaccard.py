@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_schema, ascii_words, cut, fresh, map_columns, window_hashes
+from .common import arrow_schema, cut, fresh, map_columns, mix64, utf8, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Classes in a bucket or block that are compared side by side, and shingles in a block.
@@ -65,24 +65,24 @@ def survival(depth: int, similarity: float = SIMILARITY) -> float:
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - survival(DEPTH)))
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> _U64(27))) * _U64(0x94D049BB133111EB)
-        return h ^ (h >> _U64(31))
+def children(paths: np.ndarray, shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Paths one token longer that a set goes on to from some paths.
 
-
-def children(path: int, shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Paths one token longer that a set goes on to from a path."""
-    h = _mix(shingles ^ _mix(np.array([path], np.int64).view(_U64)))
+    A path's odd key times a shingle's hash is the number that decides, the
+    same for every set that holds the shingle.
+    """
+    paths = paths.view(_U64)
+    seed = mix64(paths)
     odds = 1.0 / (similarity * len(shingles))
-    if odds >= 1.0:
-        return h.view(np.int64)
-    return h[h < _U64(int(odds * 2.0**64))].view(np.int64)
+    if odds < 1.0:
+        p, t = np.nonzero(shingles[None, :] * (seed[:, None] | _U64(1)) < _U64(int(odds * 2.0**64)))
+    else:
+        p, t = np.repeat(np.arange(len(paths)), len(shingles)), np.tile(np.arange(len(shingles)), len(paths))
+    return mix64(shingles[t] ^ seed[p]).view(np.int64)
 
 
-def shingle_set(text: str | None, hasher: WordHasher, k: int = SHINGLE) -> np.ndarray:
-    words = hasher(ascii_words(text))
+def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    words = word_hashes(utf8(text))
     return np.unique(window_hashes(words, min(k, len(words)))) if len(words) else np.empty(0, _U64)
 
 
@@ -92,14 +92,14 @@ def signature(shingles: np.ndarray) -> bytes | None:
     return hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None
 
 
-_SEEDS = _mix(np.arange(1, SKETCH + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
+_SEEDS = mix64(np.arange(1, SKETCH + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
 
 
 def sketch(shingles: np.ndarray) -> bytes:
     """One byte of each of SKETCH minhashes."""
     low = np.full(SKETCH, np.iinfo(np.uint64).max, _U64)
     for at in range(0, len(shingles), 4096):
-        low = np.minimum(low, _mix(shingles[None, at : at + 4096] ^ _SEEDS[:, None]).min(1))
+        low = np.minimum(low, mix64(shingles[None, at : at + 4096] ^ _SEEDS[:, None]).min(1))
     return (low & _U64(255)).astype(np.uint8).tobytes()
 
 
@@ -203,11 +203,12 @@ def _grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
 def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, signature of its shingle set, and the first sampled path of each run."""
-    hasher = WordHasher()
+
+    roots = np.arange(1, RUNS + 1, dtype=np.int64)
 
     def run(cols: dict) -> dict:
-        sets = [shingle_set(t, hasher) for t in cols["text"]]
-        first = [np.concatenate([children(run_, s) for run_ in range(1, RUNS + 1)]).tolist() if len(s) else [] for s in sets]
+        sets = [shingle_set(t) for t in cols["text"]]
+        first = [children(roots, s).tolist() if len(s) else [] for s in sets]
         return {"doc_id": cols["doc_id"], "sig": [signature(s) for s in sets], "paths": first}
 
     pick = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -216,12 +217,11 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _sets_of(docs: DataFrame, doc_id: str, text: str, active: DataFrame) -> DataFrame:
     """Shingles and sketch of the active classes (sig, rep), from the text of one document of each."""
-    hasher = WordHasher()
 
     def run(cols: dict) -> dict:
         out: dict[str, list[Any]] = {"sig": [], "shingles": [], "sketch": []}
         for sig, t in zip(cols["sig"], cols["text"]):
-            s = shingle_set(t, hasher)
+            s = shingle_set(t)
             if signature(s) == sig:  # a row with the same id may hold another text
                 out["sig"].append(sig)
                 out["shingles"].append(s.view(np.int64).tolist())
@@ -246,11 +246,9 @@ def _deeper(large: DataFrame, sets: DataFrame) -> DataFrame:
     def run(cols: dict) -> dict:
         sig, path = [], []
         for s, ps, sh in zip(cols["sig"], cols["paths"], cols["shingles"]):
-            sh = np.asarray(sh, np.int64).view(_U64)
-            for p in ps:
-                c = children(p, sh).tolist()
-                path += c
-                sig += [s] * len(c)
+            c = children(np.asarray(ps, np.int64), np.asarray(sh, np.int64).view(_U64)).tolist()
+            path += c
+            sig += [s] * len(c)
         return {"path": path, "sig": sig}
 
     return map_columns(per.join(sets.select("sig", "shingles"), "sig"), run, "path long, sig binary")
@@ -362,11 +360,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows without a word are in no class and all stay.  Where several rows have
     the id that stays, their text decides, then one of the equal rows is taken.
     """
-    hasher = WordHasher()
-
     @F.pandas_udf("binary")
     def sig_of(texts):
-        return texts.map(lambda t: signature(shingle_set(t, hasher)))
+        return texts.map(lambda t: signature(shingle_set(t)))
 
     joined = cut(_joined(docs, doc_id, text).where("sig IS NOT NULL").select("doc_id", "sig", "root", "class_id"))
     stay = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "sig")).alias("s")).select("s.*")

@@ -17,102 +17,148 @@ of equal sums the first language by name wins; repeated rows are repeated.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, bounded_sample, held_out, map_columns, text_window
+from .common import bounded_sample, held_out, map_columns, mix64, run_hashes, text_window
 
 #: Labelled texts of each language the model is fitted on, and characters of each.
 PER_LANG, WINDOW = 150, 1500
-BUCKETS = 1 << 16
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 SPAN = 24  # words in a training sequence
 LEXICON = 300  # frequent words of each language
-_WORD = re.compile(r"[^\W\d_]+")
+AFFIXES, GRAMS = (1, 2, 3, 4), (2, 3)
+#: Characters that are looked at side by side.
+CHARS_AT_ONCE = 1 << 20
 
 
-def _h(s: str) -> int:
-    return xxhash.xxh3_64_intdigest(s) % BUCKETS
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def word_features(word: str, lexicons: list[set[str]]) -> list[int]:
-    """Buckets of a word's affixes, n-grams, itself, and the lexicons it's in."""
-    f = [_h("w:" + word)]
-    for k in (1, 2, 3, 4):
-        if len(word) >= k:
-            f += [_h("p:" + word[:k]), _h("s:" + word[-k:])]
-    edged = f"^{word}$"
-    f += [_h("g:" + edged[i : i + n]) for n in (2, 3) for i in range(min(len(edged), 40) - n + 1)]
-    return f + [_h(f"l:{i}") for i, lex in enumerate(lexicons) if word in lex]
-
-
-def words_of(text: str | None) -> list[str]:
-    return [w for w in _WORD.findall((text or "").lower())]
+@dataclass
+class Words:
+    """The words (runs of letters, in lower case) of some texts, one after the other."""
+
+    hashes: np.ndarray  # of each word
+    counts: np.ndarray  # words of each text
+    types: np.ndarray  # distinct hashes
+    type_of: np.ndarray  # place of each word's hash among these
+    features: np.ndarray  # buckets of the types' features, type by type
+    first: np.ndarray  # where each type's features begin
+
+
+def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
+    return (mix64(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def words_of(texts: list[str | None], lexicons: list[np.ndarray]) -> Words:
+    """Words and hashed features (affixes, n-grams, the word itself, its lexicons) of texts."""
+    low = [(t or "").lower() for t in texts]
+    size = np.array([len(t) + 1 for t in low], np.int64)
+    code = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    h, start, end = run_hashes(code, _letters()[code])
+    counts = np.bincount(np.searchsorted(np.cumsum(size), start, "right"), minlength=len(low))
+    types, at, back = np.unique(h, return_index=True, return_inverse=True)
+    start, end = start[at], end[at]
+    owner, found = [np.arange(len(types))], [_bucket(types, 0)]
+    code = code.astype(np.uint64)
+    prefix = suffix = np.zeros(len(types), np.uint64)
+    for k in AFFIXES:
+        long = end - start >= k
+        prefix = prefix * np.uint64(1114129) + np.where(long, code[np.minimum(start + k - 1, end - 1)], 0).astype(np.uint64)
+        suffix = suffix * np.uint64(1114129) + np.where(long, code[np.maximum(end - k, start)], 0).astype(np.uint64)
+        for kind, affix in ((2 * k, prefix), (2 * k + 1, suffix)):
+            owner.append(np.flatnonzero(long))
+            found.append(_bucket(affix[long], kind))
+    length = end - start
+    for n in GRAMS:  # over ^word$, the edges being code points 1 and 2
+        times = length + 3 - n
+        has = times > 0
+        who = np.repeat(np.flatnonzero(has), times[has])
+        offset = np.arange(len(who)) - np.repeat(np.cumsum(times[has]) - times[has], times[has]) - 1
+        gram = np.zeros(len(who), np.uint64)
+        for j in range(n):
+            place = start[who] + offset + j
+            unit = np.where(place < start[who], 1, np.where(place >= end[who], 2, code[np.clip(place, 0, len(code) - 1)])).astype(np.uint64)
+            gram = gram * np.uint64(1114129) + unit
+        owner.append(who)
+        found.append(_bucket(gram, 20 + n))
+    for i, lex in enumerate(lexicons):
+        known = np.flatnonzero(np.isin(types, lex))
+        owner.append(known)
+        found.append(np.full(len(known), _bucket(np.array([i], np.uint64), 40)[0]))
+    owner, found = np.concatenate(owner), np.concatenate(found)
+    order = np.argsort(owner, kind="stable")
+    return Words(h, counts, types, back, found[order], np.searchsorted(owner[order], np.arange(len(types))))
 
 
 @dataclass
 class Crf:
     langs: list[str]
-    lexicons: list[set[str]]
+    lexicons: list[np.ndarray]  # hashes of frequent words
     weights: np.ndarray  # bucket x language
     transitions: np.ndarray  # from x to
 
-    def emissions(self):
-        """A function from words to emission scores; a word's score is remembered within bounds."""
-        place: dict[str, int] = {}
-        rows = np.zeros((1024, len(self.langs)), np.float32)
-        n = 0
-
-        def score(words: list[str]) -> np.ndarray:
-            nonlocal rows, n
-            if n > WORD_CACHE:
-                place.clear()
-                n = 0
-            for w in set(words).difference(place):
-                if n == len(rows):
-                    rows = np.vstack([rows, np.zeros_like(rows)])
-                rows[n] = self.weights[word_features(w, self.lexicons)].sum(0)
-                place[w] = n
-                n += 1
-            return rows[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
-
-        return score
-
-
-def forward_backward(e: np.ndarray, a: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word posteriors (step, text, label) and log likelihoods of the normaliser.
-
-    e: emission scores (step, text, label); a: transition scores; real: which
-    steps a text has.  Steps past a text's end leave its state as it is.
+    def emissions(self, words: Words) -> np.ndarray:
+        """Scores of each word's type, by language."""
+        return np.add.reduceat(self.weights[words.features], words.first, axis=0)
+
+
+#: Words of a block; the blocks of all texts go through the chain side by side.
+BLOCK = 32
+
+
+def forward_backward(e: np.ndarray, a: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Word posteriors (word, label) of texts that stand one after the other.
+
+    e: emission scores (word, label); a: transition scores; counts: words of
+    each text.  Every text is cut into blocks.  A block's steps multiply to
+    one matrix; the vectors between blocks follow from these matrices, text by
+    text side by side, and then all blocks are gone through from both ends.
     """
-    steps, n, k = e.shape
-    top = e.max(2, keepdims=True)
-    x, t = np.exp(e - top), np.exp(a)
+    k, t = e.shape[1], np.exp(a)
+    blocks = -(-counts // BLOCK)
+    n, first = int(blocks.sum()), np.cumsum(blocks) - blocks
+    within = np.arange(len(e)) - np.repeat(np.cumsum(counts) - counts, counts)
+    block = np.repeat(first, counts) + within // BLOCK
+    x, real = np.ones((BLOCK, n, k), e.dtype), np.zeros((BLOCK, n), bool)
+    x[within % BLOCK, block] = np.exp(e - e.max(1, keepdims=True))
+    real[within % BLOCK, block] = True
+    opens = np.zeros(n, bool)
+    opens[first[counts > 0]] = True  # the first word of a text follows no other
+
+    def one(m: np.ndarray) -> np.ndarray:
+        return m / m.sum(-1, keepdims=True)
+
+    whole = np.where(opens[:, None, None], np.ones_like(t), t) * x[0][:, None, :]
+    for i in range(1, BLOCK):
+        step = ((whole.reshape(-1, k) @ t).reshape(n, k, k)) * x[i][:, None, :]
+        whole = np.where(real[i][:, None, None], step / step.sum((1, 2), keepdims=True), whole)
+    enter, leave = np.full((n, k), 1.0 / k, e.dtype), np.ones((n, k), e.dtype)
+    texts = np.argsort(-blocks, kind="stable")
+    for i in range(1, int(blocks.max(initial=0))):
+        here = first[texts[: np.searchsorted(-blocks[texts], -i, "left")]] + i
+        enter[here] = one((enter[here - 1][:, None, :] @ whole[here - 1])[:, 0])
+    for i in range(int(blocks.max(initial=0)) - 1, 0, -1):
+        here = first[texts[: np.searchsorted(-blocks[texts], -i, "left")]] + i
+        leave[here - 1] = one((whole[here] @ leave[here][:, :, None])[:, :, 0])
     alpha = np.empty_like(x)
-    norm = np.zeros((steps, n), x.dtype)
-    full = real.all(1)
-    for i in range(steps):
-        cur = x[i] if i == 0 else (alpha[i - 1] @ t) * x[i]
-        s = cur.sum(1)
-        cur = cur / s[:, None]
-        if not full[i]:
-            cur = np.where(real[i][:, None], cur, alpha[i - 1] if i else 1.0 / k)
-            s = np.where(real[i], s, 1.0)
-        alpha[i], norm[i] = cur, s
-    beta = np.ones((n, k), x.dtype)
-    post = np.empty_like(x)
-    for i in range(steps - 1, -1, -1):
-        p = alpha[i] * beta
-        post[i] = p / p.sum(1, keepdims=True)
-        b = (x[i] * beta) @ t.T
-        b = b / b.sum(1, keepdims=True)
-        beta = b if full[i] else np.where(real[i][:, None], b, beta)
-    return post, (np.log(norm) + top[:, :, 0] * real).sum(0)
+    alpha[0] = one(np.where(opens[:, None], 1.0, enter @ t).astype(e.dtype) * x[0])
+    for i in range(1, BLOCK):
+        alpha[i] = np.where(real[i][:, None], one((alpha[i - 1] @ t) * x[i]), alpha[i - 1])
+    for i in range(BLOCK - 1, -1, -1):
+        back = one((x[i] * leave) @ t.T)
+        alpha[i] = one(alpha[i] * leave)
+        leave = np.where(real[i][:, None], back, leave)
+    return alpha[within % BLOCK, block]
 
 
 def _pairwise(e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -139,29 +185,28 @@ def fit_rows(texts: list[str], langs: list[str], rounds: int = 40, rate: float =
     """A CRF from labelled texts, by AdaGrad on the whole sample."""
     names = sorted(set(langs))
     k = len(names)
-    label = {x: i for i, x in enumerate(names)}
-    docs = [(words_of(t), label[x]) for t, x in zip(texts, langs)]
-    counts = [Counter() for _ in names]
-    for w, y in docs:
-        counts[y].update(w)
-    lexicons = [{w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]} for c in counts]
-    parts = [(w[i : i + SPAN], y) for w, y in docs for i in range(0, len(w) - SPAN + 1, SPAN)]
-    empty = Crf(names, lexicons, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32))
+    label = np.array([names.index(x) for x in langs], np.int64)
+    words = words_of(texts, [])
+    y_of = np.repeat(label, words.counts)
+    lexicons = []
+    for y in range(k):
+        types, n = np.unique(words.hashes[y_of == y], return_counts=True)
+        lexicons.append(types[np.lexsort((types, -n))][:LEXICON])
+    words = words_of(texts, lexicons)
+    at = np.cumsum(words.counts) - words.counts
+    parts = [(words.type_of[a + i : a + i + SPAN], y) for a, n, y in zip(at, words.counts, label) for i in range(0, n - SPAN + 1, SPAN)]
     if not parts or k < 2:
-        return empty
+        return Crf(names, lexicons, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32))
     rng = np.random.default_rng(7)
     order = rng.permutation(len(parts))
-    seqs = [(w, [y] * SPAN) for w, y in parts]
+    seqs = [(w, np.full(SPAN, y)) for w, y in parts]
     for a, b in zip(order[::4], order[1::4]):  # code-switched: the first words of one, the last of another
-        at = int(rng.integers(4, SPAN - 4))
-        seqs.append((parts[a][0][:at] + parts[b][0][at:], [parts[a][1]] * at + [parts[b][1]] * (SPAN - at)))
-    types = {w: i for i, w in enumerate(dict.fromkeys(w for s, _ in seqs for w in s))}
-    feats = [word_features(w, lexicons) for w in types]
-    col = np.concatenate([np.asarray(f) for f in feats])
-    row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
-    ids = np.array([[types[w] for w in s] for s, _ in seqs]).T
-    ys = np.array([y for _, y in seqs]).T
+        turn = int(rng.integers(4, SPAN - 4))
+        (w, y), (v, z) = parts[a], parts[b]
+        seqs.append((np.concatenate([w[:turn], v[turn:]]), np.where(np.arange(SPAN) < turn, y, z)))
+    ids, ys = np.array([s for s, _ in seqs]).T, np.array([y for _, y in seqs]).T
+    col, starts = words.features, words.first
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(col))))
     gold = np.eye(k)[ys]
     truth = np.zeros((k, k))
     np.add.at(truth, (ys[:-1].ravel(), ys[1:].ravel()), 1.0)
@@ -171,7 +216,7 @@ def fit_rows(texts: list[str], langs: list[str], rounds: int = 40, rate: float =
         e = np.add.reduceat(w[col], starts, axis=0)[ids]
         post, moves, _ = _pairwise(e, a)
         off = (post - gold).reshape(-1, k)
-        by_type = np.stack([np.bincount(ids.ravel(), off[:, j], minlength=len(feats)) for j in range(k)], 1)
+        by_type = np.stack([np.bincount(ids.ravel(), off[:, j], minlength=len(starts)) for j in range(k)], 1)
         g = np.stack([np.bincount(col, by_type[row, j], minlength=BUCKETS) for j in range(k)], 1) / n + l2 * w / BUCKETS
         ga = (moves - truth) / n
         seen += g * g
@@ -189,40 +234,36 @@ def fit_language(docs: DataFrame, per_lang: int = PER_LANG, window: int = WINDOW
     return fit_rows([r[2] for r in rows], [r[3] for r in rows])
 
 
-#: Texts that go through forward-backward side by side; they are of like length.
-SIDE_BY_SIDE = 64
-
-
-def posteriors(texts: list[list[str]], crf: Crf, score) -> list[np.ndarray]:
+def posteriors(texts: list[str | None], crf: Crf) -> list[np.ndarray]:
     """Word posteriors (word, label) of each text."""
-    out: list[np.ndarray] = [np.empty((0, len(crf.langs)))] * len(texts)
-    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
-    for at in range(0, len(order), SIDE_BY_SIDE):
-        some = order[at : at + SIDE_BY_SIDE]
-        longest = len(texts[some[-1]])
-        e = np.zeros((longest, len(some), len(crf.langs)), np.float32)
-        real = np.zeros((longest, len(some)), bool)
-        for j, i in enumerate(some):
-            e[: len(texts[i]), j] = score(texts[i])
-            real[: len(texts[i]), j] = True
-        post, _ = forward_backward(e, crf.transitions, real)
-        for j, i in enumerate(some):
-            out[i] = post[: len(texts[i]), j]
+    words = words_of(texts, crf.lexicons)
+    if not len(words.hashes):
+        return [np.empty((0, len(crf.langs)), np.float32)] * len(texts)
+    post = forward_backward(crf.emissions(words)[words.type_of], crf.transitions, words.counts)
+    return np.split(post, np.cumsum(words.counts)[:-1])
+
+
+def _in_parts(texts: list[str | None]) -> list[list[str | None]]:
+    """Neighbouring texts of about CHARS_AT_ONCE characters together."""
+    out: list[list[str | None]] = [[]]
+    room = CHARS_AT_ONCE
+    for t in texts:
+        if out[-1] and room < len(t or ""):
+            out.append([])
+            room = CHARS_AT_ONCE
+        out[-1].append(t)
+        room -= len(t or "") + 1
     return out
 
 
 def detect_language(docs: DataFrame, crf: Crf, segments: bool = False) -> DataFrame:
     """doc_id, lang_pred, its score, the share of each language; with segments=True also (word, words, lang) runs."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
-    held: list = []
 
     def run(cols: dict) -> dict:
         model = shared.value
-        if not held:
-            held.append(model.emissions() if model.langs else None)
-        texts = [words_of(t) for t in cols["text"]]
-        texts = [t if any(any(c.isalpha() for c in w) for w in t) else [] for t in texts] if model.langs else [[] for _ in texts]
-        post = posteriors(texts, model, held[0])
+        none = np.empty((0, 0))
+        post = [p for part in _in_parts(cols["text"]) for p in (posteriors(part, model) if model.langs else [none] * len(part))]
         out: dict = {"doc_id": cols["doc_id"], "lang_pred": [], "score": [], "shares": []}
         runs = []
         for p in post:

@@ -103,35 +103,50 @@ def _cut_bucket(rows: DataFrame, digits: str, rest: str) -> DataFrame:
     return sums.where(here).select(*LEVELS, F.col(digits).alias(f"cut_{digits}"), (F.col(rest) - F.col("before")).alias(f"rest_{digits}"))
 
 
-def select_prefix(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
-    """rows (doc_id, levels, tokens) with epochs and extra_tokens; those that are taken not at all are left out."""
-    keys = list(LEVELS)
+def _at_place(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
+    """Rows that hold tokens, with their leaf's epochs and rest, and their place in its order."""
     place = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    r = rows.where("tokens > 0").join(leaves.select(*keys, "epochs", "rest"), keys).withColumn("place", place)
-    r = r.withColumn("d1", F.substring("place", 1, 3)).withColumn("d2", F.substring("place", 4, 3))
-    first = _cut_bucket(r.where("rest > 0"), "d1", "rest")
-    r = r.join(first, keys, "left")
-    second = _cut_bucket(r.where("d1 = cut_d1"), "d2", "rest_d1")
-    r = r.join(second, keys, "left")
+    r = rows.where("tokens > 0").join(leaves.select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("place", place)
+    return r.withColumn("d1", F.substring("place", 1, 3)).withColumn("d2", F.substring("place", 4, 3))
+
+
+def cuts(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
+    """Of each leaf that takes a prefix: the six digits where it ends, and the tokens left for rows with just these digits."""
+    keys = list(LEVELS)
+    r = _at_place(rows, leaves, mix).where("rest > 0")
+    first = cut(_cut_bucket(r, "d1", "rest"))
+    second = _cut_bucket(r.join(first, keys).where("d1 = cut_d1"), "d2", "rest_d1")
+    return cut(first.select(*keys, "cut_d1").join(second, keys))
+
+
+def select_prefix(rows: DataFrame, leaves: DataFrame, ends: DataFrame, mix: Mix) -> DataFrame:
+    """rows with epochs and extra_tokens; those of which nothing is taken are left out.
+
+    A row away from its leaf's cut is decided by itself; only rows at the cut
+    are ordered among themselves.
+    """
+    keys = list(LEVELS)
+    r = _at_place(rows, leaves, mix).join(ends, keys, "left")
     at_edge = F.coalesce((F.col("d1") == F.col("cut_d1")) & (F.col("d2") == F.col("cut_d2")), F.lit(False))
     inside = F.coalesce((F.col("d1") < F.col("cut_d1")) | ((F.col("d1") == F.col("cut_d1")) & (F.col("d2") < F.col("cut_d2"))), F.lit(False))
     clear = r.where(~at_edge).withColumn("extra_tokens", F.when(inside, F.col("tokens")).otherwise(F.lit(0).cast("long")))
     w = Window.partitionBy(*keys).orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = r.where(at_edge).withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
     edge = edge.withColumn("extra_tokens", F.greatest(F.least(F.col("rest_d2") - F.col("before"), F.col("tokens")), F.lit(0)).cast("long")).drop("before")
-    taken = clear.unionByName(edge).where((F.col("epochs") > 0) | (F.col("extra_tokens") > 0))
-    return taken.select("doc_id", *keys, "tokens", "epochs", "extra_tokens", *[c for c in rows.columns if c.startswith("in_")])
+    return clear.unionByName(edge).where((F.col("epochs") > 0) | (F.col("extra_tokens") > 0)).select(*rows.columns, "epochs", "extra_tokens")
 
 
-def mix_sources(docs: DataFrame, mix: Mix, domain: Column) -> DataFrame:
+def mix_sources(docs: DataFrame, mix: Mix, domain: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """Of each document that is taken: doc_id, its leaf, tokens, whole epochs, and tokens of the last, cut epoch.
 
-    domain: the expression that names a row's domain.  Only ids, leaf names
-    and token counts are shuffled, never texts.
+    domain: the expression that names a row's domain.  Columns of docs named in
+    carry come last.  The budgets and cuts are worked out on ids, leaf names
+    and token counts; the texts are only read again and decided row by row.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(domain.cast("string"), F.lit("")).alias("domain"),
                         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-                        n_tokens(F.col("text")).alias("tokens"))
-    rows = cut(named)
+                        n_tokens(F.col("text")).alias("tokens"), *(F.col(c).alias(f"in_{c}") for c in carry))
+    rows = cut(named.select("doc_id", *LEVELS, "tokens"))
     leaves = cut(allocate(cut(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("leaf_tokens"))), mix))
-    return select_prefix(rows, leaves, mix)
+    got = select_prefix(named if carry else rows, leaves, cuts(rows, leaves, mix), mix)
+    return got.select("doc_id", *LEVELS, "tokens", "epochs", "extra_tokens", *(F.col(f"in_{c}").alias(c) for c in carry))

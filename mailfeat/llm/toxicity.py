@@ -34,7 +34,7 @@ from .common import WORD_CACHE, bounded_sample, cut, held_out, map_columns, ridg
 PER_CLASS = 2000
 #: Terms the learned lexicon holds at most.
 LEXICON_SIZE = 5000
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 TOXIC_AT = 0.7
 
 # Fixed word lists of the grammar.
@@ -234,7 +234,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     lexicon = learn_lexicon(sample, n[1], n[0])
     got = sorted(map(tuple, _featured(sample, lexicon, "toxic").collect()))
     y = np.array([r[1] for r in got], float)
-    w = ridge_logistic(np.array([r[2] for r in got]), y, 0.5, balance=True)
+    w = ridge_logistic(np.array([r[2] for r in got]), y, 0.5)
+    whole = dict(known.groupBy("toxic").count().collect())  # the sample's odds give way to those of all labelled rows
+    w[-1] += math.log(whole[1] / whole[0]) - math.log(n[1] / n[0])
     return ToxicityModel(lexicon, w.tolist())
 
 

@@ -53,3 +53,71 @@ def quality_base(text):
             seen.add(line)
     failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), failed
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def jaccard(docs):
+    """doc_id: (least id of its component, number of similar documents), from all pairs."""
+    ids = sorted(docs)
+    sets = {i: shingles(docs[i]) for i in ids}
+    by = {}
+    for i in ids:
+        for s in sets[i]:
+            by.setdefault(s, []).append(i)
+    root, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in ids:
+        near = {}
+        for s in sets[i]:
+            for j in by[s]:
+                near[j] = near.get(j, 0) + 1
+        for j, n in near.items():
+            if j > i and 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (find(i), links[i]) for i in ids}
+
+
+def mix(rows, weights, default, budget, epochs):
+    """rows: (domain, lang, source) -> tokens; budgets by repeated proportional sharing, top down."""
+    levels = ("domain", "lang", "source")
+
+    def cap(prefix):
+        return sum(t * epochs for k, t in rows.items() if k[: len(prefix)] == prefix)
+
+    out = {}
+
+    def give(prefix, amount):
+        if len(prefix) == 3:
+            out[prefix] = amount
+            return
+        kids = sorted({k[: len(prefix) + 1] for k in rows if k[: len(prefix)] == prefix})
+        open_ = {k: weights.get(levels[len(prefix)], {}).get(k[-1], default) for k in kids}
+        share, left = dict.fromkeys(kids, 0.0), min(amount, cap(prefix))
+        while open_ and left > 1e-9:
+            total = sum(open_.values())
+            over = {k for k, w in open_.items() if share[k] + left * w / total >= cap(k) - 1e-9}
+            if not over:
+                for k, w in open_.items():
+                    share[k] += left * w / total
+                break
+            for k in over:
+                left -= cap(k)
+                share[k] = cap(k)
+                del open_[k]
+        for k in kids:
+            give(k, share[k])
+
+    give((), budget)
+    return out
