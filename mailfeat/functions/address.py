@@ -70,6 +70,11 @@ def domain_block(addr: Column) -> dict:
     }
 
 
+def strip_blanks(x: Column) -> Column:
+    """Without the blanks of BLANK_RE at either end."""
+    return F.regexp_replace(x, "^[ \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F]+|[ \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F]+$", "")
+
+
 def is_blank(x: Column) -> Column:
     return x.rlike(BLANK_RE)
 

@@ -2,8 +2,9 @@
 policy (S7, §2.4) as DataFrame programs.
 
 Every feature except the decoded-subject flag and the six similarity scores is
-a JVM expression over header values pulled out of the parsed header array; the
-remaining seven share a single Arrow-batched Python hop (functions.similarity).
+a JVM expression over header values pulled out of the parsed header array; those
+seven use Arrow-batched UDFs (functions.similarity), which a plan that doesn't
+select them leaves out.
 All of it is narrow: no shuffle between the raw message and its feature row.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address as A
 from ..functions.constants import ALL_HEADER_FEATURES, SIMILARITY_FEATURES
-from ..functions.similarity import similarity_block
+from ..functions.similarity import similarity_scores, subject_symbol
 
 # header name (lower case) -> column holding its first value
 HEADER_COLS = {
@@ -26,28 +27,29 @@ HEADER_COLS = {
 # headers whose raw non-ASCII value makes the reference drop the message
 _USED = list(HEADER_COLS)
 
-_DATE_FORMATS = ["d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm xx", "d MMM yy HH:mm:ss xx", "d MMM yy HH:mm xx"]
-# FIXED VALUES: RFC 2822 obsolete zone names and their offsets
-_ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "EST": "-0500", "EDT": "-0400",
-          "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+# FIXED VALUES: RFC 2822 obsolete zone names and their offsets in seconds
+_ZONES = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -18000, "EDT": -14400, "CST": -21600, "CDT": -18000,
+          "MST": -25200, "MDT": -21600, "PST": -28800, "PDT": -25200, "AST": -14400, "ADT": -10800}
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+           "november", "december"]
+# A header block is `name:` lines and folds; the first other line ends it.
+_BLOCK = "^(?:From [^\\n]*+\\n)?((?:(?:[!-9;-~]*+:|[ \\t])[^\\n]*+(?:\\n|$))*+)"
 
 
 def split_message(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Header block -> headers array<struct<name,value>> (+ body_text).
 
     Folded lines stay inside their value (CRLF + blank kept, as the stdlib
-    parser keeps them); an mbox 'From ' first line is skipped.
+    parser keeps them); an mbox 'From ' first line is skipped.  The block ends
+    at the first line that is neither a header nor a fold; a blank one there
+    is dropped, any other begins the body.
     """
     raw = F.col(raw_col)
-    has_blank = raw.rlike("\\r?\\n\\r?\\n")
-    df = df.withColumn("_hdr", F.when(has_blank, F.regexp_extract(raw, "(?s)^(.*?)\\r?\\n\\r?\\n", 1))
-                       .otherwise(raw))
-    df = df.withColumn("body_text", F.when(has_blank, F.regexp_replace(raw, "(?s)^.*?\\r?\\n\\r?\\n", ""))
-                       .otherwise(F.lit("")))
-    hdr = F.regexp_replace(F.col("_hdr"), "^From [^\\n]*\\n", "")
-    lines = F.filter(F.split(hdr, "\\r?\\n(?![ \\t])"), lambda x: x.contains(":"))
+    df = df.withColumn("_hdr", F.regexp_extract(raw, _BLOCK, 1))
+    df = df.withColumn("body_text", F.regexp_replace(raw, _BLOCK + "(?:\\r?\\n)?", ""))
+    lines = F.filter(F.split(F.regexp_replace("_hdr", "\\r?\\n$", ""), "\\r?\\n(?![ \\t])"), lambda x: x.rlike("^[!-9;-~]+:"))
     headers = F.transform(lines, lambda l: F.struct(
-        F.lower(F.trim(F.regexp_extract(l, "^([^:]*):", 1))).alias("name"),
+        F.lower(F.regexp_extract(l, "^([^:]*):", 1)).alias("name"),
         F.regexp_extract(l, "(?s)^[^:]*:[ \\t]*(.*)$", 1).alias("value")))
     return df.withColumn("headers", headers).drop("_hdr")
 
@@ -68,17 +70,36 @@ def with_header_values(df: DataFrame) -> DataFrame:
     return df.select("*", *cols, header_values(h, "received").alias("h_received"))
 
 
-def _parse_date(v: Column) -> Column:
-    d = F.trim(F.regexp_extract(v, "(?m);\\s*(.+)$", 1))
-    d = F.regexp_replace(d, "^[A-Za-z]{3},\\s*", "")
-    d = F.regexp_replace(d, "\\s*\\([^)]*\\)\\s*$", "")
-    for name, off in _ZONES.items():
-        d = F.regexp_replace(d, f"\\s{name}$", f" {off}")
-    return F.coalesce(*[F.try_to_timestamp(d, F.lit(f)) for f in _DATE_FORMATS])
+def with_received_times(df: DataFrame) -> DataFrame:
+    """`_times`: the dates of the Received headers that have one."""
+    return df.withColumn("_times", F.filter(F.transform("h_received", received_time), lambda t: t.isNotNull()))
 
 
-def _naive_zone(v: Column) -> Column:
-    return F.regexp_extract(v, "(?m);\\s*(.+)$", 1).rlike("-0000\\s*(\\([^)]*\\))?\\s*$")
+_DATE = (r"^(?:[A-Za-z]+,?\s+)?(\d{1,2})\s+([A-Za-z]+)\.?,?\s+(\d{2}|\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+         r"\s*([+-]\d{4}|[A-Za-z]*)\s*$")
+
+
+def received_time(v: Column) -> Column:
+    """struct<at: seconds, naive: boolean> of a Received value's date, null if it has none.
+
+    The zone may be missing, unknown or -0000: such a date is naive.  Months
+    may be written in full; two-digit years above 68 lie in the last century.
+    """
+    d = F.trim(F.regexp_replace(F.regexp_extract(v, "(?m);\\s*(.+)$", 1), "\\([^)]*\\)", " "))
+    part = lambda i: F.regexp_extract(d, _DATE, i)
+    number = lambda i: F.nullif(part(i), F.lit("")).cast("int")
+    name = F.lower(part(2))
+    month = F.lit(None).cast("int")
+    for i, full in enumerate(_MONTHS, 1):
+        month = F.when(name.isin(full, full[:3]), F.lit(i)).otherwise(month)
+    year = F.when(F.length(part(3)) > 2, number(3)).otherwise(number(3) + F.when(number(3) > 68, 1900).otherwise(2000))
+    at = F.unix_seconds(F.try_make_timestamp(year, month, number(1), number(4), number(5), F.coalesce(number(6), F.lit(0)).cast("decimal(16,6)"), F.lit("UTC")))
+    zone = F.upper(part(7))
+    digits = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
+    offset = F.when(zone == "-0000", F.lit(None)).when(zone.startswith("+"), digits).when(zone.startswith("-"), -digits)
+    for known, seconds in _ZONES.items():
+        offset = F.when(zone == known, F.lit(seconds)).otherwise(offset)
+    return F.when(at.isNotNull(), F.struct((at - F.coalesce(offset, F.lit(0))).alias("at"), offset.isNull().alias("naive")))
 
 
 def extract_error(df: DataFrame) -> Column:
@@ -87,9 +108,8 @@ def extract_error(df: DataFrame) -> Column:
     non_ascii = F.exists(F.col("headers"), lambda h: (
         h["name"].isin(_USED) | ((h["name"] == "received") & (F.size(rec) >= 2)))
         & h["value"].rlike("[^\\x00-\\x7F]"))
-    parsed = F.filter(rec, lambda v: _parse_date(v).isNotNull())
-    n_naive = F.size(F.filter(parsed, _naive_zone))
-    mixed = (F.size(rec) >= 2) & (n_naive > 0) & (n_naive < F.size(parsed))
+    n_naive = F.size(F.filter("_times", lambda t: t["naive"]))
+    mixed = (F.size(rec) >= 2) & (n_naive > 0) & (n_naive < F.size("_times"))
     return (F.when(non_ascii, F.lit("non_ascii_header"))
             .when(mixed, F.lit("mixed_naive_aware_dates")))
 
@@ -101,8 +121,8 @@ def base_features(df: DataFrame) -> dict:
     to_empty = (F.coalesce(to, F.lit("")) == "") | F.lower(to).contains("undisclosed") | to.contains("<>")
     n_rcpt = F.size(A.addresses(to)) + F.size(A.addresses(c("h_cc"))) + F.size(A.addresses(c("h_bcc")))
     rec = c("h_received")
-    times = F.filter(F.transform(rec, _parse_date), lambda t: t.isNotNull())
-    span_us = F.unix_micros(F.array_max(times)) - F.unix_micros(F.array_min(times))
+    times = F.transform("_times", lambda t: t["at"])
+    span = F.array_max(times) - F.array_min(times)
     display = F.regexp_replace(frm, "<[^>]+>", "")
     spf = F.lower(F.coalesce(c("h_spf"), F.lit("")))
     auth = F.lower(F.coalesce(c("h_auth"), F.lit("")))
@@ -122,7 +142,7 @@ def base_features(df: DataFrame) -> dict:
         "BCC_notempty_To_empty": A.flag((F.size(A.addresses(c("h_bcc"))) > 0) & to_empty),
         "Total_Recp": A.flag(n_rcpt >= 2),
         "Received_count": A.flag(F.size(rec) > 3),
-        "Span_time": A.flag((F.size(rec) >= 2) & (F.size(times) >= 2) & (F.abs(span_us) > 10_000_000)),
+        "Span_time": A.flag((F.size(rec) >= 2) & (F.size(times) >= 2) & (span > 10)),
         "From_symbol": A.flag(display.rlike("[?!<>]")),
         "Received_SPF": A.flag(spf.contains("fail") | spf.contains("bad") | spf.contains("none")),
         "Authentication_Results": F.when(auth == "", F.lit(1.0)).otherwise(
@@ -133,7 +153,7 @@ def base_features(df: DataFrame) -> dict:
         "Reply_To_domain": A.flag(differ(fd, rd)),
         "X_Mailer_exist": F.when(c("h_x_mailer").isNull(), F.lit(1.0)).otherwise(A.flag(A.is_blank(c("h_x_mailer")))),
         "Content_Transfer_Encoding": F.when(c("h_cte").isNull(), F.lit(1.0)).otherwise(A.flag(A.is_blank(c("h_cte")))),
-        "Return_Path_empty": A.flag((rp == "") | F.trim(rp).isin("<>", "", "<bounce>") | rp.contains("bounce")),
+        "Return_Path_empty": A.flag(A.strip_blanks(rp).isin("<>", "", "<bounce>") | rp.contains("bounce")),
         "Return_Path_From_domain": A.flag(differ(fd, rpd)),
     }
 
@@ -162,26 +182,24 @@ def extended_features(df: DataFrame) -> dict:
 
 
 def header_features(parsed: DataFrame, keep=("msg_id", "dataset", "label", "body_text"),
-                    with_similarity: bool = True) -> DataFrame:
-    """Parsed messages -> feature rows: keep cols, 33 features (config order), extract_error."""
-    df = with_header_values(parsed)
-    feats = {**base_features(df), **extended_features(df)}
-    sel = [F.col(k) for k in keep] + [v.alias(k) for k, v in feats.items()]
-    sel.append(extract_error(df).alias("extract_error"))
-    if with_similarity:
-        c = F.col
-        sim = similarity_block(F.coalesce(c("h_subject"), F.lit("")), A.domain(c("h_from")),
-                               A.domain(c("h_reply_to")), A.domain(c("h_return_path")),
-                               A.message_id_domain(c("h_message_id")))
-        sel.append(sim.alias("_sim"))
-    out = df.select(*sel)
-    if with_similarity:
-        out = out.select("*", *[F.col("_sim")[k].alias(k) for k in ["Subject_symbol", *SIMILARITY_FEATURES]]
-                         ).drop("_sim")
-        order = ALL_HEADER_FEATURES
-    else:
-        order = [f for f in ALL_HEADER_FEATURES if f in feats]
-    return out.select(*keep, *order, "extract_error")
+                    on_error: str = "drop") -> DataFrame:
+    """Parsed messages -> feature rows: keep cols, 33 features (config order), extract_error.
+
+    on_error="zero" (S5) gives a message that can't be read 33 zeros and no
+    error; with "drop" the error is named and `feature_table` leaves it out.
+    """
+    c = F.col
+    df = with_received_times(with_header_values(parsed))
+    feats = {**base_features(df), **extended_features(df), "Subject_symbol": subject_symbol(c("h_subject"))}
+    sim = similarity_scores(A.domain(c("h_from")), A.domain(c("h_reply_to")), A.domain(c("h_return_path")),
+                            A.message_id_domain(c("h_message_id")))
+    out = df.select(*keep, *[v.alias(k) for k, v in feats.items()], extract_error(df).alias("extract_error"), sim.alias("_sim"))
+    value = {k: F.col("_sim")[k] if k in SIMILARITY_FEATURES else F.col(k) for k in ALL_HEADER_FEATURES}
+    if on_error == "zero":
+        bad = F.col("extract_error").isNotNull()
+        return out.select(*keep, *[F.when(bad, F.lit(0.0)).otherwise(v).alias(k) for k, v in value.items()],
+                          F.lit(None).cast("string").alias("extract_error"))
+    return out.select(*keep, *[v.alias(k) for k, v in value.items()], "extract_error")
 
 
 def feature_table(features: DataFrame) -> DataFrame:

@@ -35,12 +35,12 @@ def confusion(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def confusion_normalised(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of each predicted label within each true label (rows sum to 1)."""
-    cells = df.groupBy(*keys, "label", "pred").agg(F.count(F.lit(1)).alias("n"))
-    per_true = df.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_true"))
-    return cells.join(per_true, [*keys, "label"]).select(
-        *keys, F.col("label").alias("true_label"), F.col("pred").alias("pred_label"), "n",
-        (F.col("n") / F.col("n_true")).alias("share"))
+    """All four cells, each as a share of its true label's rows (null if that label has none)."""
+    cells = F.array(*[F.struct(F.lit(t).alias("true_label"), F.lit(p).alias("pred_label"), F.col(c).alias("n"))
+                      for c, t, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])
+    c = confusion(df, keys).select(*keys, "tn", "fp", "fn", "tp", F.explode(cells).alias("cell"))
+    n_true = F.when(F.col("cell.true_label") == 0, F.col("tn") + F.col("fp")).otherwise(F.col("fn") + F.col("tp"))
+    return c.select(*keys, "cell.*", F.try_divide(F.col("cell.n"), n_true).alias("share"))
 
 
 def basic_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +71,7 @@ def score_points(df: DataFrame, keys: list[str]) -> DataFrame:
                                  F.count(F.lit(1)).alias("m"))
     cum = (cum.withColumnRenamed("cum_n_pts", "point").withColumnRenamed("cum_n_pos", "cum_pos")
            .withColumnRenamed("cum_n_neg", "cum_neg"))
-    return cum.join(F.broadcast(tot), keys)
+    return cum.join(tot, keys)
 
 
 def auc_roc(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,12 +142,12 @@ def pr_trapezoid(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def metric_bundle(df: DataFrame, keys: list[str], dp: int = DP) -> DataFrame:
     """The seven published metrics per group, rounded; plus n_samples."""
-    pts = score_points(df, keys).cache()
+    pts = score_points(df, keys)  # its running sums rest in the checkpoint folder
     basic = basic_metrics(df, keys)
     out = (basic.join(auc_roc(pts, keys), keys)
            .join(average_precision(pts, keys), keys)
            .join(fpr_at_tpr(roc_points(pts, keys), keys), keys))
-    r = lambda c: F.round(F.col(c), dp).alias(c)
+    r = lambda c: F.bround(F.col(c), dp).alias(c)  # half to even, as the published tables
     return out.select(*keys, r("accuracy"), r("precision"), r("recall"), r("f1"), r("auc_roc"),
                       r("pr_auc"), r("fpr_at_95tpr"),
                       (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_samples"))

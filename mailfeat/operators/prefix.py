@@ -1,69 +1,41 @@
 """Exact running sums over a data-sized ordered input, without a global window.
 
 A window ordered over a whole group puts the group in one task; here the input
-is range-partitioned on (keys, order), each partition computes its running
-sums while streaming its sorted rows (Arrow batches, constant memory per key),
-and per-partition totals (at most #partitions x #keys rows, so broadcast) give
-each partition its starting offset.  The local pass is checkpointed to the
-shared checkpoint folder, so both passes see identical partitions even after a
-lost executor.
+is range-partitioned on (keys, order) and written to the shared checkpoint
+folder with its partition number.  Within (partition, keys) the running sums
+are an ordinary window; the totals of the partitions before, one row for each
+partition and key, give every partition its starting offset.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
 
-def _local_running(keys: list[str], values: list[str]):
-    def run(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, {v: 0 for v in values}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            out = pdf.copy()
-            out["_pid"] = pid
-            kdf = out[keys].astype(object)
-            kt = list(map(tuple, kdf.itertuples(index=False, name=None)))
-            newgrp = pd.Series([True] + [kt[i] != kt[i - 1] for i in range(1, len(kt))])
-            grp = newgrp.cumsum().values
-            for v in values:
-                cs = out.groupby(grp, sort=False)[v].cumsum()
-                if carry_key is not None and kt[0] == carry_key:
-                    cs = cs + (grp == 1) * carry[v]
-                out["cum_" + v] = cs.values
-            carry_key = kt[-1]
-            for v in values:
-                carry[v] = out["cum_" + v].iloc[-1]
-            yield out
-    return run
-
-
 def prefix_sums(df: DataFrame, keys: list[str], order: list, values: list[str],
                 num_partitions: int | None = None) -> DataFrame:
     """Adds inclusive running sums cum_<v> for each value column, per key group,
     in `order` (a list of sort Columns, e.g. [F.col("score").desc()]).
 
-    Ties in the order columns must be pre-aggregated by the caller.
+    Ties in the order columns must be pre-aggregated by the caller.  A null
+    key is a group of its own.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-    part = part.sortWithinPartitions(*[F.col(k) for k in keys], *order)
-    fields = list(df.schema.fields) + [T.StructField("_pid", T.IntegerType())] + [
-        T.StructField("cum_" + v, df.schema[v].dataType) for v in values]
-    local = part.mapInPandas(_local_running(keys, values), T.StructType(fields)).checkpoint(eager=True)
+    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    local = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     totals = local.groupBy("_pid", *keys).agg(*[F.sum(v).alias("t_" + v) for v in values])
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *keys, *[F.coalesce(F.sum("t_" + v).over(w), F.lit(0)).alias("o_" + v)
-                                             for v in values])
-    out = local.join(F.broadcast(offsets), ["_pid", *keys])
-    return out.select(*df.columns, *[(F.col("cum_" + v) + F.col("o_" + v)).cast(df.schema[v].dataType)
-                                     .alias("cum_" + v) for v in values])
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_pid").alias("_at"), *[F.col(k).alias("_k_" + k) for k in keys],
+                            *[F.coalesce(F.sum("t_" + v).over(before), F.lit(0)).alias("o_" + v) for v in values])
+    here = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = local.select("*", *[F.sum(v).over(here).alias("c_" + v) for v in values])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys], F.col("_pid") == F.col("_at"))
+    return running.join(offsets, same).select(
+        *df.columns, *[(F.col("c_" + v) + F.col("o_" + v)).cast(df.schema[v].dataType).alias("cum_" + v) for v in values])

@@ -55,7 +55,9 @@ def display_table(res: DataFrame) -> DataFrame:
 
 
 def ordered_table(res: DataFrame) -> DataFrame:
-    return display_table(res).orderBy("dataset", "cond_order", "classifier")
+    """R2: the rows of each table in their display order, with their place in it."""
+    w = Window.partitionBy("dataset").orderBy("cond_order", "classifier")
+    return display_table(res).withColumn("place", F.row_number().over(w)).orderBy("dataset", "place")
 
 
 def best_per_condition(res: DataFrame) -> DataFrame:
@@ -65,13 +67,14 @@ def best_per_condition(res: DataFrame) -> DataFrame:
 
 
 def fusion_gain(res: DataFrame) -> DataFrame:
-    """Fusion F1 gain in points over the best header-only and body-only rows."""
+    """Fusion F1 gain in points over the best header-only and body-only rows, and whose rows these are."""
     b = best_per_condition(res)
-    g = b.groupBy("dataset").agg(*[F.max(F.when(F.col("condition") == c, F.col("f1"))).alias(c)
-                                   for c in CONDITIONS])
-    return g.where(F.col("fusion").isNotNull()).select(
-        "dataset", F.round((F.col("fusion") - F.col("header_only")) * 100.0, 2).alias("gain_vs_header"),
-        F.round((F.col("fusion") - F.col("body_only")) * 100.0, 2).alias("gain_vs_body"))
+    aggs = [F.max(F.when(F.col("condition") == c, F.col(m))).alias(f"{m}_{c}") for m in ("f1", "classifier") for c in CONDITIONS]
+    g = b.groupBy("dataset").agg(*aggs).where(F.col("f1_fusion").isNotNull())
+    return g.select(
+        "dataset", *[F.col(f"classifier_{c}").alias(f"best_{c}") for c in CONDITIONS],
+        F.round((F.col("f1_fusion") - F.col("f1_header_only")) * 100.0, 2).alias("gain_vs_header"),
+        F.round((F.col("f1_fusion") - F.col("f1_body_only")) * 100.0, 2).alias("gain_vs_body"))
 
 
 def baselines(spark: SparkSession) -> DataFrame:
@@ -85,14 +88,16 @@ def baseline_compare(res: DataFrame, base: DataFrame) -> DataFrame:
     """Best rows of each condition (datasets with a fusion result) + published baselines."""
     b = best_per_condition(res)
     has_fusion = res.where(F.col("condition") == "fusion").select("dataset").distinct()
+    percent = ["accuracy", "f1", "precision", "recall"]
+    shares = ["pr_auc", "fpr_at_95tpr"]
     ours = b.join(has_fusion, "dataset").select(
         "dataset", _label("condition", _METHODS).alias("method"), "classifier",
-        F.round(F.col("accuracy") * 100.0, 2).alias("accuracy_pct"),
-        F.round(F.col("f1") * 100.0, 2).alias("f1_pct"), F.round("pr_auc", 4).alias("pr_auc"))
+        *[F.round(F.col(m) * 100.0, 2).alias(f"{m}_pct") for m in percent], *[F.round(m, 4).alias(m) for m in shares])
+    none = F.lit(None).cast("double")
     pub = base.where(F.col("accuracy").isNotNull()).join(has_fusion, "dataset").select(
         "dataset", F.concat(F.col("source"), F.lit(" ["), F.col("method"), F.lit("]")).alias("method"),
         F.lit(None).cast("string").alias("classifier"), F.col("accuracy").alias("accuracy_pct"),
-        F.lit(None).cast("double").alias("f1_pct"), F.lit(None).cast("double").alias("pr_auc"))
+        *[none.alias(f"{m}_pct") for m in percent[1:]], *[none.alias(m) for m in shares])
     return ours.unionByName(pub)
 
 
@@ -124,7 +129,6 @@ def f1_grouped(res: DataFrame) -> DataFrame:
 def full_report(res: DataFrame, base: DataFrame) -> dict[str, DataFrame]:
     """Every report for all datasets at once."""
     return {
-        "datasets": res.select("dataset").distinct(),
         "ordered": ordered_table(res),
         "best": best_per_condition(res),
         "comparison": baseline_compare(res, base),
@@ -135,5 +139,29 @@ def full_report(res: DataFrame, base: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+# of each part of the report: what names a row, and its numbers
+_PARTS = {
+    "ordered": (["condition", "classifier"], ["place", "accuracy_pct", "precision_pct", "recall_pct", "f1_pct", "auc_roc", "pr_auc", "fpr_at_95tpr"]),
+    "best": (["condition", "classifier"], ["accuracy", "f1"]),
+    "comparison": (["method"], ["accuracy_pct", "f1_pct", "precision_pct", "recall_pct", "pr_auc", "fpr_at_95tpr"]),
+    "gain": ([], ["gain_vs_header", "gain_vs_body"]),
+    "baseline_diff": ([], ["our_accuracy_pct", "diff_pct"]),
+    "f1_pivot": (["condition"], CLASSIFIERS),
+    "f1_grouped": (["condition", "classifier"], ["f1_pct"]),
+}
+
+
+def report_long(res: DataFrame, base: DataFrame) -> DataFrame:
+    """R12 as one table: part, dataset, item, measure, value (a null value where a part has none)."""
+    out = None
+    for part, df in full_report(res, base).items():
+        names, measures = _PARTS[part]
+        item = F.concat_ws(" / ", *names) if names else F.lit("")
+        pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+        rows = df.select(F.lit(part).alias("part"), "dataset", item.alias("item"), pairs.alias("x")).select("part", "dataset", "item", "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 __all__ = ["summary_union", "display_table", "ordered_table", "best_per_condition", "fusion_gain",
-           "baseline_compare", "baseline_diff", "f1_pivot", "f1_grouped", "full_report", "METRIC_COLS"]
+           "baseline_compare", "baseline_diff", "f1_pivot", "f1_grouped", "full_report", "report_long", "METRIC_COLS"]

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import difflib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address as A
-from ..functions.constants import (ALL_HEADER_FEATURES, SIMILARITY_FEATURES, SUSPICIOUS_TLDS,
-                                   SUSPICIOUS_USERNAME_KEYWORDS)
+from ..functions.constants import (ALL_HEADER_FEATURES, KNOWN_LEGIT_DOMAINS, SIMILARITY_FEATURES, SUSPICIOUS_TLDS,
+                                   SUSPICIOUS_USERNAME_KEYWORDS, TYPOSQUAT_EXACT, TYPOSQUAT_NEAR)
+from ..functions.similarity import similarity_scores
 from ..operators import headers as H
 from ..sources.tables import TEMPLATE_COLUMNS, TEMPLATES, messages
 from .sqltext import q
 
-NOSIM = [f for f in ALL_HEADER_FEATURES if f not in SIMILARITY_FEATURES]
+USERNAME = [f for f in ALL_HEADER_FEATURES if f.startswith("from_username_")]
+DOMAIN = ["from_domain_subdomain_depth", "from_tld_suspicious", "from_domain_typosquat_score"]
 BASE17 = ALL_HEADER_FEATURES[:17]
 EXT_NOSIM = [f for f in ALL_HEADER_FEATURES[17:] if f not in SIMILARITY_FEATURES]
 
@@ -73,7 +78,7 @@ def q_extract_errors(spark, sf):
 
 def q_feature_table(spark, sf):
     ft = H.feature_table(all_features(spark, sf))
-    return ft.select("msg_id", "dataset", "label", F.length("body_text").alias("body_len"), *NOSIM)
+    return ft.select("msg_id", "dataset", "label", F.length("body_text").alias("body_len"), *ALL_HEADER_FEATURES)
 
 
 def q_class_counts(spark, sf):
@@ -89,7 +94,23 @@ def q_dataset_selection(spark, sf, names=("d0", "d2")):
     return ft.select("msg_id", "dataset", "label")
 
 
+def q_username_block(spark, sf):
+    df = H.with_header_values(parsed_messages(spark, sf))
+    block = A.username_block(F.col("h_from"))
+    return df.select("msg_id", *[block[f.removeprefix("from_username_")].alias(f) for f in USERNAME])
+
+
+def q_domain_block(spark, sf):
+    df = H.with_header_values(parsed_messages(spark, sf))
+    d = A.domain(F.col("h_from"))
+    block = A.domain_block(F.col("h_from"))
+    score = similarity_scores(d, F.lit(""), F.lit(""), F.lit(""))["from_domain_typosquat_score"]
+    return df.select("msg_id", block["subdomain_depth"].alias(DOMAIN[0]), block["tld_suspicious"].alias(DOMAIN[1]), score.alias(DOMAIN[2]))
+
+
 QUERIES = {
+    "username_block": q_username_block,
+    "domain_block": q_domain_block,
     "header_lookup": q_header_lookup,
     "address_parts": q_address_parts,
     "address_list": q_address_list,
@@ -112,26 +133,47 @@ def _lit(v):
         return "NULL"
     if isinstance(v, int):
         return str(v)
-    return " || chr(13) || chr(10) || ".join(q(p) for p in v.split("\r\n"))
+    return " || chr(13) || chr(10) || ".join(" || chr(9) || ".join(q(x) for x in p.split("\t")) for p in v.split("\r\n"))
+
+
+def _template_scores(d: dict) -> dict[str, float]:
+    """The six similarity scores of a template by the standard library alone (no domain holds the id)."""
+    def dom(value, pattern):
+        m = re.search(pattern, value or "")
+        return m[1].lower() if m else ""
+
+    def like(a, b):
+        return difflib.SequenceMatcher(None, a, b).ratio()
+
+    frm, reply, bounce = (dom(d.get(c), r"@([\w.\-]+)") for c in ("from_h", "reply_to_h", "return_path_h"))
+    mid = dom(d.get("message_id_h"), r"@([\w.\-]+)>")
+    typo = []
+    for x in (frm, reply, bounce):
+        best = max(like(x, k) for k in KNOWN_LEGIT_DOMAINS) if x else 0.0
+        typo.append(round(1 - best, 4) if TYPOSQUAT_NEAR <= best < TYPOSQUAT_EXACT else 0.0)
+    away = [round(1 - like(frm, x), 4) if frm and x else 0.0 for x in (reply, bounce, mid)]
+    return dict(zip(SIMILARITY_FEATURES, typo + away))
 
 
-_STR = [c for c in TEMPLATE_COLUMNS if c not in ("t", "recv_n", "recv_span_s")]
+_STR = [c for c in TEMPLATE_COLUMNS if c not in ("t", "recv_n", "recv_span_s", "mixed")]
 _rows = []
 for d in TEMPLATES:
     r = {c: d.get(c) for c in TEMPLATE_COLUMNS}
     r["subject_dec"] = d.get("subject_dec", d.get("subject_h"))
     r["recv_n"] = d.get("recv_n", 0)
     r["recv_span_s"] = d.get("recv_span_s", 0)
-    _rows.append("(" + ", ".join(_lit(r[c]) for c in TEMPLATE_COLUMNS) + ")")
-_TPL = f"tpl({', '.join(TEMPLATE_COLUMNS)}) AS (VALUES {', '.join(_rows)})"
+    r["mixed"] = d.get("mixed", 0)
+    scores = [f"CAST({v} AS DOUBLE)" for v in _template_scores(d).values()]
+    _rows.append("(" + ", ".join([*(_lit(r[c]) for c in TEMPLATE_COLUMNS), *scores]) + ")")
+_TPL = f"tpl({', '.join([*TEMPLATE_COLUMNS, *SIMILARITY_FEATURES])}) AS (VALUES {', '.join(_rows)})"
 _SUBS = ", ".join(f"replace(CAST(tpl.{c} AS VARCHAR), '{{id}}', CAST(d.doc_id AS VARCHAR)) AS {c}" for c in _STR)
 ADDR = "[\\w.+\\-]+@[\\w.\\-]+"
 _USED = [c for c in _STR if c != "subject_dec"]
 MSGS = f"""{_TPL},
 m0 AS (SELECT d.doc_id AS msg_id, 'd' || CAST(d.doc_id % 3 AS VARCHAR) AS dataset, CAST(l.toxic AS INTEGER) AS label,
-              coalesce(d.text, '') AS body_text, tpl.recv_n, tpl.recv_span_s, {_SUBS}
+              coalesce(d.text, '') AS body_text, tpl.recv_n, tpl.recv_span_s, tpl.mixed, {', '.join('tpl.' + f for f in SIMILARITY_FEATURES)}, {_SUBS}
        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id JOIN tpl ON tpl.t = d.doc_id % 16),
-msgs AS (SELECT *, {' OR '.join(f"coalesce(regexp_matches({c}, '[^\\x00-\\x7F]'), false)" for c in _USED)} AS bad,
+msgs AS (SELECT *, {' OR '.join(f"coalesce(regexp_matches({c}, '[^\\x00-\\x7F]'), false)" for c in _USED)} AS non_ascii, non_ascii OR mixed = 1 AS bad,
    lower(trim(regexp_extract(coalesce(from_h, ''), '@([\\w.\\-]+)', 1))) AS fd,
    lower(trim(regexp_extract(coalesce(reply_to_h, ''), '@([\\w.\\-]+)', 1))) AS rd,
    lower(trim(regexp_extract(coalesce(return_path_h, ''), '@([\\w.\\-]+)', 1))) AS pd,
@@ -186,7 +228,7 @@ FEATS_SQL = {
     "Reply_To_domain": _f(_diff("fd", "rd")),
     "X_Mailer_exist": _f(f"x_mailer_h IS NULL OR {_blank('x_mailer_h')}"),
     "Content_Transfer_Encoding": _f(f"cte_h IS NULL OR {_blank('cte_h')}"),
-    "Return_Path_empty": _f("rp = '' OR trim(rp) IN ('<>', '', '<bounce>') OR contains(rp, 'bounce')"),
+    "Return_Path_empty": _f("regexp_replace(rp, '^[ \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F]+|[ \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F]+$', '', 'g') IN ('<>', '', '<bounce>') OR contains(rp, 'bounce')"),
     "Return_Path_From_domain": _f(_diff("fd", "pd")),
     "from_username_length": _ulen("fu"),
     "from_username_digit_ratio": "CAST(CASE WHEN fu = '' THEN 0.0 ELSE length(regexp_replace(fu, '[^0-9]', '', 'g')) / CAST(length(fu) AS DOUBLE) END AS DOUBLE)",
@@ -198,6 +240,7 @@ FEATS_SQL = {
     "replyto_tld_suspicious": _tld_susp("rd"),
     "returnpath_username_length": _ulen("pu"),
     "returnpath_tld_suspicious": _tld_susp("pd"),
+    **{f: f for f in SIMILARITY_FEATURES},
 }
 
 
@@ -222,9 +265,12 @@ ORACLE = {
         CAST({_n('bcc_h')} AS INTEGER) AS n_bcc FROM msgs""",
     "header_base17": f"WITH {MSGS} SELECT msg_id, {_select(BASE17)} FROM msgs WHERE NOT bad",
     "header_extended_nosim": f"WITH {MSGS} SELECT msg_id, {_select(EXT_NOSIM)} FROM msgs WHERE NOT bad",
-    "extract_errors": f"WITH {MSGS} SELECT msg_id, 'non_ascii_header' AS extract_error FROM msgs WHERE bad",
+    "extract_errors": f"WITH {MSGS} SELECT msg_id, CASE WHEN non_ascii THEN 'non_ascii_header' ELSE 'mixed_naive_aware_dates' END AS extract_error FROM msgs WHERE bad",
     "feature_table": f"""WITH {MSGS} SELECT msg_id, dataset, label, CAST(length(body_text) AS INTEGER) AS body_len,
-        {_select(NOSIM)} FROM msgs WHERE NOT bad""",
+        {_select(ALL_HEADER_FEATURES)} FROM msgs WHERE NOT bad""",
+    "header_similarity": f"WITH {MSGS} SELECT msg_id, {_select(SIMILARITY_FEATURES)} FROM msgs WHERE NOT bad",
+    "username_block": f"""WITH {MSGS} SELECT msg_id, {', '.join(f"{FEATS_SQL[f]} AS {f}" for f in USERNAME)} FROM msgs""",
+    "domain_block": f"""WITH {MSGS} SELECT msg_id, {', '.join(f"{FEATS_SQL[f]} AS {f}" for f in DOMAIN)} FROM msgs""",
     "class_counts": f"""WITH {MSGS}
 SELECT dataset, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos, count(*) - CAST(sum(label) AS BIGINT) AS n_neg,
        round(sum(label) * 100.0 / count(*), 2) AS pct_pos

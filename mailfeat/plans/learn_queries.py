@@ -15,7 +15,7 @@ from ..sources.tables import labelled_documents, messages
 from . import header_queries as HQ
 from . import text_queries as TQ
 
-NOSIM = HQ.NOSIM
+FEATURES = ALL_HEADER_FEATURES
 R = 6
 
 
@@ -42,13 +42,13 @@ def q_class_weights(spark, sf):
 
 def q_header_zscore(spark, sf):
     ft = labelled_features(spark, sf)
-    long = M.header_stats_long(M.header_stats(ft, NOSIM), NOSIM)
+    long = M.header_stats_long(M.header_stats(ft, FEATURES), FEATURES)
     return long.select("dataset", "feature", F.round("mean", R).alias("mean"), F.round("scale", R).alias("scale"))
 
 
 def q_nb_parameters(spark, sf):
     ft = labelled_features(spark, sf)
-    p = L.nb_params_long(L.nb_fit(ft, NOSIM), NOSIM)
+    p = L.nb_params_long(L.nb_fit(ft, FEATURES), FEATURES)
     return p.select("dataset", "label", "feature", F.round("prior", R).alias("prior"),
                     F.round("mean", R).alias("mean"), F.round("var", R).alias("var"))
 
@@ -57,8 +57,8 @@ def q_nb_predict(spark, sf):
     ft = labelled_features(spark, sf)
     sp = L.stratified_split(ft.select("msg_id", "dataset", "label")).select("msg_id", "split")
     ft = ft.join(sp, "msg_id")
-    params = L.nb_fit(ft.where(F.col("split") == "train"), NOSIM)
-    pred = L.nb_predict(ft.where(F.col("split") == "test"), params, NOSIM)
+    params = L.nb_fit(ft.where(F.col("split") == "train"), FEATURES)
+    pred = L.nb_predict(ft.where(F.col("split") == "test"), params, FEATURES)
     return pred.select("msg_id", "dataset", "label", "pred", F.round("score", R).alias("score"))
 
 
@@ -125,7 +125,7 @@ _LABDOCS = """
 base AS (SELECT d.doc_id AS msg_id, 'd' || CAST(d.doc_id % 3 AS VARCHAR) AS dataset, CAST(l.toxic AS INTEGER) AS label
          FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 _FT = f"""{HQ.MSGS},
-ft AS (SELECT msg_id, dataset, label, {HQ._select(NOSIM)} FROM msgs WHERE NOT bad AND label IS NOT NULL)"""
+ft AS (SELECT msg_id, dataset, label, {HQ._select(FEATURES)} FROM msgs WHERE NOT bad AND label IS NOT NULL)"""
 
 
 def _stats_long(src, stat_sql, cols):
@@ -139,11 +139,12 @@ def q_(s):
 
 _NB_CLASS = " UNION ALL ".join(
     f"SELECT dataset, label, {q_(f)} AS feature, avg({f}) AS mean, var_pop({f}) AS v, count(*) AS n_c FROM ft GROUP BY dataset, label"
-    for f in NOSIM)
-_NB_EPS = "SELECT dataset, count(*) AS n, greatest(" + ", ".join(f"var_pop({f})" for f in NOSIM) + ") * 1e-9 AS eps FROM ft GROUP BY dataset"
+    for f in FEATURES)
+_NB_EPS = "SELECT dataset, count(*) AS n, greatest(" + ", ".join(f"var_pop({f})" for f in FEATURES) + ") * 1e-9 AS eps FROM ft GROUP BY dataset"
 
 ORACLE = {
-    "stratified_folds": f"WITH {_LABDOCS},{_RANKED} SELECT msg_id, dataset, label, CAST((rk - 1) % {CV_FOLDS} AS INTEGER) AS fold FROM ranked",
+    "stratified_folds": f"""WITH {_LABDOCS}
+SELECT msg_id, dataset, label, CAST((row_number() OVER (PARTITION BY dataset ORDER BY label, md5(CAST(msg_id AS VARCHAR) || ':42'), msg_id) - 1) % {CV_FOLDS} AS INTEGER) AS fold FROM base""",
     "stratified_split": f"WITH {_LABDOCS},{_RANKED} SELECT msg_id, dataset, label, {_SPLIT} AS split FROM ranked",
     "class_weights": f"""WITH {_LABDOCS}
 SELECT c.dataset, c.label, round(t.n / (2.0 * c.n_c), 6) AS weight
@@ -151,7 +152,7 @@ FROM (SELECT dataset, label, count(*) AS n_c FROM base GROUP BY ALL) c
 JOIN (SELECT dataset, count(*) AS n FROM base GROUP BY ALL) t USING (dataset)""",
     "header_zscore": f"""WITH {_FT}
 SELECT dataset, feature, round(mean, 6) AS mean, round(CASE WHEN sd = 0 THEN 1.0 ELSE sd END, 6) AS scale FROM (
-{_stats_long('ft', 'avg({f}) AS mean, stddev_pop({f}) AS sd', NOSIM)})""",
+{_stats_long('ft', 'avg({f}) AS mean, stddev_pop({f}) AS sd', FEATURES)})""",
     "nb_parameters": f"""WITH {_FT},
 cls AS ({_NB_CLASS}), eps AS ({_NB_EPS})
 SELECT c.dataset, c.label, c.feature, round(c.n_c / CAST(e.n AS DOUBLE), 6) AS prior, round(c.mean, 6) AS mean,
@@ -166,7 +167,7 @@ eps AS ({_NB_EPS.replace('FROM ft', 'FROM tr')}),
 par AS (SELECT c.dataset, c.label, c.feature, c.n_c / CAST(e.n AS DOUBLE) AS prior, c.mean, c.v + e.eps AS var
         FROM cls c JOIN eps e USING (dataset)),
 te AS (SELECT * FROM ft2 WHERE split = 'test'),
-lng AS ({' UNION ALL '.join(f"SELECT msg_id, dataset, label, {q_(f)} AS feature, {f} AS x FROM te" for f in NOSIM)}),
+lng AS ({' UNION ALL '.join(f"SELECT msg_id, dataset, label, {q_(f)} AS feature, {f} AS x FROM te" for f in FEATURES)}),
 jl AS (SELECT l.msg_id, l.dataset, l.label, p.label AS cls, ln(max(p.prior)) +
               sum(-0.5 * ln(2.0 * pi() * p.var) - 0.5 * (l.x - p.mean) * (l.x - p.mean) / p.var) AS j
        FROM lng l JOIN par p ON l.dataset = p.dataset AND l.feature = p.feature GROUP BY ALL),

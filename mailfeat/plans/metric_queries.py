@@ -23,10 +23,16 @@ COMBOS = [
     ("body_only", "NB", 0, 0, 1), ("body_only", "RF", 1, 0, 1), ("body_only", "SVM", 0, 1, 1),
     ("fusion", "NB", 1, 1, 1), ("fusion", "RF", 2, 1, 0), ("fusion", "SVM", 0, 2, 1),
 ]
-_NUM = ("(w1 * (least(coalesce(n_chars, 0), 20000) {div} 20) + w2 * ((doc_id * 7919) % 1000)"
+# a length score below 1000 that keeps growing with the length
+_NUM = ("(w1 * ((coalesce(n_chars, 0) * 1000) {div} (coalesce(n_chars, 0) + 4000)) + w2 * ((doc_id * 7919) % 1000)"
         " + w3 * quality * 1000) {div} (w1 + w2 + w3)")
 
 
+# result tables carry the published dataset names, so that baselines meet them
+DATASETS = ["SpamAssassin", "Nazario", "TREC7"]
+DATASET_SQL = "CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(DATASETS)) + " END"
+
+
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
@@ -35,7 +41,7 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs.join(lab, "doc_id").crossJoin(combos)
     d = d.withColumn("score", F.expr(_NUM.format(div="div")) / 1000.0)
     return d.select(
-        F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("dataset"),
+        F.expr(DATASET_SQL).alias("dataset"),
         "condition", "classifier", F.col("doc_id").alias("msg_id"),
         F.col("toxic").cast("int").alias("label"),
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("pred"),
@@ -111,7 +117,7 @@ QUERIES = {
 _VALUES = ", ".join(f"('{c}', '{k}', {a}, {b}, {q})" for c, k, a, b, q in COMBOS)
 SCORED_SQL = f"""
 scored AS (
-  SELECT 'd' || CAST(d.doc_id % 3 AS VARCHAR) AS dataset, c.condition, c.classifier, d.doc_id AS msg_id,
+  SELECT {DATASET_SQL.replace('doc_id', 'd.doc_id')} AS dataset, c.condition, c.classifier, d.doc_id AS msg_id,
          CAST(l.toxic AS INTEGER) AS label,
          CASE WHEN s.score >= 0.5 THEN 1 ELSE 0 END AS pred, s.score
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
@@ -161,10 +167,13 @@ def _w(*parts):
 ORACLE = {
     "confusion": _w(SCORED_SQL, CONF_SQL) + f" SELECT {K}, tn, fp, fn, tp FROM conf",
     "confusion_normalised": _w(SCORED_SQL) + f"""
-SELECT c.dataset, c.condition, c.classifier, c.label AS true_label, c.pred AS pred_label, c.n,
-       round(c.n / CAST(t.n_true AS DOUBLE), 6) AS share
-FROM (SELECT {K}, label, pred, count(*) AS n FROM scored GROUP BY ALL) c
-JOIN (SELECT {K}, label, count(*) AS n_true FROM scored GROUP BY ALL) t USING ({K}, label)""",
+SELECT g.dataset, g.condition, g.classifier, t.true_label, p.pred_label,
+       count(s.msg_id) AS n, round(count(s.msg_id) / CAST(nullif(max(nt.n_true), 0) AS DOUBLE), 6) AS share
+FROM (SELECT DISTINCT {K} FROM scored) g CROSS JOIN (VALUES (0), (1)) t(true_label) CROSS JOIN (VALUES (0), (1)) p(pred_label)
+LEFT JOIN scored s ON s.dataset = g.dataset AND s.condition = g.condition AND s.classifier = g.classifier AND s.label = t.true_label AND s.pred = p.pred_label
+LEFT JOIN (SELECT {K}, label, count(*) AS n_true FROM scored GROUP BY ALL) nt
+  ON nt.dataset = g.dataset AND nt.condition = g.condition AND nt.classifier = g.classifier AND nt.label = t.true_label
+GROUP BY ALL""",
     "basic_metrics": _w(SCORED_SQL, CONF_SQL) + f"""
 SELECT {K}, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(f1, 6) AS f1 FROM basic""",
@@ -183,8 +192,8 @@ SELECT {K}, CASE WHEN max(P) > 0 THEN round(sum(n_pos / CAST(P AS DOUBLE) * (
               ELSE (cum_pos - n_pos) / CAST(cum_pos - n_pos + cum_neg - n_neg AS DOUBLE) END) / 2.0), 6) END
        AS pr_trapezoid FROM pts GROUP BY {K}""",
     "metric_bundle": _w(SCORED_SQL, CONF_SQL, POINTS_SQL) + f"""
-SELECT b.dataset, b.condition, b.classifier, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision,
-       round(recall, 4) AS recall, round(f1, 4) AS f1, round(auc_roc, 4) AS auc_roc, round(pr_auc, 4) AS pr_auc,
-       round(fpr_at_95tpr, 4) AS fpr_at_95tpr, tn + fp + fn + tp AS n_samples
+SELECT b.dataset, b.condition, b.classifier, round_even(accuracy, 4) AS accuracy, round_even(precision, 4) AS precision,
+       round_even(recall, 4) AS recall, round_even(f1, 4) AS f1, round_even(auc_roc, 4) AS auc_roc, round_even(pr_auc, 4) AS pr_auc,
+       round_even(fpr_at_95tpr, 4) AS fpr_at_95tpr, tn + fp + fn + tp AS n_samples
 FROM basic b JOIN auc USING ({K}) JOIN ap USING ({K}) JOIN f95 USING ({K})""",
 }

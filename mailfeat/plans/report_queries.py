@@ -9,24 +9,31 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import CLASSIFIERS, CONDITIONS, HEADER_BASELINE_ACCURACY, PUBLISHED_BASELINES
+from ..functions.constants import ALL_HEADER_FEATURES, CLASSIFIERS, CONDITIONS, HEADER_BASELINE_ACCURACY, PUBLISHED_BASELINES
+from ..operators import corpus as V
 from ..operators import learn as L
 from ..operators import metrics as E
 from ..operators import report as R
 from ..sources.tables import labelled_documents
 from . import learn_queries as LQ
 from . import metric_queries as MQ
+from . import text_queries as TQ
 
 KEYS = MQ.KEYS
-N_FEATURES = {"header_only": 33, "body_only": 5000, "fusion": 5033}
+N_HEADER = len(ALL_HEADER_FEATURES)
 
 
 def results_cv(spark, sf) -> DataFrame:
-    b = E.metric_bundle(MQ.scored_rows(spark, sf), KEYS)
-    nf = F.lit(None).cast("int")
-    for c, n in N_FEATURES.items():
-        nf = F.when(F.col("condition") == c, F.lit(n)).otherwise(nf)
-    return b.withColumn("n_features", nf)
+    return E.metric_bundle(MQ.scored_rows(spark, sf), KEYS)
+
+
+def with_n_features(res: DataFrame, vocab: DataFrame) -> DataFrame:
+    """n_features of each condition from the size of the dataset's fitted vocabulary."""
+    names = F.element_at(F.array(*map(F.lit, MQ.DATASETS)), F.substring("dataset", 2, 1).cast("int") + 1)
+    size = vocab.groupBy("dataset").agg(F.count(F.lit(1)).alias("v")).select(names.alias("dataset"), "v")
+    n = (F.when(F.col("condition") == "header_only", F.lit(N_HEADER)).when(F.col("condition") == "body_only", F.col("v"))
+         .otherwise(F.col("v") + N_HEADER))
+    return res.join(size, "dataset", "left").withColumn("n_features", n.cast("int")).drop("v")
 
 
 def results_test(spark, sf) -> DataFrame:
@@ -37,11 +44,12 @@ def results_test(spark, sf) -> DataFrame:
 
 
 def q_summary_union(spark, sf):
-    return R.summary_union([results_cv(spark, sf), results_test(spark, sf)])
+    vocab = V.fit_vocabulary(TQ._labelled_terms(spark, sf))
+    return R.summary_union([with_n_features(results_cv(spark, sf), vocab), results_test(spark, sf)])
 
 
 def q_ordered_table(spark, sf):
-    return R.display_table(results_cv(spark, sf))
+    return R.ordered_table(results_cv(spark, sf))
 
 
 def q_test_summary(spark, sf):
@@ -73,8 +81,7 @@ def q_f1_grouped(spark, sf):
 
 
 def q_full_report(spark, sf):
-    res = results_cv(spark, sf)
-    return R.full_report(res, R.baselines(spark))["datasets"]
+    return R.report_long(results_cv(spark, sf), R.baselines(spark))
 
 
 QUERIES = {
@@ -100,25 +107,28 @@ def _bundle(src: str, sfx: str) -> str:
     body = body.replace("FROM scored", f"FROM {src}")
     body = re.sub(r"\b(" + "|".join(_NAMES) + r")\b", lambda m: m.group(1) + sfx, body)
     return body + f""",
-bundle{sfx} AS (SELECT b.dataset, b.condition, b.classifier, round(accuracy, 4) AS accuracy,
-       round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1,
-       round(auc_roc, 4) AS auc_roc, round(pr_auc, 4) AS pr_auc, round(fpr_at_95tpr, 4) AS fpr_at_95tpr,
+bundle{sfx} AS (SELECT b.dataset, b.condition, b.classifier, round_even(accuracy, 4) AS accuracy,
+       round_even(precision, 4) AS precision, round_even(recall, 4) AS recall, round_even(f1, 4) AS f1,
+       round_even(auc_roc, 4) AS auc_roc, round_even(pr_auc, 4) AS pr_auc, round_even(fpr_at_95tpr, 4) AS fpr_at_95tpr,
        tn + fp + fn + tp AS n_samples
   FROM basic{sfx} b JOIN auc{sfx} USING ({K}) JOIN ap{sfx} USING ({K}) JOIN f95{sfx} USING ({K}))"""
 
 
-_NF = "CAST(CASE condition " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in N_FEATURES.items()) + " END AS INTEGER)"
 RES = (MQ.SCORED_SQL + "," + _bundle("scored", "") + "," + LQ._LABDOCS + "," + LQ._RANKED + f""",
 split AS (SELECT msg_id, {LQ._SPLIT} AS split FROM ranked),
 scored_t AS (SELECT s.* FROM scored s JOIN split p ON s.msg_id = p.msg_id WHERE p.split = 'test'),"""
        + _bundle("scored_t", "_t") + f""",
-res AS (SELECT *, {_NF} AS n_features FROM bundle),
+res AS (SELECT * FROM bundle),
 res_t AS (SELECT {K}, accuracy, precision, recall, f1, auc_roc, pr_auc, fpr_at_95tpr, 'test' AS phase FROM bundle_t),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, condition ORDER BY f1 DESC,
            CASE classifier {' '.join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CLASSIFIERS))} ELSE {len(CLASSIFIERS)} END) AS rn
          FROM res) WHERE rn = 1)""")
 
 
+_VSIZE = f"""vsize AS (SELECT {MQ.DATASET_SQL.replace("doc_id % 3", "CAST(substr(dataset, 2, 1) AS INTEGER)")} AS dataset, count(*) AS v FROM vocab GROUP BY dataset)"""
+_NF = f"CAST(CASE condition WHEN 'header_only' THEN {N_HEADER} WHEN 'body_only' THEN v ELSE v + {N_HEADER} END AS INTEGER)"
+
+
 def _display(src):
     cond = "CASE condition " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CONDITIONS)) + f" ELSE {len(CONDITIONS)} END"
     from ..functions.constants import CLF_DISPLAY, COND_DISPLAY
@@ -129,42 +139,57 @@ def _display(src):
             f"round(auc_roc, 4) AS auc_roc, round(pr_auc, 4) AS pr_auc, round(fpr_at_95tpr, 4) AS fpr_at_95tpr FROM {src}")
 
 
+def _ordered(src):
+    return f"SELECT *, CAST(row_number() OVER (PARTITION BY dataset ORDER BY cond_order, classifier) AS INTEGER) AS place FROM ({_display(src)})"
+
+
 _BASE_VALUES = ", ".join(
     "('{}', '{}', {}, '{}')".format(s, d, "NULL" if a is None else f"CAST({a} AS DOUBLE)", m)
     for s, d, a, m in PUBLISHED_BASELINES)
 _METHOD = "CASE condition WHEN 'fusion' THEN 'Our Fusion (Best)' WHEN 'header_only' THEN 'Header-only (ours)' WHEN 'body_only' THEN 'Body-only (ours)' ELSE condition END"
 
+_GAIN = "SELECT dataset, " + ", ".join(f"max(CASE WHEN condition = '{c}' THEN classifier END) AS best_{c}" for c in CONDITIONS) + """,
+       round((max(CASE WHEN condition = 'fusion' THEN f1 END) - max(CASE WHEN condition = 'header_only' THEN f1 END)) * 100.0, 2) AS gain_vs_header,
+       round((max(CASE WHEN condition = 'fusion' THEN f1 END) - max(CASE WHEN condition = 'body_only' THEN f1 END)) * 100.0, 2) AS gain_vs_body
+FROM best GROUP BY dataset HAVING max(CASE WHEN condition = 'fusion' THEN f1 END) IS NOT NULL"""
+_PCT = ("accuracy", "f1", "precision", "recall")
+_COMPARE = f"""
+SELECT b.dataset, {_METHOD} AS method, classifier, {", ".join(f"round({m} * 100.0, 2) AS {m}_pct" for m in _PCT)},
+       round(pr_auc, 4) AS pr_auc, round(fpr_at_95tpr, 4) AS fpr_at_95tpr
+FROM best b WHERE dataset IN (SELECT dataset FROM res WHERE condition = 'fusion')
+UNION ALL
+SELECT p.dataset, p.source || ' [' || p.method || ']', CAST(NULL AS VARCHAR), p.accuracy, {", ".join(["CAST(NULL AS DOUBLE)"] * 5)}
+FROM (VALUES {_BASE_VALUES}) p(source, dataset, accuracy, method)
+WHERE p.accuracy IS NOT NULL AND dataset IN (SELECT dataset FROM res WHERE condition = 'fusion')"""
+_DIFF = f"""SELECT dataset, round(accuracy * 100.0, 2) AS our_accuracy_pct, round(accuracy * 100.0 - {HEADER_BASELINE_ACCURACY}, 2) AS diff_pct
+FROM best WHERE condition = 'fusion' AND contains(dataset, 'SpamAssassin')"""
+_PIVOT = f"""SELECT dataset, condition, {', '.join(f"first(CASE WHEN classifier = '{c}' THEN round(f1 * 100.0, 2) END) FILTER (WHERE classifier = '{c}') AS {c}" for c in CLASSIFIERS)}
+FROM res GROUP BY dataset, condition"""
+_GROUPED = f"""SELECT g.dataset, g.classifier, g.condition, round(coalesce(r.f1, 0.0) * 100.0, 2) AS f1_pct
+FROM (SELECT d.dataset, dims.condition, dims.classifier FROM (SELECT DISTINCT dataset FROM res) d
+      CROSS JOIN (VALUES {', '.join(f"('{c}', '{k}')" for c in CONDITIONS for k in CLASSIFIERS)}) dims(condition, classifier)) g
+LEFT JOIN res r USING ({K})"""
+
+
+def _long(part: str, sql: str, names: list[str], measures: list[str]) -> str:
+    item = " || ' / ' || ".join(names) if names else "''"
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, dataset, {item} AS item, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ({sql})" for m in measures)
+
+
+_REPORT = {"ordered": _ordered("res"), "best": "SELECT * FROM best", "comparison": _COMPARE, "gain": _GAIN, "baseline_diff": _DIFF, "f1_pivot": _PIVOT, "f1_grouped": _GROUPED}
 ORACLE = {
-    "summary_union": f"""WITH {RES}
-SELECT {K}, accuracy, precision, recall, f1, auc_roc, pr_auc, fpr_at_95tpr, n_samples, n_features,
-       CAST(NULL AS VARCHAR) AS phase FROM res
+    "summary_union": f"""WITH {RES}, {TQ._DISC.replace('score AS (', 'vscore AS (').replace('FROM score)', 'FROM vscore)')}, {_VSIZE}
+SELECT {K}, accuracy, precision, recall, f1, auc_roc, pr_auc, fpr_at_95tpr, n_samples, {_NF} AS n_features,
+       CAST(NULL AS VARCHAR) AS phase FROM res LEFT JOIN vsize USING (dataset)
 UNION ALL SELECT {K}, accuracy, precision, recall, f1, auc_roc, pr_auc, fpr_at_95tpr, CAST(NULL AS BIGINT),
        CAST(NULL AS INTEGER), phase FROM res_t""",
-    "ordered_table": f"WITH {RES} {_display('res')}",
+    "ordered_table": f"WITH {RES} {_ordered('res')}",
     "test_summary": f"WITH {RES} {_display('res_t')}",
     "best_per_condition": f"WITH {RES} SELECT {K}, accuracy, f1 FROM best",
-    "fusion_gain": f"""WITH {RES}
-SELECT dataset, round((max(CASE WHEN condition = 'fusion' THEN f1 END) - max(CASE WHEN condition = 'header_only' THEN f1 END)) * 100.0, 2) AS gain_vs_header,
-       round((max(CASE WHEN condition = 'fusion' THEN f1 END) - max(CASE WHEN condition = 'body_only' THEN f1 END)) * 100.0, 2) AS gain_vs_body
-FROM best GROUP BY dataset HAVING max(CASE WHEN condition = 'fusion' THEN f1 END) IS NOT NULL""",
-    "baseline_compare": f"""WITH {RES},
-fus AS (SELECT DISTINCT dataset FROM res WHERE condition = 'fusion'),
-pub(source, dataset, accuracy, method) AS (VALUES {_BASE_VALUES})
-SELECT b.dataset, {_METHOD} AS method, classifier, round(accuracy * 100.0, 2) AS accuracy_pct,
-       round(f1 * 100.0, 2) AS f1_pct, round(pr_auc, 4) AS pr_auc FROM best b JOIN fus USING (dataset)
-UNION ALL
-SELECT p.dataset, p.source || ' [' || p.method || ']', CAST(NULL AS VARCHAR), p.accuracy, CAST(NULL AS DOUBLE),
-       CAST(NULL AS DOUBLE) FROM pub p JOIN fus USING (dataset) WHERE p.accuracy IS NOT NULL""",
-    "baseline_diff": f"""WITH {RES}
-SELECT dataset, round(accuracy * 100.0, 2) AS our_accuracy_pct, round(accuracy * 100.0 - {HEADER_BASELINE_ACCURACY}, 2) AS diff_pct
-FROM best WHERE condition = 'fusion' AND contains(dataset, 'SpamAssassin')""",
-    "f1_pivot": f"""WITH {RES}
-SELECT dataset, condition, {', '.join(f"first(CASE WHEN classifier = '{c}' THEN round(f1 * 100.0, 2) END) FILTER (WHERE classifier = '{c}') AS {c}" for c in CLASSIFIERS)}
-FROM res GROUP BY dataset, condition""",
-    "f1_grouped": f"""WITH {RES},
-dims(condition, classifier) AS (VALUES {', '.join(f"('{c}', '{k}')" for c in CONDITIONS for k in CLASSIFIERS)}),
-grid AS (SELECT d.dataset, dims.condition, dims.classifier FROM (SELECT DISTINCT dataset FROM res) d CROSS JOIN dims)
-SELECT g.dataset, g.classifier, g.condition, round(coalesce(r.f1, 0.0) * 100.0, 2) AS f1_pct
-FROM grid g LEFT JOIN res r USING ({K})""",
-    "full_report": f"WITH {RES} SELECT DISTINCT dataset FROM res",
+    "fusion_gain": f"WITH {RES} {_GAIN}",
+    "baseline_compare": f"WITH {RES} {_COMPARE}",
+    "baseline_diff": f"WITH {RES} {_DIFF}",
+    "f1_pivot": f"WITH {RES} {_PIVOT}",
+    "f1_grouped": f"WITH {RES} {_GROUPED}",
+    "full_report": f"WITH {RES} " + " UNION ALL ".join(_long(p, sql, *R._PARTS[p]) for p, sql in _REPORT.items()),
 }

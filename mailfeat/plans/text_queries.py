@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import add_term_counts, clean_text, vector_tokens, word_ngrams
 from ..operators import corpus as V
-from ..sources.tables import labelled_documents, table, text_table
+from ..sources.tables import all_documents, labelled_documents, table, text_table
 from .sqltext import sql_clean, sql_ngrams, sql_vector_tokens
 
 R = 6  # decimals kept in float outputs
@@ -19,6 +19,11 @@ def _labelled_terms(spark, sf_dir, params=V.BodyParams()):
     return V.with_terms(docs, params)
 
 
+def _all_terms(spark, sf_dir, params=V.BodyParams()):
+    """Terms of every document, labelled or not (V4, V5, V13 need no label)."""
+    return V.with_terms(V.with_clean(all_documents(spark, sf_dir)), params)
+
+
 def q_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", clean_text(F.col("text")).alias("clean"))
@@ -44,7 +49,7 @@ def q_tokens_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _labelled_terms(spark, sf_dir)
+    docs = _all_terms(spark, sf_dir)
     sizes = V.corpus_size(docs)
     pr = V.pruned_stats(V.term_stats(docs), sizes, V.BodyParams())
     return pr.select("dataset", "term", F.col("df").cast("long").alias("df"),
@@ -53,7 +58,7 @@ def q_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = V.BodyParams(discriminative=False)
-    vocab = V.fit_vocabulary(_labelled_terms(spark, sf_dir, params), params)
+    vocab = V.fit_vocabulary(_all_terms(spark, sf_dir, params), params)
     return vocab.select("dataset", "term", F.col("idx").cast("long").alias("idx"),
                         F.col("df").cast("long").alias("df"))
 
@@ -121,6 +126,8 @@ stats AS (SELECT dataset, term, count(*) AS df, sum(tf) AS tf_total FROM tf GROU
 pruned AS (SELECT s.*, z.n_docs FROM stats s JOIN sizes z USING (dataset)
            WHERE df >= {C.MIN_DF} AND df <= CAST({C.MAX_DF} AS DOUBLE) * n_docs)"""
 
+_ALL = _LAB.replace("JOIN labels l", "LEFT JOIN labels l")
+
 _DISC = f"""{_LAB},
 pre AS (SELECT *, ln((1 + CAST(n_docs AS DOUBLE)) / (1 + CAST(df AS DOUBLE))) + 1 AS idf FROM (
           SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY tf_total DESC, term) AS rk FROM pruned)
@@ -156,8 +163,8 @@ t AS (SELECT doc_id, count(DISTINCT term) AS n_distinct, max(cnt) AS max_tf FROM
 SELECT g.doc_id, CAST(len(g.toks) AS INTEGER) AS n_tokens, CAST(len(g.ng) AS INTEGER) AS n_ngrams,
        CAST(coalesce(t.n_distinct, 0) AS INTEGER) AS n_distinct, CAST(coalesce(t.max_tf, 0) AS BIGINT) AS max_tf
 FROM g LEFT JOIN t USING (doc_id)""",
-    "document_frequency": f"WITH {_LAB} SELECT dataset, term, CAST(df AS BIGINT) AS df, CAST(tf_total AS BIGINT) AS tf_total FROM pruned",
-    "vocab_topk": f"""WITH {_LAB}
+    "document_frequency": f"WITH {_ALL} SELECT dataset, term, CAST(df AS BIGINT) AS df, CAST(tf_total AS BIGINT) AS tf_total FROM pruned",
+    "vocab_topk": f"""WITH {_ALL}
 SELECT dataset, term, CAST(row_number() OVER (PARTITION BY dataset ORDER BY term) - 1 AS BIGINT) AS idx,
        CAST(df AS BIGINT) AS df
 FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY tf_total DESC, term) AS rk FROM pruned)

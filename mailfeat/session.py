@@ -31,12 +31,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "mai
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the setting is absent (local tests) a scratch folder is made
-    and registered; on a cluster the configured shared folder is used.
+    Where it is unset, a local session (tests) gets a scratch folder; a
+    cluster must name one, as its executors share no local disk.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="mailfeat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the Python workers of a cluster where it isn't installed; returns the archive's path."""
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="mailfeat-ship-")) / "mailfeat"
+    archive = shutil.make_archive(str(base), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    return archive

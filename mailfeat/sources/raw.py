@@ -1,14 +1,19 @@
-"""Raw message ingest.
+"""Raw message ingest.
 
 Files are read with the `binaryFile` source (one row per message, no
 recursion; Spark also hides `_`/`.` names).  Headers are parsed on the JVM
-from the ISO-8859-1 decoding of the bytes; the MIME body walk (S8) is the one
-step that needs the stdlib parser, run as an Arrow-batched `mapInPandas`
-over the partitions Spark already has — no shuffle.
+from the ISO-8859-1 decoding of the bytes; only the MIME body (S8) needs the
+stdlib parser, as an Arrow-batched UDF of the bytes alone — no shuffle.
 """
 
 from __future__ import annotations
 
+import email
+import email.message
+import warnings
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +21,6 @@ from pyspark.sql import types as T
 from ..operators import headers as H
 
 RAW_SCHEMA = "path STRING, dataset STRING, label INT, raw STRING, content BINARY"
-BODY_SCHEMA = T.StructType([
-    T.StructField("msg_id", T.StringType()), T.StructField("dataset", T.StringType()),
-    T.StructField("label", T.IntegerType()), T.StructField("raw", T.StringType()),
-    T.StructField("mime_body", T.StringType()),
-])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -32,11 +32,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def scan_raw(spark: SparkSession, root: str, datasets: list[str]) -> DataFrame:
     """`<root>/<dataset>/{spam,ham}/<file>` -> path, dataset, label, raw, content.
 
-    Missing class folders are skipped (checked on the driver, like the
-    reference's warning); datasets with no files simply contribute no rows.
+    A class folder that is missing is passed over with a warning; datasets
+    with no files simply contribute no rows.
     """
-    paths = [f"{root.rstrip('/')}/{d}/{c}" for d in datasets for c in ("spam", "ham")]
-    paths = [p for p in paths if _exists(spark, p)]
+    paths = []
+    for folder in (f"{root.rstrip('/')}/{d}/{c}" for d in datasets for c in ("spam", "ham")):
+        if _exists(spark, folder):
+            paths.append(folder)
+        else:
+            warnings.warn(f"no such folder, passed over: {folder}", stacklevel=2)
     if not paths:
         return spark.createDataFrame([], RAW_SCHEMA)
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths)
@@ -49,62 +53,74 @@ def scan_raw(spark: SparkSession, root: str, datasets: list[str]) -> DataFrame:
     )
 
 
-def mime_body(raw: bytes) -> str:
-    """text/plain parts joined by ' ' (multipart), else the decoded payload."""
-    from email import message_from_bytes
+def _text_parts(message: email.message.Message) -> Iterator[email.message.Message]:
+    """A single-part message itself, or the text/plain leaves of a multipart one, in order."""
+    if not message.is_multipart():
+        yield message
+        return
+    yield from (p for p in message.walk() if p.get_content_type() == "text/plain" and not p.is_multipart())
+
+
+def _charset_text(part: email.message.Message) -> str | None:
+    """A part's text, or None if its charset is unknown."""
+    octets = part.get_payload(decode=True)
     try:
-        msg = message_from_bytes(raw)
-    except Exception:  # noqa: BLE001
-        return ""
-    parts = []
-    if msg.is_multipart():
-        for part in msg.walk():
-            if part.get_content_type() == "text/plain":
-                try:
-                    payload = part.get_payload(decode=True)
-                    parts.append(payload.decode(part.get_content_charset() or "latin-1", errors="ignore"))
-                except Exception:  # noqa: BLE001 - unknown charset: part skipped
-                    pass
-    else:
-        try:
-            payload = msg.get_payload(decode=True)
-            if payload:
-                parts.append(payload.decode(msg.get_content_charset() or "latin-1", errors="ignore"))
-        except Exception:  # noqa: BLE001
-            pass
-    return " ".join(parts)
-
-
-def _bodies(batches):
-    for pdf in batches:
-        yield __import__("pandas").DataFrame({
-            "msg_id": pdf["path"], "dataset": pdf["dataset"], "label": pdf["label"].astype("int32"),
-            "raw": pdf["raw"], "mime_body": [mime_body(bytes(b)) for b in pdf["content"]],
-        })
+        return octets.decode(part.get_content_charset("latin-1"), "ignore") if octets is not None else ""
+    except LookupError:
+        return None
+
+
+def body_of(content: bytes) -> tuple[str, int]:
+    """The text of a message (parts joined by a blank) and how many parts could not be decoded."""
+    message = email.message_from_bytes(content)
+    texts = [_charset_text(p) for p in _text_parts(message)]
+    return " ".join(t for t in texts if t is not None), texts.count(None)
+
+
+_BODY = T.StructType([T.StructField("body", T.StringType()), T.StructField("undecoded", T.IntegerType())])
+
+
+@F.pandas_udf(_BODY)
+def _bodies(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([body_of(bytes(c)) for c in content], columns=["body", "undecoded"])
 
 
 def parse_raw(raw: DataFrame) -> DataFrame:
-    """Parsed messages (msg_id, dataset, label, headers, body_text)."""
-    with_body = raw.mapInPandas(_bodies, BODY_SCHEMA)
-    parsed = H.split_message(with_body)
-    return parsed.withColumn("body_text", F.col("mime_body")).drop("mime_body")
+    """Parsed messages (msg_id, dataset, label, raw, headers, body_text, undecoded_parts)."""
+    mime = raw.select(F.col("path").alias("msg_id"), "dataset", "label", "raw", _bodies("content").alias("mime"))
+    parsed = H.split_message(mime)
+    return parsed.withColumn("body_text", F.col("mime.body")).withColumn("undecoded_parts", F.col("mime.undecoded")).drop("mime")
+
+
+def _write(df: DataFrame, path: str, partition_by) -> None:
+    """Overwrite only the partitions that df has rows for."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def build_feature_table(spark: SparkSession, root: str, datasets: list[str], cache_path: str | None = None,
                         rebuild: bool = False) -> DataFrame:
-    """Feature table, persisted as Parquet partitioned by dataset and reused unless rebuild."""
-    if cache_path and not rebuild and _exists(spark, cache_path):
-        return spark.read.parquet(cache_path).where(F.col("dataset").isin(datasets))
-    ft = H.feature_table(H.header_features(parse_raw(scan_raw(spark, root, datasets))))
-    if cache_path:
-        ft.write.mode("overwrite").partitionBy("dataset").parquet(cache_path)
-        return spark.read.parquet(cache_path).where(F.col("dataset").isin(datasets))
-    return ft
+    """Feature table, kept as Parquet with a partition for each dataset.
+
+    Only datasets without a partition are built (all of those asked for, if
+    rebuild is set), and only their partitions are written.
+    """
+    def built(some: list[str]) -> DataFrame:
+        return H.feature_table(H.header_features(parse_raw(scan_raw(spark, root, some))))
+
+    if not cache_path:
+        return built(datasets)
+    todo = [d for d in datasets if rebuild or not _exists(spark, f"{cache_path.rstrip('/')}/dataset={d}")]
+    if todo:
+        _write(built(todo), cache_path, ["dataset"])
+    here = [d for d in datasets if _exists(spark, f"{cache_path.rstrip('/')}/dataset={d}")]
+    if not here:  # no dataset has a message
+        return built([])
+    return spark.read.parquet(cache_path).where(F.col("dataset").cast("string").isin(here))
 
 
 def write_results(df: DataFrame, path: str, partition_by=("dataset",)) -> None:
-    """Result sink."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Result sink; partitions that df has no rows for stay as they are."""
+    _write(df, path, partition_by)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

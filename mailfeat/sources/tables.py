@@ -46,7 +46,7 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFra
 TEMPLATE_COLUMNS = [
     "t", "from_h", "to_h", "cc_h", "bcc_h", "subject_h", "subject_dec", "reply_to_h",
     "return_path_h", "message_id_h", "spf_h", "auth_h", "x_mailer_h", "cte_h",
-    "recv_n", "recv_span_s",
+    "recv_n", "recv_span_s", "mixed",
 ]
 
 # Header names as written in the raw text (template 8 uses odd casing).
@@ -60,10 +60,10 @@ _ODD_CASE = {"from_h": "FROM", "to_h": "to", "subject_h": "SUBJECT", "message_id
              "reply_to_h": "reply-TO"}
 
 TEMPLATES = [
-    dict(t=0, from_h='"Billing Desk" <billing.alert{id}+x@paypa1.com>', to_h="", bcc_h="victim@example.com",
-         subject_h="=?utf-8?Q?Confirm_now=3F?=", subject_dec="Confirm now?",
-         message_id_h="<$77.{id}@mailer.evil-host.tk>", reply_to_h="help@mailer.evil-host.tk",
-         spf_h="softfail", return_path_h="<bounce@yet-another.xyz>", recv_n=4, recv_span_s=299),
+    dict(t=0, from_h='"Accounts" <accounts.security{id}+q@paypa1.com>', to_h="", bcc_h="someone@example.net",
+         subject_h="=?utf-8?Q?Is_this_you=3F?=", subject_dec="Is this you?",
+         message_id_h="<{id}$4@relay.cheap-host.tk>", reply_to_h="desk@relay.cheap-host.tk",
+         spf_h="softfail", return_path_h="<bounce@odd-sender.top>", recv_n=4, recv_span_s=450),
     dict(t=1, from_h="Ana Cruz <ana.cruz@example.org>", to_h="team@example.org, lead@example.org",
          message_id_h="<{id}.1@example.org>", subject_h="Meeting notes", reply_to_h="ana.cruz@example.org",
          spf_h="pass", auth_h="mx; dkim=pass", x_mailer_h="Mutt", cte_h="7bit",
@@ -89,7 +89,8 @@ TEMPLATES = [
          recv_n=3, recv_span_s=11),
     dict(t=7, from_h="support@arnazon.com", to_h="me@example.com", subject_h="Account locked",
          message_id_h="<{id}@arnazon.com>", reply_to_h="help@arnazon.tk", spf_h="softfail",
-         return_path_h="<support@arnazon.com>", recv_n=1, recv_span_s=0),
+         return_path_h="<support@arnazon.com>", recv_n=2, recv_span_s=300,
+         dates=["Thu, 9 March 2023 14:20:07 CEST", "Thu, 9 March 2023 14:25:07"]),
     dict(t=8, from_h="john.doe{id}@gmail.com", to_h="friend@example.com", subject_h="Lunch?",
          message_id_h="<{id}@mail.gmail.com>", reply_to_h="john.doe{id}@gmail.com", spf_h="pass",
          auth_h="mx; dkim=pass", x_mailer_h="", return_path_h="<john.doe{id}@gmail.com>",
@@ -115,7 +116,8 @@ TEMPLATES = [
          auth_h="mx; dkim=pass", x_mailer_h="LI", cte_h="7bit", return_path_h="<team@linkedin.com>",
          recv_n=2, recv_span_s=0),
     dict(t=15, to_h="me@example.com", message_id_h="<{id}@other.org>", spf_h="neutral",
-         return_path_h="ret@other.org", recv_n=1, recv_span_s=0),
+         return_path_h="<>\t", recv_n=2, recv_span_s=0, mixed=1,
+         dates=["Thu, 9 Mar 2023 14:20:07", "Thu, 9 Mar 2023 14:20:07 +0000"]),
 ]
 
 
@@ -125,13 +127,13 @@ def _template_row(d: dict) -> dict:
     return row
 
 
-def _received_lines(n: int, span: int) -> list[str]:
-    base = _dt.datetime(2024, 1, 1, 0, 0, 1)
+def _received_lines(n: int, span: int, dates: list[str] | None = None) -> list[str]:
+    """n Received lines with dates spread over `span` seconds, or with the given dates."""
+    first = _dt.datetime(2023, 3, 9, 14, 20, 7)
     out = []
     for k in range(n):
-        off = (k * span) // (n - 1) if n > 1 else 0
-        ts = base + _dt.timedelta(seconds=off)
-        date = ts.strftime("%a, ") + str(ts.day) + ts.strftime(" %b %Y %H:%M:%S +0000")
+        at = first + _dt.timedelta(seconds=(k * span) // (n - 1) if n > 1 else 0)
+        date = dates[k] if dates else at.strftime("%a, ") + str(at.day) + at.strftime(" %b %Y %H:%M:%S +0000")
         out.append(f"Received: from relay{k}.example.net by mx{k}.example.org; {date}")
     return out
 
@@ -148,9 +150,9 @@ def header_block(d: dict) -> str:
             name = _ODD_CASE[col]
         lines.append(f"{name}: {v}")
         if col == "subject_h":
-            lines += _received_lines(d.get("recv_n", 0), d.get("recv_span_s", 0))
+            lines += _received_lines(d.get("recv_n", 0), d.get("recv_span_s", 0), d.get("dates"))
     if d.get("subject_h") is None:
-        lines += _received_lines(d.get("recv_n", 0), d.get("recv_span_s", 0))
+        lines += _received_lines(d.get("recv_n", 0), d.get("recv_span_s", 0), d.get("dates"))
     return "\r\n".join(lines) + "\r\n"
 
 
@@ -193,13 +195,22 @@ def build_raw(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents ⋈ labels as (msg_id, dataset, label, body_text) — the body-only corpus."""
+def _bodies(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return docs.join(lab, "doc_id").select(
+    return docs.join(lab, "doc_id", how).select(
         F.col("doc_id").alias("msg_id"),
         F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("dataset"),
         F.col("toxic").cast("int").alias("label"),
         F.coalesce(F.col("text"), F.lit("")).alias("body_text"),
     )
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents ⋈ labels as (msg_id, dataset, label, body_text) — the body-only corpus."""
+    return _bodies(spark, sf_dir, "inner")
+
+
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as (msg_id, dataset, label, body_text); label is null where there is none."""
+    return _bodies(spark, sf_dir, "left")

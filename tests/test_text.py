@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 from mailfeat.functions.text import clean_text
 
 GOLDEN = [
-    ("ALERT!! Tap HERE to confirm ur login NOW!!!", "alert tap confirm login now"),
-    ("Please see the attached Q3 minutes for your records.", "please attach minute record"),
-    ("Update ur password asap or ur mailbox will be closed!", "update password as soon as possible mailbox clos"),
+    ("Visit http://shop.example/a?b=1 or www.shop.example/c, 50% off", "visit"),
+    ("Write to jo+x@mail.example.org <b>today</b>", "write today"),
+    ("Weeeekly sooooo loud", "week soo loud"),
     ("its fyi", "it i for your informate"),
     ("im here, thx", "i am thank"),
     ("heeeello", "heello"),
