@@ -20,8 +20,10 @@ from mailfeat.session import checkpoint_dir, local_session  # noqa: E402
 HEADLINE = [
     "text_clean", "document_frequency", "discriminative_vocab", "tfidf_weights",
     "header_base17", "header_similarity", "feature_table", "metric_bundle", "roc_points",
-    "stratified_split", "nb_predict", "body_scale", "score_batch", "summary_union",
+    "stratified_split", "nb_predict", "body_scale", "score_batch", "score_stream", "summary_union",
 ]
+#: Run once before the clock starts, so that no headline pays for the session's start.
+WARM_UP = "text_clean"
 
 
 def main() -> None:
@@ -29,6 +31,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, int(cpus), "mailfeat-bench")
     checkpoint_dir(spark)
+    QUERIES[WARM_UP](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         t0 = time.time()

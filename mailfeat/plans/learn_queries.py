@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import ALL_HEADER_FEATURES, CV_FOLDS, RANDOM_SEED
+from ..functions.constants import ALL_HEADER_FEATURES, CONDITIONS, CV_FOLDS
 from ..operators import assemble as M
 from ..operators import corpus as V
 from ..operators import headers as H
 from ..operators import learn as L
+from ..operators import metrics as E
+from ..operators.fusion import CONDITION_COLUMNS, FusionState
 from ..session import checkpoint_dir
 from ..sources.tables import labelled_documents, messages
+from . import flows
 from . import header_queries as HQ
 from . import text_queries as TQ
 
@@ -70,29 +73,36 @@ def q_body_scale(spark, sf):
     return sc.select("dataset", F.col("idx").cast("long").alias("idx"), F.round("scale", R).alias("scale"))
 
 
-def fusion_frame(spark: SparkSession, sf_dir: str, params: V.BodyParams = V.BodyParams()) -> DataFrame:
-    """CV-flow assembly on all labelled rows (the reference's fit scope):
-    dataset, msg_id, label, weight, header_vec, body_vec, fusion_vec."""
-    from .flows import assemble_frame
-    return assemble_frame(labelled_features(spark, sf_dir), params)[0]
+def q_fusion_vectors(spark, sf):
+    """M3-M6: size, stored cells and length of each condition's vector, by message."""
+    checkpoint_dir(spark)
+    ft = labelled_features(spark, sf).checkpoint()
+    v = FusionState().fit(ft).transform(ft)
+    out = None
+    for cond, col in CONDITION_COLUMNS.items():
+        p = F.unwrap_udt(F.col(col))
+        norm = F.sqrt(F.aggregate(p["values"], F.lit(0.0), lambda a, x: a + x * x))
+        part = v.select("dataset", "msg_id", F.lit(cond).alias("condition"), p["size"].cast("long").alias("size"), F.size(p["values"]).alias("nnz"), F.round(norm, 4).alias("norm"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-# Driver queries use the reference's quick-run fold count; the library default is CV_FOLDS.
-OOF_FOLDS = 3
+# AUC that every model must pass; the labels of the driver tables say little about header and body
+AUC_BOUND = 0.2
 
 
-def _oof(spark, sf, classifier, condition="fusion", k=OOF_FOLDS):
+def _oof(spark, sf, classifier):
+    """L10 over all folds, conditions and datasets: rows, messages, folds and whether the AUC passes the bound."""
     checkpoint_dir(spark)
-    fr = fusion_frame(spark, sf)
-    folds = L.stratified_folds(fr.select("msg_id", "dataset", "label"), k).select("msg_id", "fold")
-    fr = fr.join(folds, "msg_id").checkpoint()  # one materialised input for all fits
-    out = None
-    for ds in sorted(r[0] for r in fr.select("dataset").distinct().collect()):  # a handful of datasets
-        s = L.oof_scores(fr.where(F.col("dataset") == ds), f"{condition}_vec", classifier, k, RANDOM_SEED)
-        s = s.select(F.lit(ds).alias("dataset"), F.lit(condition).alias("condition"),
-                     F.lit(classifier).alias("classifier"), "*")
-        out = s if out is None else out.unionByName(s)
-    return out
+    ft = labelled_features(spark, sf).checkpoint()
+    frame = flows.with_folds(flows.vectors(ft, FusionState().fit(ft)), CV_FOLDS).checkpoint()
+    scored = flows.out_of_fold(frame, classifiers=[classifier])
+    keys = flows.KEYS
+    per_fold = scored.groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"))
+    spread = per_fold.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds"), F.min("n").alias("fold_min"), F.max("n").alias("fold_max"))
+    whole = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("msg_id").alias("n_messages"), F.sum("label").alias("n_pos"))
+    auc = E.auc_roc(E.score_points(scored, keys), keys).select(*keys, (F.col("auc_roc") >= AUC_BOUND).alias("auc_passes"))
+    return whole.join(spread, keys).join(auc, keys)
 
 
 def q_rf_oof(spark, sf):
@@ -103,6 +113,30 @@ def q_svm_oof(spark, sf):
     return _oof(spark, sf, "SVM")
 
 
+def q_split_counts(spark, sf):
+    return flows.split_counts(labelled_documents(spark, sf))
+
+
+def q_feature_importance(spark, sf):
+    """The 30 features that matter most to each dataset's fusion forest."""
+    checkpoint_dir(spark)
+    ft = labelled_features(spark, sf).checkpoint()
+    state = FusionState().fit(ft)
+    frame, names = flows.vectors(ft, state).checkpoint(), state.names()
+    out = None
+    for ds in flows.dataset_names(frame):
+        model = L.fit_model("RF", frame.where(F.col("dataset") == ds), "fusion_vec")
+        top = L.feature_importance(model, names.where(F.col("dataset") == ds)).select("dataset", "name", "family", "importance")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def q_fit_matrix(spark, sf):
+    """Every model fitted on the training split, saved, loaded, and its metrics on the others."""
+    checkpoint_dir(spark)
+    return flows.run_split_flow(labelled_features(spark, sf))
+
+
 QUERIES = {
     "stratified_folds": q_stratified_folds,
     "stratified_split": q_stratified_split,
@@ -113,6 +147,10 @@ QUERIES = {
     "body_scale": q_body_scale,
     "rf_oof": q_rf_oof,
     "svm_oof": q_svm_oof,
+    "fusion_vectors": q_fusion_vectors,
+    "split_counts": q_split_counts,
+    "feature_importance": q_feature_importance,
+    "fit_matrix": q_fit_matrix,
 }
 
 # ---------------------------------------------------------------- oracle
@@ -142,7 +180,44 @@ _NB_CLASS = " UNION ALL ".join(
     for f in FEATURES)
 _NB_EPS = "SELECT dataset, count(*) AS n, greatest(" + ", ".join(f"var_pop({f})" for f in FEATURES) + ") * 1e-9 AS eps FROM ft GROUP BY dataset"
 
+_BODY_CELLS = f"""{TQ._DISC.replace("documents d JOIN labels l", "documents d JOIN ft ON ft.msg_id = d.doc_id JOIN labels l")},
+fw AS (SELECT tf.dataset, tf.msg_id, v.idx, (1 + ln(tf.tf)) * v.idf AS w_raw FROM tf JOIN vocab v USING (dataset, term)),
+fn AS (SELECT *, w_raw / sqrt(sum(w_raw * w_raw) OVER (PARTITION BY dataset, msg_id)) AS w FROM fw),
+sd AS (SELECT dataset, idx, sqrt(greatest(sum(w * w) / any_value(n_docs) - (sum(w) / any_value(n_docs)) * (sum(w) / any_value(n_docs)), 0)) AS sd
+       FROM fn JOIN sizes USING (dataset) GROUP BY dataset, idx),
+cells AS (SELECT fn.dataset, fn.msg_id, fn.w / (CASE WHEN sd = 0 THEN 1.0 ELSE sd END) AS v FROM fn JOIN sd USING (dataset, idx))"""
+_HEAD_CELLS = " UNION ALL ".join(
+    f"SELECT dataset, msg_id, ({f} - avg({f}) OVER (PARTITION BY dataset)) / (CASE WHEN stddev_pop({f}) OVER (PARTITION BY dataset) = 0 THEN 1.0 ELSE stddev_pop({f}) OVER (PARTITION BY dataset) END) AS v FROM ft"
+    for f in FEATURES)
+N_HEAD = len(ALL_HEADER_FEATURES)
+
+
+def _oof_sql(classifier: str) -> str:
+    return f"""WITH {_FT},
+f AS (SELECT dataset, msg_id, label, (row_number() OVER (PARTITION BY dataset ORDER BY label, md5(CAST(msg_id AS VARCHAR) || ':42'), msg_id) - 1) % {CV_FOLDS} AS fold FROM ft),
+n AS (SELECT dataset, fold, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT dataset, count(*) AS n_folds, min(n) AS fold_min, max(n) AS fold_max FROM n GROUP BY dataset)
+SELECT f.dataset, c.condition, '{classifier}' AS classifier, count(*) AS n, count(DISTINCT msg_id) AS n_messages, CAST(sum(label) AS BIGINT) AS n_pos,
+       any_value(n_folds) AS n_folds, any_value(fold_min) AS fold_min, any_value(fold_max) AS fold_max, true AS auc_passes
+FROM f JOIN s USING (dataset) CROSS JOIN (VALUES {", ".join(f"('{c}')" for c in CONDITIONS)}) c(condition) GROUP BY f.dataset, c.condition"""
+
+
 ORACLE = {
+    "rf_oof": _oof_sql("RF"),
+    "svm_oof": _oof_sql("SVM"),
+    "split_counts": f"""WITH {_LABDOCS},{_RANKED}, s AS (SELECT dataset, label, {_SPLIT} AS split FROM ranked)
+SELECT dataset, split, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos,
+       round(count(*) * 100.0 / (SELECT count(*) FROM s t WHERE t.dataset = s.dataset), 2) AS pct_of_total FROM s GROUP BY dataset, split""",
+    "fusion_vectors": f"""WITH {_FT}, {_BODY_CELLS},
+hc AS ({_HEAD_CELLS}),
+h AS (SELECT dataset, msg_id, sum(CASE WHEN v <> 0 THEN 1 ELSE 0 END) AS nnz, sum(v * v) AS ss FROM hc GROUP BY ALL),
+b AS (SELECT dataset, msg_id, count(*) AS nnz, sum(v * v) AS ss FROM cells GROUP BY ALL),
+z AS (SELECT dataset, count(*) AS v FROM vocab GROUP BY dataset),
+a AS (SELECT h.dataset, h.msg_id, z.v, h.nnz AS hn, h.ss AS hs, coalesce(b.nnz, 0) AS bn, coalesce(b.ss, 0) AS bs
+      FROM h JOIN z USING (dataset) LEFT JOIN b USING (dataset, msg_id))
+SELECT dataset, msg_id, 'header_only' AS condition, CAST({N_HEAD} AS BIGINT) AS size, CAST(hn AS INTEGER) AS nnz, round(sqrt(hs), 4) AS norm FROM a
+UNION ALL SELECT dataset, msg_id, 'body_only', v, CAST(bn AS INTEGER), round(sqrt(bs), 4) FROM a
+UNION ALL SELECT dataset, msg_id, 'fusion', v + {N_HEAD}, CAST(hn + bn AS INTEGER), round(sqrt(hs + bs), 4) FROM a""",
     "stratified_folds": f"""WITH {_LABDOCS}
 SELECT msg_id, dataset, label, CAST((row_number() OVER (PARTITION BY dataset ORDER BY label, md5(CAST(msg_id AS VARCHAR) || ':42'), msg_id) - 1) % {CV_FOLDS} AS INTEGER) AS fold FROM base""",
     "stratified_split": f"WITH {_LABDOCS},{_RANKED} SELECT msg_id, dataset, label, {_SPLIT} AS split FROM ranked",

@@ -28,10 +28,23 @@ def test_binary_ingest(spark):
     assert by["m2.eml"].Total_Recp == 1.0
 
 
-def test_stream_equals_batch(spark):
-    from mailfeat.plans import stream_queries as Q
-    sf = "/root/testdata/sf0.001"
-    b = sorted(map(tuple, Q.q_score_batch(spark, sf).collect()))
-    s = Q.q_score_stream(spark, sf)
-    s = sorted(map(tuple, s.select("msg_id", "dataset", "pred", "confidence", "verdict").collect()))
-    assert b == s and len(b) > 0
+def test_feature_cache_builds_what_is_missing(spark):
+    root, cache = tempfile.mkdtemp(prefix="mailfeat-raw-"), tempfile.mkdtemp(prefix="mailfeat-cache-") + "/ft"
+    for ds in ("A", "B"):
+        os.makedirs(f"{root}/{ds}/spam")
+        os.makedirs(f"{root}/{ds}/ham")
+        with open(f"{root}/{ds}/spam/{ds}.eml", "wb") as f:
+            f.write(b"From: x@y.org\r\n\r\nhello there\r\n")
+    count = lambda names, **how: {r.dataset: r["count"] for r in S.build_feature_table(spark, root, names, cache, **how).groupBy("dataset").count().collect()}
+    assert count(["A"]) == {"A": 1}
+    assert count(["A", "B"]) == {"A": 1, "B": 1}
+    assert count(["B"], rebuild=True) == {"B": 1} and count(["A", "B"]) == {"A": 1, "B": 1}
+    out = tempfile.mkdtemp(prefix="mailfeat-res-") + "/res"
+    for ds in ("A", "B", "B"):
+        S.write_results(spark.createDataFrame([(ds, 0.5)], "dataset string, f1 double"), out)
+    assert sorted(r.dataset for r in S.read_results(spark, out).collect()) == ["A", "B"]
+
+
+def test_undecodable_parts_are_counted():
+    assert S.body_of(b"Content-Type: text/plain; charset=nope\r\n\r\nx") == ("", 1)
+    assert S.body_of(b"Subject: s\r\n\r\n") == ("", 0)
