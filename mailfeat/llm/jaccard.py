@@ -14,7 +14,7 @@ number of runs follows from the target recall.  A bucket that is still large
 at the last level (a group of near copies never gets smaller) is searched in
 blocks, pair of blocks by pair of blocks, so none is given up.
 
-A bucket is searched with 64-value minhash sketches and only gives a spanning
+A bucket is searched with one-permutation minhash sketches and only gives a spanning
 forest of its similar classes, never its pairs.  The components of all
 forests are the candidates: each component's sets come together once, in
 blocks, and every pair in it is decided exactly, by integer intersection
@@ -46,8 +46,8 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Classes in a bucket or block that are compared side by side, and shingles in a block.
 SMALL, BLOCK_SHINGLES = 1000, 2_000_000
 DEPTH = 3
-SKETCH = 64
-#: Sketch similarity from which two classes are candidates; 4 standard deviations below SIMILARITY.
+SKETCH = 128
+#: Sketch similarity from which two classes are candidates; over 4 standard deviations below SIMILARITY.
 CANDIDATE = 0.6
 _U64 = np.uint64
 
@@ -65,8 +65,8 @@ def survival(depth: int, similarity: float = SIMILARITY) -> float:
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - survival(DEPTH)))
 
 
-def children(paths: np.ndarray, shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Paths one token longer that a set goes on to from some paths.
+def children(paths: np.ndarray, shingles: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The paths one token longer that a set goes on to from some paths: (place of the parent, path).
 
     A path's odd key times a shingle's hash is the number that decides, the
     same for every set that holds the shingle.
@@ -78,7 +78,7 @@ def children(paths: np.ndarray, shingles: np.ndarray, similarity: float = SIMILA
         p, t = np.nonzero(shingles[None, :] * (seed[:, None] | _U64(1)) < _U64(int(odds * 2.0**64)))
     else:
         p, t = np.repeat(np.arange(len(paths)), len(shingles)), np.tile(np.arange(len(shingles)), len(paths))
-    return mix64(shingles[t] ^ seed[p]).view(np.int64)
+    return p, mix64(shingles[t] ^ seed[p]).view(np.int64)
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -92,15 +92,15 @@ def signature(shingles: np.ndarray) -> bytes | None:
     return hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None
 
 
-_SEEDS = mix64(np.arange(1, SKETCH + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
+def sketch(shingles: np.ndarray) -> bytes:
+    """One-permutation minhash: of the least shingle in each of SKETCH equal ranges a byte from 1 to 255, 0 for an empty range."""
+    low = np.searchsorted(shingles, _RANGES)  # shingles are sorted
+    full = low < np.append(low[1:], len(shingles))
+    least = shingles[np.minimum(low, len(shingles) - 1)]
+    return np.where(full, (mix64(least) % _U64(255)) + _U64(1), _U64(0)).astype(np.uint8).tobytes()
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """One byte of each of SKETCH minhashes."""
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, _U64)
-    for at in range(0, len(shingles), 4096):
-        low = np.minimum(low, mix64(shingles[None, at : at + 4096] ^ _SEEDS[:, None]).min(1))
-    return (low & _U64(255)).astype(np.uint8).tobytes()
+_RANGES = np.arange(SKETCH, dtype=_U64) * _U64((1 << 64) // SKETCH)
 
 
 def components(linked: np.ndarray) -> np.ndarray:
@@ -122,12 +122,14 @@ def components(linked: np.ndarray) -> np.ndarray:
 
 
 def _like(sketches: np.ndarray) -> np.ndarray:
-    """Which rows' sketches agree in CANDIDATE of their values or more."""
+    """Which rows' sketches agree in CANDIDATE or more of the ranges that either of them fills."""
     n = len(sketches)
     same = np.zeros((n, n), np.uint8)
     for col in sketches.T:
         same += col[:, None] == col[None, :]
-    return same >= math.ceil(CANDIDATE * SKETCH)
+    empty = (sketches == 0).astype(np.float32)
+    neither = empty @ empty.T
+    return same - neither >= CANDIDATE * (SKETCH - neither)
 
 
 def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -201,84 +203,78 @@ def _grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, signature of its shingle set, and the first sampled path of each run."""
-
+def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id and, of its shingle set, the signature, size, sketch and the sampled paths of each depth with their parents."""
     roots = np.arange(1, RUNS + 1, dtype=np.int64)
 
     def run(cols: dict) -> dict:
-        sets = [shingle_set(t) for t in cols["text"]]
-        first = [children(roots, s).tolist() if len(s) else [] for s in sets]
-        return {"doc_id": cols["doc_id"], "sig": [signature(s) for s in sets], "paths": first}
-
-    pick = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return cut(map_columns(pick, run, "doc_id long, sig binary, paths array<long>"))
-
-
-def _sets_of(docs: DataFrame, doc_id: str, text: str, active: DataFrame) -> DataFrame:
-    """Shingles and sketch of the active classes (sig, rep), from the text of one document of each."""
-
-    def run(cols: dict) -> dict:
-        out: dict[str, list[Any]] = {"sig": [], "shingles": [], "sketch": []}
-        for sig, t in zip(cols["sig"], cols["text"]):
+        out: dict[str, list[Any]] = {"doc_id": cols["doc_id"], "sig": [], "size": [], "sketch": [], "paths": []}
+        for t in cols["text"]:
             s = shingle_set(t)
-            if signature(s) == sig:  # a row with the same id may hold another text
-                out["sig"].append(sig)
-                out["shingles"].append(s.view(np.int64).tolist())
-                out["sketch"].append(sketch(s))
+            out["sig"].append(signature(s))
+            out["size"].append(len(s))
+            out["sketch"].append(sketch(s) if len(s) else None)
+            levels, above = [], roots
+            for _ in range(DEPTH if len(s) else 0):
+                parent, path = children(above, s)
+                levels.append({"parent": above[parent].tolist(), "path": path.tolist()})
+                above = path
+            out["paths"].append(levels)
         return out
 
     pick = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = pick.join(active.withColumnRenamed("rep", "rep_id"), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("sig", "text")
-    return cut(map_columns(rows, run, "sig binary, shingles array<long>, sketch binary").dropDuplicates(["sig"]))
+    return cut(map_columns(pick, run, "doc_id long, sig binary, size int, sketch binary, paths array<struct<parent:array<long>,path:array<long>>>"))
 
 
 def _crowded(paths: DataFrame) -> DataFrame:
-    """Rows (path, sig) with their bucket's size n, where there are two or more."""
+    """Rows (path, cid) with their bucket's size n, where there are two or more."""
     sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return paths.join(sizes, "path")
+    return cut(paths.join(sizes, "path").select("path", "cid", "n"))
 
 
-def _deeper(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (path, sig) one token below large buckets."""
-    per = large.groupBy("sig").agg(F.collect_list("path").alias("paths"))  # bounded: a class's own paths
+def _buckets(classes: DataFrame) -> DataFrame:
+    """Rows (path, cid, n) of all buckets to search: small ones, and large ones of the last depth.
 
-    def run(cols: dict) -> dict:
-        sig, path = [], []
-        for s, ps, sh in zip(cols["sig"], cols["paths"], cols["shingles"]):
-            c = children(np.asarray(ps, np.int64), np.asarray(sh, np.int64).view(_U64)).tolist()
-            path += c
-            sig += [s] * len(c)
-        return {"path": path, "sig": sig}
-
-    return map_columns(per.join(sets.select("sig", "shingles"), "sig"), run, "path long, sig binary")
+    A large bucket's rows go on to their paths one token longer, which every
+    class brings along from the scan.
+    """
+    out, large = None, None
+    for depth in range(DEPTH):
+        level = F.col("paths")[depth]
+        rows = classes.select("cid", F.explode(F.arrays_zip(level["parent"].alias("parent"), level["path"].alias("path"))).alias("x")).select("cid", "x.parent", "x.path")
+        if large is not None:
+            rows = rows.join(large.select(F.col("path").alias("parent")).distinct(), "parent")
+        found = _crowded(rows.select("path", "cid"))
+        small, large = found.where(F.col("n") <= SMALL), found.where(F.col("n") > SMALL)
+        out = small if out is None else out.unionByName(small)
+        if large.isEmpty():
+            return out
+    return out.unionByName(large)
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], blocks) -> DataFrame:
+def _in_blocks(rows: DataFrame, blocks, by: str) -> DataFrame:
     """Each row once for every pair of blocks its own block is in: columns i <= j and own."""
-    own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", own)
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
 
 
-def _forest(members: list[bytes], linked: np.ndarray) -> list[dict[str, Any]]:
-    label = components(linked)
-    return [{"a": members[x], "b": members[y]} for x, y in enumerate(label) if x != y]
+def _forest(members: list, linked: np.ndarray) -> list[dict[str, Any]]:
+    return [{"a": members[x], "b": members[y]} for x, y in enumerate(components(linked)) if x != y]
 
 
-def _candidate_edges(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+def _candidate_edges(classes: DataFrame) -> DataFrame:
     """Edges between classes of a bucket whose sketches are alike: a spanning forest of each bucket or block pair."""
-    rows = buckets.join(sets.select("sig", "sketch"), "sig")
-    rows = _in_blocks(rows, ["path"], F.ceil(F.col("n") / F.lit(SMALL))).select("path", "i", "j", "sig", "sketch")
+    rows = _buckets(classes).join(classes.select("cid", "sketch"), "cid")
+    rows = _in_blocks(rows, F.ceil(F.col("n") / F.lit(SMALL)), "cid").select("path", "i", "j", "cid", "sketch")
 
     def search(key: tuple, cols: dict) -> list[dict[str, Any]]:
-        if len(cols["sig"]) < 2:
+        if len(cols["cid"]) < 2:
             return []
-        order = sorted(range(len(cols["sig"])), key=cols["sig"].__getitem__)
-        return _forest([cols["sig"][x] for x in order], _like(np.frombuffer(b"".join(cols["sketch"][x] for x in order), np.uint8).reshape(-1, SKETCH)))
+        order = np.argsort(cols["cid"])
+        return _forest([cols["cid"][x] for x in order], _like(np.frombuffer(b"".join(cols["sketch"][x] for x in order), np.uint8).reshape(-1, SKETCH)))
 
-    return _grouped(rows, ["path", "i", "j"], search, "a binary, b binary").distinct()
+    return _grouped(rows, ["path", "i", "j"], search, "a long, b long").distinct()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -302,15 +298,39 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _exact(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sig, links of each class) and exact spanning edges; members: sig, comp, weight (documents in the class)."""
-    rows = members.join(sets.select("sig", "shingles"), "sig")
-    size = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("s"))
-    blocks = F.ceil(F.greatest(F.col("n") / F.lit(SMALL), F.col("s") / F.lit(BLOCK_SHINGLES))).cast("long")
-    rows = _in_blocks(rows.join(size, "comp"), ["comp"], blocks).select("comp", "i", "j", "own", "sig", "weight", "shingles")
+#: Members up to which their ids are broadcast (16 bytes each and their block); beyond, texts and members meet in a shuffle.
+BROADCAST_MEMBERS = 500_000
+
+
+def _exact(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(cid, root, links) rows of the exact links within candidate components; found: node, root.
+
+    The text of one document of each member is read once more for its set; a
+    member's set then goes to the block pairs of its component.
+    """
+    members = found.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(classes.select("cid", "sig", "rep", "weight", "size"), "cid")
+    total = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(SMALL), F.col("s") / F.lit(BLOCK_SHINGLES)))
+    members = cut(members.join(total, "comp").select("comp", "cid", "sig", F.col("rep").alias("rep_id"), "weight", blocks.alias("n_blocks")))
+    side = F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members
+    pick = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = pick.join(side, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("comp", "cid", "sig", "weight", "n_blocks", "text")
+
+    def shingled(cols: dict) -> dict:
+        out: dict[str, list[Any]] = {"comp": [], "cid": [], "weight": [], "n_blocks": [], "shingles": []}
+        for i, t in enumerate(cols["text"]):
+            s = shingle_set(t)
+            if signature(s) == cols["sig"][i]:  # a row with the same id may hold another text
+                out["shingles"].append(s.view(np.int64).tolist())
+                for k in ("comp", "cid", "weight", "n_blocks"):
+                    out[k].append(cols[k][i])
+        return out
+
+    sets = map_columns(texts, shingled, "comp long, cid long, weight long, n_blocks long, shingles array<long>")
+    rows = _in_blocks(sets, F.col("n_blocks"), "cid").select("comp", "i", "j", "own", "cid", "weight", "shingles")
 
     def search(key: tuple, cols: dict) -> list[dict[str, Any]]:
-        order = sorted(range(len(cols["sig"])), key=cols["sig"].__getitem__)
+        order = list({c: x for x, c in sorted(enumerate(cols["cid"]), key=lambda y: y[1])}.values())  # a repeated row once
         if len(order) < 2:
             return []
         own, weight = np.array([cols["own"][x] for x in order]), np.array([cols["weight"][x] for x in order], np.int64)
@@ -318,31 +338,20 @@ def _exact(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         counted = linked if key[1] == key[2] else linked & (own[:, None] != own[None, :])  # a block's own pairs count where i = j
         links = counted.astype(np.int64) @ weight
         label = components(linked)
-        return [{"sig": cols["sig"][x], "links": int(links[p]), "root": cols["sig"][order[label[p]]]} for p, x in enumerate(order) if linked[p].any()]
+        return [{"cid": cols["cid"][x], "links": int(links[p]), "root": cols["cid"][order[label[p]]]} for p, x in enumerate(order) if linked[p].any()]
 
-    found = cut(_grouped(rows, ["comp", "i", "j"], search, "sig binary, links long, root binary"))
-    return found.groupBy("sig").agg(F.sum("links").alias("links")), found.where("sig <> root").select(F.col("sig").alias("a"), F.col("root").alias("b"))
+    return cut(_grouped(rows, ["comp", "i", "j"], search, "cid long, links long, root long"))
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and sig of each row, root and class_id of its class, and n_links."""
-    rows = _classes(docs, doc_id, text)
-    classes = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("paths").alias("paths")))
-    crowded = cut(_crowded(classes.select(F.explode("paths").alias("path"), "sig")))
-    active = crowded.select("sig").distinct().join(classes.select("sig", "rep"), "sig")
-    sets = _sets_of(docs, doc_id, text, active)
-    small, large = crowded.where(F.col("n") <= SMALL), crowded.where(F.col("n") > SMALL)
-    for _ in range(DEPTH - 1):
-        if large.isEmpty():
-            break
-        below = cut(_crowded(_deeper(large, sets)))
-        small, large = small.unionByName(below.where(F.col("n") <= SMALL)), below.where(F.col("n") > SMALL)
-    found = connected(_candidate_edges(small.unionByName(large), sets))
-    members = found.withColumnRenamed("root", "comp").join(classes.select(F.col("sig").alias("node"), "weight"), "node").withColumnRenamed("node", "sig")
-    links, edges = _exact(members, sets)
-    roots = connected(edges).select(F.col("node").alias("sig"), "root")
-    placed = classes.select("sig", "rep", "weight").join(roots, "sig", "left").join(links, "sig", "left")
-    placed = cut(placed.select("sig", "rep", F.coalesce("root", "sig").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    rows = _scan(docs, doc_id, text)
+    classes = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), *[F.first(c).alias(c) for c in ("size", "sketch", "paths")])
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    links = _exact(docs, doc_id, text, classes, connected(_candidate_edges(classes)))
+    roots = connected(links.select(F.col("cid").alias("a"), F.col("root").alias("b")).where("a <> b")).select(F.col("node").alias("cid"), "root")
+    placed = classes.select("cid", "sig", "rep", "weight").join(roots, "cid", "left").join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
+    placed = cut(placed.select("sig", "rep", F.coalesce("root", "cid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
     least = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     placed = placed.join(least, "root").select("sig", "root", "class_id", "n_links")
     alone = F.col("sig").isNull()
