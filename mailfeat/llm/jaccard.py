@@ -7,8 +7,9 @@ and the join runs over classes.
 Chosen paths: in each of RUNS runs every class starts at the root and goes on
 to the tokens (shingles) that a hash of (run, path, token) samples with
 probability 1 / (0.8 |set|).  Classes that chose the same path share a
-bucket.  Buckets of SMALL classes or fewer are searched; larger ones are
-split by a further sampled token, DEPTH tokens deep.  Two linked classes share
+bucket.  Paths start with FIRST tokens, as buckets of one common token
+would be large.  Buckets of SMALL classes or fewer are searched; larger ones
+are split by a further sampled token, DEPTH tokens deep.  Two linked classes share
 at least one path of a run with the chance that `survival` gives, and the
 number of runs follows from the target recall.  A bucket that is still large
 at the last level (a group of near copies never gets smaller) is searched in
@@ -45,7 +46,8 @@ from .common import arrow_schema, cut, fresh, map_columns, mix64, utf8, window_h
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Classes in a bucket or block that are compared side by side, and shingles in a block.
 SMALL, BLOCK_SHINGLES = 1000, 2_000_000
-DEPTH = 3
+#: Tokens in the first paths that are searched, and in the last.
+FIRST, DEPTH = 2, 3
 SKETCH = 128
 #: Sketch similarity from which two classes are candidates; over 4 standard deviations below SIMILARITY.
 CANDIDATE = 0.6
@@ -204,7 +206,7 @@ def _grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id and, of its shingle set, the signature, size, sketch and the sampled paths of each depth with their parents."""
+    """doc_id and, of its shingle set, the signature, size, sketch and the sampled paths of each depth from FIRST on (with the place of their parent in the depth before)."""
     roots = np.arange(1, RUNS + 1, dtype=np.int64)
 
     def run(cols: dict) -> dict:
@@ -215,15 +217,15 @@ def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             out["size"].append(len(s))
             out["sketch"].append(sketch(s) if len(s) else None)
             levels, above = [], roots
-            for _ in range(DEPTH if len(s) else 0):
-                parent, path = children(above, s)
-                levels.append({"parent": above[parent].tolist(), "path": path.tolist()})
-                above = path
+            for depth in range(1, DEPTH + 1 if len(s) else 1):
+                parent, above = children(above, s)
+                if depth >= FIRST:
+                    levels.append({"parent": parent.tolist() if depth > FIRST else None, "path": above.tolist()})
             out["paths"].append(levels)
         return out
 
     pick = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return cut(map_columns(pick, run, "doc_id long, sig binary, size int, sketch binary, paths array<struct<parent:array<long>,path:array<long>>>"))
+    return cut(map_columns(pick, run, "doc_id long, sig binary, size int, sketch binary, paths array<struct<parent:array<int>,path:array<long>>>"))
 
 
 def _crowded(paths: DataFrame) -> DataFrame:
@@ -239,10 +241,14 @@ def _buckets(classes: DataFrame) -> DataFrame:
     class brings along from the scan.
     """
     out, large = None, None
-    for depth in range(DEPTH):
-        level = F.col("paths")[depth]
-        rows = classes.select("cid", F.explode(F.arrays_zip(level["parent"].alias("parent"), level["path"].alias("path"))).alias("x")).select("cid", "x.parent", "x.path")
-        if large is not None:
+    for i in range(DEPTH - FIRST + 1):
+        path = F.col("paths")[i]["path"]
+        if large is None:
+            rows = classes.select("cid", F.explode(path).alias("path"))
+        else:
+            before = F.col("paths")[i - 1]["path"]
+            above = F.transform(F.col("paths")[i]["parent"], lambda x: F.element_at(before, x + 1))
+            rows = classes.select("cid", F.explode(F.arrays_zip(above.alias("parent"), path.alias("path"))).alias("x")).select("cid", "x.parent", "x.path")
             rows = rows.join(large.select(F.col("path").alias("parent")).distinct(), "parent")
         found = _crowded(rows.select("path", "cid"))
         small, large = found.where(F.col("n") <= SMALL), found.where(F.col("n") > SMALL)
