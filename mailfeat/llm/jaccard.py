@@ -234,6 +234,10 @@ def _crowded(paths: DataFrame) -> DataFrame:
     return cut(paths.join(sizes, "path").select("path", "cid", "n"))
 
 
+#: Large buckets up to which their paths (8 bytes each) are broadcast; beyond, all paths of the next depth are shuffled.
+BROADCAST_PARENTS = 1_000_000
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
     """Rows (path, cid, n) of all buckets to search: small ones, and large ones of the last depth.
 
@@ -249,7 +253,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
             before = F.col("paths")[i - 1]["path"]
             above = F.transform(F.col("paths")[i]["parent"], lambda x: F.element_at(before, x + 1))
             rows = classes.select("cid", F.explode(F.arrays_zip(above.alias("parent"), path.alias("path"))).alias("x")).select("cid", "x.parent", "x.path")
-            rows = rows.join(large.select(F.col("path").alias("parent")).distinct(), "parent")
+            parents = cut(large.select(F.col("path").alias("parent")).distinct())
+            rows = rows.join(F.broadcast(parents) if parents.count() <= BROADCAST_PARENTS else parents, "parent")
         found = _crowded(rows.select("path", "cid"))
         small, large = found.where(F.col("n") <= SMALL), found.where(F.col("n") > SMALL)
         out = small if out is None else out.unionByName(small)
