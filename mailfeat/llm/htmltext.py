@@ -149,8 +149,21 @@ BLOCK_TABLE = (
     (150, 0.1, 3, 1.0, 2, 1.0, 0, 1), (18, 0.0, 80, 0.0, 65, 0.0, 0, 1), (7, 0.0, 90, 0.0, 100, 0.0, 0, 1), (5, 0.0, 2, 1.0, 90, 0.0, 0, 1),
     (9, 0.0, 1, 1.0, 45, 0.0, 0, 1), (40, 0.2, 35, 0.0, 6, 0.0, 0, 1), (28, 0.0, 2, 1.0, 3, 1.0, 0, 1), (16, 0.0, 40, 0.0, 30, 0.0, 0, 1),
     (3, 1.0, 2, 1.0, 3, 1.0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0), (4, 1.0, 2, 1.0, 90, 0.0, 0, 0), (3, 0.0, 2, 1.0, 70, 0.0, 0, 1), (1, 1.0, 40, 0.0, 1, 1.0, 0, 0), (6, 0.8, 5, 0.9, 7, 0.7, 0, 0), (20, 0.9, 3, 1.0, 25, 0.8, 0, 0),
-    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0), (7, 0.0, 1, 1.0, 3, 0.5, 0, 0), (5, 0.2, 4, 0.6, 0, 0.0, 0, 0), (9, 0.0, 30, 0.0, 1, 1.0, 0, 0),
+    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0), (7, 0.0, 1, 1.0, 3, 0.5, 0, 0), (5, 0.2, 4, 0.6, 0, 0.0, 0, 0), (9, 0.0, 30, 0.0, 1, 1.0, 0, 1),
     (3, 0.0, 0, 0.0, 2, 1.0, 0, 0), (12, 0.6, 90, 0.0, 4, 1.0, 0, 0), (50, 0.7, 40, 0.8, 5, 0.6, 0, 0), (45, 0.9, 5, 1.0, 3, 1.0, 0, 0), (8, 0.4, 2, 0.0, 3, 0.0, 0, 0),
+    # short blocks of unmarked pages, among blocks as free of links, and at the ends of the text
+    (12, 0.0, 15, 0.0, 18, 0.0, 0, 1), (5, 0.0, 9, 0.0, 7, 0.0, 0, 1), (25, 0.0, 20, 0.0, 22, 0.0, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 1), (8, 0.1, 12, 0.0, 10, 0.1, 0, 1),
+    (3, 0.0, 0, 0.0, 12, 0.0, 0, 1), (14, 0.0, 0, 0.0, 6, 0.0, 0, 1), (6, 0.0, 11, 0.0, 0, 0.0, 0, 1), (17, 0.0, 80, 0.0, 0, 0.0, 0, 1), (1, 0.0, 4, 0.0, 0, 0.0, 0, 1),
+    (10, 0.0, 0, 0.0, 0, 0.0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1), (13, 0.0, 2, 1.0, 15, 0.0, 0, 1), (5, 0.0, 1, 1.0, 9, 0.0, 0, 1), (16, 0.0, 14, 0.0, 2, 1.0, 0, 1),
+    (4, 0.0, 8, 0.0, 1, 1.0, 0, 1), (6, 0.0, 20, 0.0, 3, 0.9, 0, 1), (15, 0.0, 2, 1.0, 3, 1.0, 0, 1), (21, 0.0, 1, 1.0, 1, 1.0, 0, 1), (20, 0.0, 0, 0.0, 1, 1.0, 0, 1),
+    (2, 0.0, 0, 0.0, 1, 1.0, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 0, 0), (1, 1.0, 12, 0.0, 15, 0.0, 0, 0), (4, 1.0, 10, 0.0, 0, 0.0, 0, 0), (6, 0.9, 0, 0.0, 14, 0.0, 0, 0),
+    (60, 0.0, 40, 0.0, 3, 0.5, 0, 1), (20, 0.0, 15, 0.0, 5, 0.6, 0, 1), (9, 0.0, 12, 0.0, 4, 0.5, 0, 1), (30, 0.2, 4, 0.0, 20, 0.0, 0, 1), (25, 0.25, 0, 0.0, 30, 0.0, 0, 1), (50, 0.2, 3, 1.0, 10, 0.0, 0, 1), (10, 0.2, 3, 0.0, 6, 0.0, 0, 1),
+    (6, 0.0, 5, 0.0, 0, 0.0, 0, 1), (5, 0.0, 4, 0.0, 3, 0.0, 0, 1), (7, 0.0, 3, 0.0, 2, 0.0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 1), (7, 0.14, 5, 0.0, 3, 0.0, 0, 1), (3, 0.0, 2, 0.0, 1, 0.0, 0, 1),
+    (12, 0.2, 20, 0.0, 0, 0.0, 0, 1), (30, 0.2, 0, 0.0, 0, 0.0, 0, 1), (60, 0.3, 40, 0.0, 0, 0.0, 0, 1), (8, 0.2, 9, 0.0, 0, 0.0, 0, 1), (7, 0.0, 12, 0.0, 1, 1.0, 0, 1), (8, 0.0, 20, 0.0, 2, 1.0, 0, 1), (7, 0.0, 6, 0.0, 3, 0.5, 0, 1),
+    (80, 0.0, 6, 0.7, 40, 0.0, 0, 1), (15, 0.0, 5, 0.6, 9, 0.0, 0, 1), (7, 0.0, 4, 0.7, 12, 0.0, 0, 1), (20, 0.2, 4, 0.6, 0, 0.0, 0, 1),
+    (6, 0.17, 12, 0.0, 10, 0.0, 0, 1), (7, 0.14, 9, 0.0, 20, 0.0, 0, 1), (5, 0.2, 10, 0.0, 8, 0.0, 0, 1), (4, 0.25, 6, 0.0, 9, 0.0, 0, 1),
+    (4, 0.0, 3, 1.0, 2, 1.0, 1, 1), (3, 0.0, 0, 0.0, 2, 1.0, 1, 1), (6, 0.0, 4, 0.0, 1, 1.0, 1, 1), (5, 0.2, 4, 0.6, 0, 0.0, 1, 1), (7, 0.0, 1, 1.0, 3, 0.5, 1, 1), (2, 0.3, 5, 0.5, 2, 0.0, 1, 1),
+    (6, 0.0, 9, 0.0, 8, 0.0, -1, 0), (12, 0.0, 15, 0.0, 18, 0.0, -1, 0), (3, 0.0, 20, 0.0, 0, 0.0, -1, 0), (40, 0.0, 35, 0.0, 30, 0.0, -1, 0), (9, 0.0, 0, 0.0, 0, 0.0, -1, 0),
 )
 
 Node = tuple  # (feature, limit, node at most, node above) or (class,)
@@ -182,15 +195,15 @@ def grow(rows: tuple, depth: int = 6, least: int = 1) -> Node:
 
 @lru_cache(maxsize=1)
 def block_tree() -> Node:
-    return grow(BLOCK_TABLE)
+    return grow(BLOCK_TABLE, depth=len(BLOCK_TABLE))  # as deep as every row of the table needs
 
 
 def classify(blocks: list[Block]) -> list[bool]:
-    """Article or not, for each block, by the tree."""
+    """Article or not, for each block, by the tree; next to boilerplate is as at the page's edge."""
     none = Block("", 0, 0)
+    near = [none, *(none if b.region == -1 else b for b in blocks), none]
     out = []
-    for i, b in enumerate(blocks):
-        before, after = blocks[i - 1] if i else none, blocks[i + 1] if i + 1 < len(blocks) else none
+    for b, before, after in zip(blocks, near, near[2:]):
         row = (b.words, b.density, before.words, before.density, after.words, after.density, b.region)
         node = block_tree()
         while len(node) > 1:

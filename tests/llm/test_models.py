@@ -113,6 +113,17 @@ def test_main_text():
     assert htmltext.main_text("<article><p>cut off <b") == "cut off" and htmltext.main_text("<article><p>1 < 2 &amp &am") == "1 < 2 & &am"
 
 
+def test_short_blocks_of_unmarked_pages():
+    said = lambda *sizes: [" ".join(["word"] * n) for n in sizes]
+    page = lambda texts, tag="p": "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+    for sizes in [(5, 12, 25, 8, 17), (25, 5), (7,), (80, 6), (10, 90, 5, 20)]:
+        texts, nav, foot = said(*sizes), "<nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>", "<footer><p><a href=c>Imprint</a></p></footer>"
+        assert htmltext.main_text(page(texts)) == htmltext.main_text(nav + page(texts) + foot) == "\n".join(texts), sizes
+    assert htmltext.main_text(f"<h2>A heading</h2><ul>{page(said(6, 9, 4), 'li')}</ul>{page(said(14))}") == "\n".join(["A heading", *said(6, 9, 4, 14)])
+    links = "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>"
+    assert htmltext.main_text(links + page(said(8, 12, 9)) + "<p><a href=c>Imprint</a></p>") == "\n".join(said(8, 12, 9))
+
+
 def test_op8_pages(spark):
     pages = table(spark, MORE, "pages")
     docs = {r.doc_id: r.text for r in table(spark, MORE, "documents").select("doc_id", "text").collect()}
