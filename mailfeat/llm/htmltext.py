@@ -10,13 +10,18 @@ Defined results: a null or empty page has an empty text; a page without a
 block of the article class gives an empty text; unclosed and stray tags close
 at the next block; markup cut off at the end of the page is no text; repeated
 rows are repeated; the region of a block comes from its open tags, the
-innermost that says anything deciding, boilerplate regions over article ones.
+innermost that says anything deciding (of one tag boilerplate over article),
+but a class name lifts nothing out of a boilerplate tag and nothing is lifted
+out of a hidden one; a form that holds the bulk of the page's words says
+nothing.  Blocks outside the marked region go only if it holds the bulk of the
+article's words.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -28,10 +33,13 @@ from .common import map_columns
 _RAW = frozenset("script style noscript template textarea title iframe object svg math canvas video audio select head".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn del em font i img input ins kbd label mark meter nobr progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BOILER_TAGS = frozenset("nav header footer aside form menu dialog button fieldset".split())
+_BOILER_TAGS = frozenset("nav header footer aside menu dialog button".split())
+_FORM_TAGS = frozenset(("form", "fieldset"))
 _ARTICLE_TAGS = frozenset(("article", "main"))
-_BOILER_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menus?|modal|nav\w*|newsletter|notices?|overlay|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])", re.I)
-_ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|article[_-]?body|content|entry|entry[_-]?content|main|post|post[_-]?body|story|story[_-]?body)(?:$|[\s_-])", re.I)
+_BOILER_NAME = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menus?|modal|nav\w*|newsletter|notices?|overlay|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[_-])", re.I)
+#: Names such as has-sidebar or no-comments say how a page is laid out, not what stands in the tag.
+_STATE_NAME = re.compile(r"(?:^|[_-])(?:has|have|no|not|non|with|without|hide|show|is|layout)(?:$|[_-])", re.I)
+_ARTICLE_NAME = re.compile(r"(?:article|content|entry|main|post|story|(?:article|entry|main|post|story)[_-]?(?:body|content|text))$", re.I)
 _BOILER_ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar)$", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -56,26 +64,43 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+#: What a tag says about its contents; above 0 for an article, below for boilerplate.
+_HIDDEN, _BOILER_TAG, _BOILER, _FORM, _ARTICLE, _ARTICLE_TAG = -4, -3, -2, -1, 1, 2
+
+
 def _region(tag: str, attrs: str) -> int:
-    """What a tag says about its contents: 1, -1, or 0 for nothing."""
-    if tag in _BOILER_TAGS:
-        return -1
+    """What a tag says about its contents, 0 for nothing."""
     names = {m["name"].lower(): m["a"] or m["b"] or m["c"] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", "")):
-        return -1
-    if _BOILER_ROLES.match(names.get("role", "")):
-        return -1
-    called = f"{names.get('class', '')} {names.get('id', '')}"
-    if tag not in ("body", "html") and _BOILER_NAMES.search(called):
-        return -1
-    return int(tag in _ARTICLE_TAGS or names.get("role", "").lower() in ("main", "article") or bool(_ARTICLE_NAMES.search(called)))
+        return _HIDDEN
+    if tag in _BOILER_TAGS or _BOILER_ROLES.match(names.get("role", "")):
+        return _BOILER_TAG
+    called = f"{names.get('class', '')} {names.get('id', '')}".split()
+    if tag not in ("body", "html") and any(_BOILER_NAME.search(x) and not _STATE_NAME.search(x) for x in called):
+        return _BOILER
+    if tag in _ARTICLE_TAGS or names.get("role", "").lower() in ("main", "article"):
+        return _ARTICLE_TAG
+    if any(_ARTICLE_NAME.match(x) for x in called):
+        return _ARTICLE
+    return _FORM if tag in _FORM_TAGS else 0
+
+
+def _deciding(says: list[int]) -> int:
+    """1, -1 or 0 from what the open tags say, the outermost first."""
+    region = 0
+    for r in says:
+        if r and region != _HIDDEN and not (region == _BOILER_TAG and r == _ARTICLE):
+            region = r
+    return (region > 0) - (region < 0)
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """The page's flat blocks in order."""
     page = page or ""
     out: list[Block] = []
-    open_: list[tuple[str, int]] = []  # tag and region
+    open_: list[tuple[str, int, int]] = []  # tag, what it says, its number
+    inside: list[list[tuple[int, int]]] = []  # of each block, what its open tags say, and their numbers
+    opened = 0
     text: list[str] = []
     linked: list[str] = []
     links = 0
@@ -83,8 +108,8 @@ def blocks_of(page: str | None) -> list[Block]:
     def flush() -> None:
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            says = [r for _, r in open_ if r]
-            out.append(Block(whole, len(html.unescape("".join(linked)).split()), -1 if -1 in says else 1 if says else 0))
+            out.append(Block(whole, len(html.unescape("".join(linked)).split()), 0))
+            inside.append([(r, n) for _, r, n in open_ if r])
         text.clear()
         linked.clear()
 
@@ -128,11 +153,18 @@ def blocks_of(page: str | None) -> list[Block]:
                 open_.pop()
             elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == tag:
                 open_.pop()
-            open_.append((tag, _region(tag, m["attrs"])))
+            opened += 1
+            open_.append((tag, _region(tag, m["attrs"]), opened))
     rest = page[at:]
     cut = re.search(r"<[A-Za-z/!?][^>]*\Z", rest)  # markup that the page's end cuts off
     say(rest[: cut.start()] if cut else rest)
     flush()
+    held: Counter[int] = Counter()
+    for b, says in zip(out, inside):
+        held.update({n: b.words for r, n in says if r == _FORM})
+    total = sum(b.words for b in out)
+    for b, says in zip(out, inside):
+        b.region = _deciding([r for r, n in says if r != _FORM or 2 * held[n] <= total])
     return out
 
 
@@ -215,12 +247,14 @@ def classify(blocks: list[Block]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The article's blocks joined by line ends.
 
-    Where the page marks an article region, blocks outside any region are not
-    part of it, whatever the tree says of their shape.
+    Where the page marks an article region that holds the bulk of the blocks'
+    words, blocks outside any region are not part of it, whatever the tree says
+    of their shape.
     """
     blocks = blocks_of(page)
-    marked = any(b.region == 1 for b in blocks)
-    return "\n".join(b.text for b, good in zip(blocks, classify(blocks)) if good and (b.region == 1 or not marked))
+    found = [b for b, good in zip(blocks, classify(blocks)) if good]
+    inside, outside = (sum(b.words for b in found if b.region == r) for r in (1, 0))
+    return "\n".join(b.text for b in found if b.region == 1 or outside >= inside)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

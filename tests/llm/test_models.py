@@ -124,6 +124,18 @@ def test_short_blocks_of_unmarked_pages():
     assert htmltext.main_text(links + page(said(8, 12, 9)) + "<p><a href=c>Imprint</a></p>") == "\n".join(said(8, 12, 9))
 
 
+def test_regions_keep_whole_articles():
+    long = " ".join(["word"] * 40)
+    body, both = f"<p>{long}</p><p>{long}</p>", f"{long}\n{long}"
+    assert htmltext.main_text(f'<h1 class="entry-title">T here</h1>{body}') == htmltext.main_text(f'<h1 class="content">T here</h1>{body}') == "T here\n" + both
+    assert htmltext.main_text(f'<p class="post-meta">by me</p><div>{body}</div>') == "by me\n" + both
+    for tag in ('<div class="page has-sidebar">', '<div class="content no-comments">', "<form>", '<div class="page-with-sidebar">'):
+        for article in ("", "<article>", '<div class="post">'):
+            assert htmltext.main_text(f"<body>{tag}{article}{body}") == both, (tag, article)
+    aside = f'<div class="site-footer"><p>{long} a</p></div><aside><div class="content">{long} b</div></aside><form><label>Mail</label></form><div style="display:none"><article>{long} c</article></div>'
+    assert htmltext.main_text(f"<main>{body}</main>{aside}") == htmltext.main_text(body + aside) == both
+
+
 def test_op8_pages(spark):
     pages = table(spark, MORE, "pages")
     docs = {r.doc_id: r.text for r in table(spark, MORE, "documents").select("doc_id", "text").collect()}
