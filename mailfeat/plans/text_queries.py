@@ -69,19 +69,22 @@ def q_discriminative_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("score", R).alias("score"), F.round("idf", R).alias("idf"))
 
 
-def _weights_summary(long: DataFrame) -> DataFrame:
-    return long.groupBy("dataset", "msg_id").agg(
-        F.count(F.lit(1)).alias("nnz"),
-        F.round(F.sum("w"), R).alias("sum_w"),
-        F.round(F.sum(F.col("w") * F.col("w")), R).alias("sum_w2"),
-        F.round(F.sum(F.col("idx") * F.col("w")), 4).alias("idx_w"),
+def _weights_summary(long: DataFrame, docs: DataFrame) -> DataFrame:
+    """A row for every message of `docs`; a message without a term of the vocabulary has nnz 0 and sums 0.0."""
+    w, zero = F.col("w"), F.lit(0.0)
+    none = docs.select("dataset", "msg_id", F.lit(None).cast("long").alias("idx"), F.lit(None).cast("double").alias("w"))
+    return long.select("dataset", "msg_id", F.col("idx").cast("long").alias("idx"), "w").unionByName(none).groupBy("dataset", "msg_id").agg(
+        F.count("idx").alias("nnz"),
+        F.round(F.coalesce(F.sum(w), zero), R).alias("sum_w"),
+        F.round(F.coalesce(F.sum(w * w), zero), R).alias("sum_w2"),
+        F.round(F.coalesce(F.sum(F.col("idx") * w), zero), 4).alias("idx_w"),
     )
 
 
 def q_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _labelled_terms(spark, sf_dir)
     vocab = V.fit_vocabulary(docs)
-    return _weights_summary(V.transform_long(docs, vocab))
+    return _weights_summary(V.transform_long(docs, vocab), docs)
 
 
 def q_tfidf_transform_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +97,7 @@ def q_tfidf_transform_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("dataset"),
         F.coalesce(F.col("text"), F.lit("")).alias("body_text"))
     unseen = V.with_terms(V.with_clean(unseen))
-    return _weights_summary(V.transform_long(unseen, vocab))
+    return _weights_summary(V.transform_long(unseen, vocab), unseen)
 
 
 QUERIES = {

@@ -51,3 +51,18 @@ def test_top_k_in_two_steps(spark):
 def test_feature_names(spark):
     vocab = spark.createDataFrame([("x", "b", 1), ("x", "a", 0)], "dataset string, term string, idx long")
     assert [r.term for r in V.feature_names(vocab).collect()] == ["a", "b"]
+
+
+def test_every_message_has_a_row_of_weights(spark):
+    from mailfeat.plans import text_queries as T
+    from mailfeat.sources.tables import labelled_documents, table
+
+    sf = "/root/testdata/sf0.001"
+    lab = table(spark, sf, "labels").select("doc_id")
+    n_labelled, n_unseen = labelled_documents(spark, sf).count(), table(spark, sf, "documents").join(lab, "doc_id", "left_anti").count()
+    for got, n in ((T.q_tfidf_weights(spark, sf).collect(), n_labelled), (T.q_tfidf_transform_unseen(spark, sf).collect(), n_unseen)):
+        assert len(got) == n and all(r.sum_w is not None and abs(r.sum_w2 - (r.nnz > 0)) < 1e-5 for r in got)
+    docs = V.with_terms(spark.createDataFrame([("a", 1, "win prize win", "x"), ("b", 0, "", "x"), ("c", 0, "win", "x"), ("d", 1, "other", "x")], "msg_id string, label int, clean string, dataset string"), V.BodyParams(ngram_min=1, ngram_max=1))
+    vocab = spark.createDataFrame([("x", "win", 0, 1.0), ("x", "prize", 1, 1.0)], "dataset string, term string, idx long, idf double")
+    rows = {r.msg_id: tuple(r)[2:] for r in T._weights_summary(V.transform_long(docs, vocab), docs).collect()}
+    assert rows["b"] == rows["d"] == (0, 0.0, 0.0, 0.0) and rows["a"][0] == 2 and rows["c"] == (1, 1.0, 1.0, 0.0)
