@@ -5,14 +5,17 @@ n-grams, the word itself and the languages in whose lexicon of frequent words
 it stands.  Labels are languages; emission and transition weights are learned
 together by maximum likelihood, with forward-backward for the gradient, from
 windows of labelled texts, a part of them joined from two languages so that
-the transitions learn how rarely a switch happens.  A text's words are
+the transitions learn how rarely a switch happens.  Every sampled word
+trains: windows are cut to sequences of SPAN words, the last one as short as
+it comes.  A text's words are
 labelled by forward-backward, and the text's language is the one with the
 largest sum of word posteriors.
 
 Learned from a bounded sample: about PER_LANG texts of each language, WINDOW
 characters of each.  Defined results: a null text or one without a letter is
 `und` with score 0, and so is every text if there was nothing to learn from;
-of equal sums the first language by name wins; repeated rows are repeated.
+a language none of whose sampled texts has a word is not learned; of equal
+sums the first language by name wins; repeated rows are repeated.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ LEXICON = 300  # frequent words of each language
 AFFIXES, GRAMS = (1, 2, 3, 4), (2, 3)
 #: Characters that are looked at side by side.
 CHARS_AT_ONCE = 1 << 20
+#: Numbers that the fit looks up at a time.
+AT_ONCE = 1 << 25
 
 
 @lru_cache(maxsize=1)
@@ -161,63 +166,83 @@ def forward_backward(e: np.ndarray, a: np.ndarray, counts: np.ndarray) -> np.nda
     return alpha[within % BLOCK, block]
 
 
-def _pairwise(e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """For training sequences of equal length: posteriors, expected transitions, summed log normaliser."""
+def _pairwise(e: np.ndarray, a: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """For training sequences, filled up to equal length where not real: posteriors (0 there), expected transitions, summed log normaliser."""
     steps, n, k = e.shape
     top = e.max(2, keepdims=True)
     x, t = np.exp(e - top), np.exp(a)
-    alpha, norm = np.empty_like(x), np.empty((steps, n))
+    alpha, norm = np.empty_like(x), np.ones((steps, n))
     for i in range(steps):
         cur = x[i] if i == 0 else (alpha[i - 1] @ t) * x[i]
-        norm[i] = cur.sum(1)
-        alpha[i] = cur / norm[i][:, None]
+        norm[i] = np.where(real[i], cur.sum(1), 1.0)
+        alpha[i] = np.where(real[i][:, None], cur / norm[i][:, None], alpha[i - 1] if i else cur)
     beta, post, moves = np.ones((n, k)), np.empty_like(x), np.zeros((k, k))
     for i in range(steps - 1, -1, -1):
-        post[i] = alpha[i] * beta
+        post[i] = alpha[i] * beta * real[i][:, None]
         if i:
-            right = x[i] * beta / norm[i][:, None]
+            right = x[i] * beta / norm[i][:, None] * real[i][:, None]
             moves += t * (alpha[i - 1].T @ right)
-            beta = right @ t.T
-    return post, moves, float(np.log(norm).sum() + top.sum())
+            beta = np.where(real[i][:, None], right @ t.T, beta)
+    return post, moves, float(np.log(norm).sum() + top[..., 0][real].sum())
 
 
 def fit_rows(texts: list[str], langs: list[str], rounds: int = 40, rate: float = 0.3, l2: float = 1e-3) -> Crf:
-    """A CRF from labelled texts, by AdaGrad on the whole sample."""
-    names = sorted(set(langs))
-    k = len(names)
-    label = np.array([names.index(x) for x in langs], np.int64)
+    """A CRF from labelled texts, by AdaGrad on the whole sample; without languages if no text has a word."""
     words = words_of(texts, [])
+    names = sorted({x for x, n in zip(langs, words.counts) if n})
+    k = len(names)
+    if not k:
+        return Crf([], [], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
+    place = {x: i for i, x in enumerate(names)}
+    label = np.array([place.get(x, -1) for x in langs], np.int64)
     y_of = np.repeat(label, words.counts)
     lexicons = []
     for y in range(k):
         types, n = np.unique(words.hashes[y_of == y], return_counts=True)
         lexicons.append(types[np.lexsort((types, -n))][:LEXICON])
+    if k < 2:
+        return Crf(names, lexicons, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32))
     words = words_of(texts, lexicons)
     at = np.cumsum(words.counts) - words.counts
-    parts = [(words.type_of[a + i : a + i + SPAN], y) for a, n, y in zip(at, words.counts, label) for i in range(0, n - SPAN + 1, SPAN)]
-    if not parts or k < 2:
-        return Crf(names, lexicons, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k), np.float32))
+    parts = [(words.type_of[a + i : a + min(i + SPAN, n)], y) for a, n, y in zip(at, words.counts, label) for i in range(0, n, SPAN)]
     rng = np.random.default_rng(7)
     order = rng.permutation(len(parts))
-    seqs = [(w, np.full(SPAN, y)) for w, y in parts]
+    seqs = [(w, np.full(len(w), y)) for w, y in parts]
     for a, b in zip(order[::4], order[1::4]):  # code-switched: the first words of one, the last of another
         turn = int(rng.integers(4, SPAN - 4))
         (w, y), (v, z) = parts[a], parts[b]
-        seqs.append((np.concatenate([w[:turn], v[turn:]]), np.where(np.arange(SPAN) < turn, y, z)))
-    ids, ys = np.array([s for s, _ in seqs]).T, np.array([y for _, y in seqs]).T
-    col, starts = words.features, words.first
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(col))))
-    gold = np.eye(k)[ys]
+        w, v = w[:turn], v[max(len(v) - (SPAN - turn), 0) :]
+        seqs.append((np.concatenate([w, v]), np.repeat([y, z], [len(w), len(v)])))
+    size = np.array([len(w) for w, _ in seqs])
+    real = np.arange(SPAN)[:, None] < size
+    ids, ys = np.zeros(real.shape, np.int64), np.zeros(real.shape, np.int64)
+    ids.T[real.T], ys.T[real.T] = np.concatenate([w for w, _ in seqs]), np.concatenate([y for _, y in seqs])
     truth = np.zeros((k, k))
-    np.add.at(truth, (ys[:-1].ravel(), ys[1:].ravel()), 1.0)
+    np.add.at(truth, (ys[:-1][real[1:]], ys[1:][real[1:]]), 1.0)
+    types = len(words.first)
+    ends = np.append(words.first[1:], len(words.features))
+    some = max(AT_ONCE // (k * max(len(words.features) // types, 1)), 1)  # types and sequences gone through at a time
+    runs = [slice(i, min(i + some, types)) for i in range(0, types, some)]
+    many = max(AT_ONCE // (k * SPAN), 1)
     w, a = np.zeros((BUCKETS, k)), np.zeros((k, k))
-    seen, seen_a, n = np.full((BUCKETS, k), 1e-8), np.full((k, k), 1e-8), ids.size
+    seen, seen_a, n = np.full((BUCKETS, k), 1e-8), np.full((k, k), 1e-8), int(size.sum())
     for _ in range(rounds):
-        e = np.add.reduceat(w[col], starts, axis=0)[ids]
-        post, moves, _ = _pairwise(e, a)
-        off = (post - gold).reshape(-1, k)
-        by_type = np.stack([np.bincount(ids.ravel(), off[:, j], minlength=len(starts)) for j in range(k)], 1)
-        g = np.stack([np.bincount(col, by_type[row, j], minlength=BUCKETS) for j in range(k)], 1) / n + l2 * w / BUCKETS
+        e = np.concatenate([np.add.reduceat(w[words.features[words.first[r.start] : ends[r.stop - 1]]], words.first[r] - words.first[r.start], axis=0) for r in runs])
+        by_type, moves = np.zeros((types, k)), np.zeros((k, k))
+        for i in range(0, len(seqs), many):
+            part, here = ids[:, i : i + many], real[:, i : i + many]
+            post, moved, _ = _pairwise(e[part], a, here)
+            moves += moved
+            step, seq = np.nonzero(here)
+            post[step, seq, ys[:, i : i + many][here]] -= 1.0
+            for j in range(k):
+                by_type[:, j] += np.bincount(part.ravel(), post[:, :, j].ravel(), minlength=types)
+        g = l2 * w / BUCKETS
+        for r in runs:
+            col = words.features[words.first[r.start] : ends[r.stop - 1]]
+            row = np.repeat(np.arange(r.start, r.stop), ends[r] - words.first[r])
+            for j in range(k):
+                g[:, j] += np.bincount(col, by_type[row, j], minlength=BUCKETS) / n
         ga = (moves - truth) / n
         seen += g * g
         seen_a += ga * ga

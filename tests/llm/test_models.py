@@ -94,6 +94,31 @@ def test_op3_held_out_and_switches(spark):
     assert langid.detect_language(odd.limit(0), model).count() == 0
 
 
+def _texts_of(words, n, size, seed):
+    rng = random.Random(seed)
+    return [" ".join(rng.choices(words.split(), k=size)) for _ in range(n)]
+
+
+EN, FR = "the of and to in is that it was for on with as his they be at one have this", "le la les de des et un une est que qui dans pour pas sur avec plus par ce il"
+
+
+def test_short_texts_train():
+    import numpy as np
+
+    model = langid.fit_rows(_texts_of(EN, 30, 100, 1) + _texts_of(FR, 30, 5, 2), ["en"] * 30 + ["fr"] * 30)
+    best = lambda m, texts: [m.langs[int(p.mean(0).argmax())] for p in langid.posteriors(texts, m)]
+    assert best(model, _texts_of(FR, 20, 5, 3) + _texts_of(EN, 20, 5, 4)) == ["fr"] * 20 + ["en"] * 20
+    both = langid.fit_rows(_texts_of(EN, 30, 5, 1) + _texts_of(FR, 30, 5, 2), ["en"] * 30 + ["fr"] * 30)
+    assert best(both, _texts_of(FR, 20, 5, 3) + _texts_of(EN, 20, 5, 4)) == ["fr"] * 20 + ["en"] * 20
+    assert langid.fit_rows(["12", "3 !"], ["en", "fr"]).langs == [] and langid.fit_rows(["12", "a b"], ["en", "fr"]).langs == ["fr"]
+    langid.AT_ONCE, old = 1000, langid.AT_ONCE
+    try:
+        parts = langid.fit_rows(_texts_of(EN, 30, 5, 1) + _texts_of(FR, 30, 5, 2), ["en"] * 30 + ["fr"] * 30)
+    finally:
+        langid.AT_ONCE = old
+    assert np.allclose(parts.weights, both.weights, atol=1e-5) and np.allclose(parts.transitions, both.transitions, atol=1e-5)
+
+
 PAGE = """<!doctype html><html><head><title>T &amp; t</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><script>var t="</p><article>no</article>";</script>
 <div class="cookie-notice">We use cookies, many of them, read on.</div><main><article><h1>Big &lt;news&gt;</h1>
