@@ -63,16 +63,27 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return id_hash(doc_id) % 3 == 1
 
 
-def bounded_sample(df: DataFrame, class_col: str, per_class: int, id_col: str = "doc_id", max_classes: int = 64) -> DataFrame:
+#: Classes up to which a sample's shares stand in one expression; a small table is joined beyond.
+FEW_CLASSES = 64
+
+
+def bounded_sample(df: DataFrame, class_col: str, per_class: int, id_col: str = "doc_id") -> DataFrame:
     """About per_class rows of each class, picked by a hash of the id.
 
-    Only a count for each class reaches the driver (max_classes at most); the
-    rows themselves are kept or passed over in place, so no shuffle of texts.
+    Only a count for each class reaches the driver, whatever the number of
+    classes; the rows themselves are kept or passed over in place, so no
+    shuffle of texts.
     """
-    counts = df.groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(max_classes).collect()
+    counts = df.groupBy(class_col).count().collect()
     rank = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    if len(counts) > FEW_CLASSES:
+        name, share = fresh(df, "class"), fresh(df, "share")
+        kind = df.schema[class_col].dataType.simpleString()
+        shares = df.sparkSession.createDataFrame([(r[0], min(1.0, per_class / r[1])) for r in counts], f"`{name}` {kind}, `{share}` double")
+        picked = df.join(F.broadcast(shares), F.col(class_col).eqNullSafe(F.col(name)))
+        return picked.where(rank < F.col(share)).select(*df.columns)
     keep = F.lit(False)
-    for row in counts:
+    for row in sorted(counts, key=lambda r: (-r[1], r[0] is not None, r[0])):
         keep = keep | (F.col(class_col).eqNullSafe(F.lit(row[0])) & (rank < F.lit(min(1.0, per_class / row[1]))))
     return df.where(keep)
 

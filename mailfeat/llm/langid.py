@@ -12,7 +12,7 @@ labelled by forward-backward, and the text's language is the one with the
 largest sum of word posteriors.
 
 Learned from a bounded sample: about PER_LANG texts of each language, WINDOW
-characters of each.  Defined results: a null text or one without a letter is
+characters of each, however many languages there are.  Defined results: a null text or one without a letter is
 `und` with score 0, and so is every text if there was nothing to learn from;
 a language none of whose sampled texts has a word is not learned; of equal
 sums the first language by name wins; repeated rows are repeated.
@@ -268,14 +268,15 @@ def posteriors(texts: list[str | None], crf: Crf) -> list[np.ndarray]:
     return np.split(post, np.cumsum(words.counts)[:-1])
 
 
-def _in_parts(texts: list[str | None]) -> list[list[str | None]]:
-    """Neighbouring texts of about CHARS_AT_ONCE characters together."""
+def _in_parts(texts: list[str | None], langs: int) -> list[list[str | None]]:
+    """Neighbouring texts of about CHARS_AT_ONCE characters together; of fewer for many languages, as a block's matrix has langs x langs numbers."""
     out: list[list[str | None]] = [[]]
-    room = CHARS_AT_ONCE
+    most = int(CHARS_AT_ONCE * min(1.0, 64 / max(langs, 1)) ** 2)
+    room = most
     for t in texts:
         if out[-1] and room < len(t or ""):
             out.append([])
-            room = CHARS_AT_ONCE
+            room = most
         out[-1].append(t)
         room -= len(t or "") + 1
     return out
@@ -288,7 +289,7 @@ def detect_language(docs: DataFrame, crf: Crf, segments: bool = False) -> DataFr
     def run(cols: dict) -> dict:
         model = shared.value
         none = np.empty((0, 0))
-        post = [p for part in _in_parts(cols["text"]) for p in (posteriors(part, model) if model.langs else [none] * len(part))]
+        post = [p for part in _in_parts(cols["text"], len(model.langs)) for p in (posteriors(part, model) if model.langs else [none] * len(part))]
         out: dict = {"doc_id": cols["doc_id"], "lang_pred": [], "score": [], "shares": []}
         runs = []
         for p in post:

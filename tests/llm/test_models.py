@@ -119,6 +119,21 @@ def test_short_texts_train():
     assert np.allclose(parts.weights, both.weights, atol=1e-5) and np.allclose(parts.transitions, both.transitions, atol=1e-5)
 
 
+def test_every_language_is_learned(spark):
+    from mailfeat.llm.common import bounded_sample
+
+    own = {f"l{i:02d}": [c + "aeiou"[i // 14] + "bcdfghjklmnpqr"[i % 14] + d for c in "stvw" for d in "aeo"] for i in range(70)}
+    rows = [(n, lang, " ".join(random.Random(n).choices(words, k=9))) for n, (lang, words) in enumerate((x, w) for x, w in own.items() for _ in range(10 if x < "l64" else 9))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    model = langid.fit_language(df)
+    assert model.langs == sorted(own)
+    got = {r.doc_id: r.lang_pred for r in langid.detect_language(df, model).collect()}
+    assert sum(got[n] == x for n, x, _ in rows) >= 0.9 * len(rows)
+    odd = spark.createDataFrame([(i, str(i % 65) if i % 65 else None) for i in range(6500)], "doc_id long, lang string")
+    kept = {r.lang: r["count"] for r in bounded_sample(odd, "lang", 50).groupBy("lang").count().collect()}
+    assert len(kept) == 65 and all(20 <= n <= 80 for n in kept.values())
+
+
 PAGE = """<!doctype html><html><head><title>T &amp; t</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><script>var t="</p><article>no</article>";</script>
 <div class="cookie-notice">We use cookies, many of them, read on.</div><main><article><h1>Big &lt;news&gt;</h1>
