@@ -40,7 +40,13 @@ _SECRET_CUES = ("token", "api_key", "apikey", "api-key", "password", "passwd", "
 _KEY_IDS = ("AKIA", "ASIA")
 _SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "smtp://")
 
-_ACCOUNT = re.compile(r"[ \t]*(?:no\.?|number)?[ \t]*[:=#]?[ \t]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]?[0-9]{8,12})(?![A-Za-z0-9])")
+_CUE_END = r"[ \t]*(?:no\.?|number)?[ \t]*[:=#]?[ \t]*"
+_ACCOUNT = re.compile(_CUE_END + r"([0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]?[0-9]{8,12})(?![A-Za-z0-9])")
+_IBAN = re.compile(_CUE_END + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Length of an account number by its country.
+_IBAN_LENGTHS = {k[:2]: int(k[2:]) for k in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 _SECRET = re.compile(r"""[ \t]*[:=][ \t]*["']?([A-Za-z0-9_./+=-]{12,})["']?""")
 _KEY_ID = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
@@ -59,6 +65,21 @@ def _iban(value: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_span(t: str, at: int) -> tuple[int, int] | None:
+    """A checked account number after the cue that ends at `at`.
+
+    Capitals and digits after it look like more of it, so every word end is
+    tried: the one at its country's length first, then from the longest on.
+    """
+    if not (m := _IBAN.match(t, at)):
+        return None
+    s, e = m.span(1)
+    ends = [i for i in range(e, s, -1) if t[i - 1] != " " and not (t[i : i + 1].isascii() and t[i : i + 1].isalnum())]
+    known = _IBAN_LENGTHS.get(t[s : s + 2])
+    ends.sort(key=lambda i: len(t[s:i].replace(" ", "")) != known)
+    return next(((s, i) for i in ends if _iban(t[s:i])), None)
+
+
 @lru_cache(maxsize=1)
 def _anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -179,9 +200,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if m := _USERINFO.match(t, last + 1):
                 add("url", (start, m.end()))
         elif what == "account":
-            if (start == 0 or not t[start - 1].isalnum()) and (m := _ACCOUNT.match(t, last + 1)):
-                value = m.group(1)
-                if not value[:2].isalpha() or _iban(value):
+            if start == 0 or not t[start - 1].isalnum():
+                if span := _iban_span(t, last + 1):
+                    add("account", span)
+                elif m := _ACCOUNT.match(t, last + 1):
                     add("account", m.span(1))
         elif what == "secret":
             if m := _SECRET.match(t, last + 1):

@@ -33,6 +33,17 @@ def test_cues_and_masking():
     assert pii.mask(None, []) is None
 
 
+def test_account_numbers_before_other_words():
+    de, parts, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for number in (de, parts, gb):
+        for after in ("", " BIC COBADEFFXXX", " BIC: COBADEFFXXX", " A new line", " 12 items", " AND MORE WORDS IN CAPITALS 123", ", ok", "\nNEXT", " Bic"):
+            t = f"IBAN: {number}{after}"
+            assert [t[s:e] for k, s, e in pii.find_spans(t) if k == "account"] == [number], t
+            assert pii.mask(f"IBAN: {number}{after}", [x for x in pii.find_spans(t) if x[0] == "account"]) == f"IBAN: [ACCOUNT]{after}"
+    for t in ("IBAN DE88370400440532013000 BIC X", "IBAN DE89370400440532013000x"):
+        assert not [k for k, _, _ in pii.find_spans(t) if k == "account"]
+
+
 def test_op6_whole_table(spark):
     docs = {r[0]: r[1] for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
     rows = queries.op6_pii_anchors(spark, SF).collect()
