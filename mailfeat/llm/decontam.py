@@ -16,8 +16,9 @@ its windows is a shared seed.  Documents with equal stretches are tiled once.
 Defined results: null and empty texts match nothing; items of fewer than
 `least` words are matched by their whole length if they have MIN_ITEM words,
 and are left out if shorter; repeated documents are repeated in the result,
-repeated items count once; with an empty table on either side there are no
-matches.
+repeated items (the same id and words) count once, the others are compared one
+by one, also under the same id; an item without an id is reported with a null
+id; with an empty table on either side there are no matches.
 """
 
 from __future__ import annotations
@@ -107,14 +108,16 @@ def _scan(p: list[int], t: list[int], used_p: list[bool], used_t: list[bool], si
 
 
 def _seeds_of_items(items: DataFrame, item_id: str, text: str, least: int) -> DataFrame:
-    """item_id, words and distinct seeds of each item that is long enough."""
+    """item_id, a key of its own (of id and words), words and distinct seeds of each item that is long enough."""
     def run(cols: dict) -> dict:
         got = [plain_words(t) for t in cols["text"]]
         seeds = [np.unique(window_hashes(w, min(least, max(len(w), 1)))).view(np.int64).tolist() if len(w) >= MIN_ITEM else [] for w in got]
-        return {"item_id": cols["item_id"], "n_words": [len(w) for w in got], "words": [w.view(np.int64).tolist() for w in got], "seeds": seeds}
+        keys = [hashlib.md5(f"{i}:".encode() + w.tobytes()).digest() for i, w in zip(cols["item_id"], got)]
+        return {"item_id": cols["item_id"], "item_key": keys, "n_words": [len(w) for w in got], "words": [w.view(np.int64).tolist() for w in got], "seeds": seeds}
 
     pick = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).dropDuplicates()
-    return cut(map_columns(pick, run, "item_id long, n_words int, words array<long>, seeds array<long>").where(F.size("seeds") > 0))
+    found = map_columns(pick, run, "item_id long, item_key binary, n_words int, words array<long>, seeds array<long>").where(F.size("seeds") > 0)
+    return cut(found.dropDuplicates(["item_key"]))
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -186,11 +189,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_
     """A row for each contaminated document and item: covered words, coverage, tiles with their word places in the document."""
     bench = _seeds_of_items(items, item_id, item_text, least)
     sizes = sorted(r[0] for r in bench.select(F.least("n_words", F.lit(least))).distinct().collect())
-    seeds = bench.select("item_id", F.explode("seeds").alias("seed"))
+    seeds = bench.select("item_key", F.explode("seeds").alias("seed"))
     hits = _stretches(docs, doc_id, text, _bitmap(seeds), sizes)
     once = hits.dropDuplicates(["key"]).select("key", "words", "seeds")
-    pairs = once.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed").select("key", "item_id").distinct()
-    pairs = pairs.join(once.select("key", "words"), "key").join(bench.select("item_id", F.col("words").alias("item")), "item_id")
+    pairs = once.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed").select("key", "item_key").distinct()
+    pairs = pairs.join(once.select("key", "words"), "key").join(bench.select("item_key", "item_id", F.col("words").alias("item")), "item_key")
     tiled = _tile(pairs, least).withColumn("coverage", F.col("covered") / F.col("item_words")).where(F.col("coverage") >= coverage)
     found = hits.select("doc_id", "key", "at").join(cut(tiled), "key")
     places = F.transform("tiles", lambda t: F.struct(t["item_at"].alias("item_at"), F.element_at("at", (t["at"] + 1).cast("int")).alias("word"), t["length"].alias("length")))

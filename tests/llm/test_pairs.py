@@ -61,6 +61,16 @@ def test_reordered_passages_and_edges(spark):
     assert decontam.find_contamination(df, items.limit(0)).count() == 0
 
 
+def test_items_without_or_with_the_same_id(spark):
+    one, two = "Alpha beta gamma delta epsilon zeta eta theta", "Iota kappa lambda mu nu xi omicron pi rho"
+    df = spark.createDataFrame([(1, "x " + one), (2, two + " y"), (3, "nothing of it in this text")], "doc_id long, text string")
+    for first, second in ((None, None), (None, 5), (7, 7)):
+        items = spark.createDataFrame([(first, one), (second, two), (first, one.upper() + ".")], "item_id long, text string")
+        rows = decontam.find_contamination(df, items).collect()
+        assert sorted((r.doc_id, r.item_id, r.item_words, r.covered) for r in rows) == [(1, first, 8, 8), (2, second, 9, 9)]
+        assert [r.doc_id for r in decontam.drop_contaminated(df, items).collect()] == [3]
+
+
 def test_op4_equals_seed_coverage(spark):
     """Every text against every item, without seeds, bitmap or stretches."""
     words = decontam.plain_words
