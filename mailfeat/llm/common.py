@@ -32,6 +32,8 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="llm-ckpt-")
@@ -44,6 +46,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tree_merge(rows: DataFrame, merge: Callable[[list[dict]], dict], schema: str, parts: int, fan_in: int) -> dict | None:
+    """One row out of at most one for each `pid` below parts: fan_in neighbours a task, level by level.
+
+    merge gets the rows of a group in order of pid and gives their sum; the
+    driver gets the last row only, or None if there was none.
+    """
+    arrow = arrow_schema(schema)
+
+    def together(table: pa.Table) -> pa.Table:
+        found = sorted(table.to_pylist(), key=lambda r: r["pid"])
+        return pa.Table.from_pylist([{**merge(found), "pid": found[0]["pid"] // fan_in}], schema=arrow)
+
+    while parts > 1:
+        rows = rows.groupBy(F.floor(F.col("pid") / fan_in)).applyInArrow(together, schema)
+        parts = -(-parts // fan_in)
+    found = rows.collect()
+    return found[0].asDict() if found else None
+
+
 def id_hash(doc_id: Column | str) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
