@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, jaccard, langid, mixing, pii, quality, toxicity, urlrep, whitening
+from . import chat, decontam, htmltext, jaccard, langid, mixing, pii, quality, sharding, toxicity, urlrep, whitening
 from .common import held_out, table
 
 URL_RULES = [urlrep.Rule("block", "net/"), urlrep.Rule("allow", "example.net/en/"), urlrep.Rule("block", "example.com/de/"), urlrep.Rule("allow", "org/fr/")]
@@ -161,5 +161,9 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit_whitening(vectors))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity_grammar, op3_language_crf, op4_string_tiling, op5_url_reputation, op6_pii_anchors, op7_jaccard_paths, op8_html_blocks, op9_quality_rules, op10_chat_format, op11_embedding_whitening)}
+def op12_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity_grammar, op3_language_crf, op4_string_tiling, op5_url_reputation, op6_pii_anchors, op7_jaccard_paths, op8_html_blocks, op9_quality_rules, op10_chat_format, op11_embedding_whitening, op12_karmarkar_karp)}
 ORACLE = {"op1_source_mixing": OP1_SQL, "op5_url_reputation": OP5_SQL}
