@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, jaccard, langid, mixing, pii, quality, sharding, toxicity, urlrep, whitening
+from . import chat, decontam, htmltext, jaccard, langid, mixing, pii, prefixtrie, quality, sharding, toxicity, urlrep, whitening
 from .common import held_out, table
 
 URL_RULES = [urlrep.Rule("block", "net/"), urlrep.Rule("allow", "example.net/en/"), urlrep.Rule("block", "example.com/de/"), urlrep.Rule("allow", "org/fr/")]
@@ -165,5 +165,43 @@ def op12_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity_grammar, op3_language_crf, op4_string_tiling, op5_url_reputation, op6_pii_anchors, op7_jaccard_paths, op8_html_blocks, op9_quality_rules, op10_chat_format, op11_embedding_whitening, op12_karmarkar_karp)}
-ORACLE = {"op1_source_mixing": OP1_SQL, "op5_url_reputation": OP5_SQL}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with turns of the one whose id is the next lower multiple of 20."""
+    seqs = prefixtrie.sequences(table(spark, sf_dir, "conversations"))
+    heads = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    return prefixtrie.prefix_trie(prefixtrie.with_heads(seqs, F.col("conv_id") - F.col("conv_id") % 20, heads, most=3))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+d AS (
+  SELECT conv_id, row_number() OVER w AS depth, list(md5(concat(length(role), ':', role, ':', text))) OVER w AS prefix, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT conv_id, 0 AS depth, []::VARCHAR[] AS prefix, 0 AS words FROM c UNION ALL SELECT * FROM d),
+e AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM m),
+n AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM e GROUP BY prefix, depth),
+k AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+s AS (
+  SELECT prefix[1:up] AS prefix, up AS depth, sum(own) AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM (SELECT n.*, n_children, unnest(range(0, n.depth + 1)) AS up FROM n LEFT JOIN k USING (prefix)) GROUP BY 1, 2)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (prefix, depth) LEFT JOIN k USING (prefix) LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_toxicity_grammar, op3_language_crf, op4_string_tiling, op5_url_reputation, op6_pii_anchors, op7_jaccard_paths, op8_html_blocks, op9_quality_rules, op10_chat_format, op11_embedding_whitening, op12_karmarkar_karp, op13_prefix_trie)}
+ORACLE = {"op1_source_mixing": OP1_SQL, "op5_url_reputation": OP5_SQL, "op13_prefix_trie": OP13_SQL}
