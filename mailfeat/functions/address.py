@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .constants import SUSPICIOUS_TLDS, SUSPICIOUS_USERNAME_KEYWORDS
 
-ADDRESS_RE = "(?U)[\\w.+\\-]+@[\\w.\\-]+"
+# A local part begins where its run of characters does, or where the last match ended: linear on runs without an '@'.
+_LOCAL = "(?U)(?:\\G|(?<![\\w.+\\-]))"
+ADDRESS_RE = _LOCAL + "[\\w.+\\-]++@[\\w.\\-]+"
 # Characters str.strip()/str.isspace() treat as blank on ASCII text.
 BLANK_RE = "^[ \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F]*$"
 
@@ -22,7 +24,7 @@ def domain(addr: Column) -> Column:
 
 def username(addr: Column) -> Column:
     """A2: the local part directly before the first '@' (lower-cased)."""
-    return F.lower(F.regexp_extract(F.coalesce(addr, F.lit("")), "(?U)([\\w.+\\-]+)@", 1))
+    return F.lower(F.regexp_extract(F.coalesce(addr, F.lit("")), _LOCAL + "([\\w.+\\-]++)@", 1))
 
 
 def tld(dom: Column) -> Column:

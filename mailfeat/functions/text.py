@@ -36,14 +36,25 @@ def lemmatize(w: Column) -> Column:
     return expr.otherwise(w)
 
 
+def replace_closed(text: Column, pattern: str, close: str, by: str) -> Column:
+    """regexp_replace of a pattern that ends in the character `close`, which its inside can't hold.
+
+    Only the text up to the last `close` is searched: behind it each opening
+    character would be followed to the end in vain, with the square of their number.
+    """
+    tail = F.substring_index(text, close, -1)
+    return F.concat(F.regexp_replace(F.left(text, F.length(text) - F.length(tail)), pattern, by), tail)
+
+
 def normalise_text(text: Column) -> Column:
     """The character-level rewrite chain (result still unsplit)."""
     t = F.coalesce(text, F.lit(""))
     t = F.regexp_replace(t, "[^\\x00-\\x7F]", "")                          # T1
     t = F.lower(t)                                                           # T2
     t = F.regexp_replace(t, f"https?://[^{WS}]+|www\\.[^{WS}]+", " ")      # T3
-    t = F.regexp_replace(t, "[a-z0-9_.+\\-]+@[a-z0-9_.\\-]+", " ")         # T4
-    t = F.regexp_replace(t, "<[^>]+>", " ")                                 # T5
+    # a local part begins where its run of characters does (or the last match ended), so no run is tried from every place
+    t = F.regexp_replace(t, "(?:\\G|(?<![a-z0-9_.+\\-]))[a-z0-9_.+\\-]++@[a-z0-9_.\\-]+", " ")  # T4
+    t = replace_closed(t, "<[^>]+>", ">", " ")                               # T5
     t = F.regexp_replace(t, "[0-9]+", " ")                                  # T6
     t = F.regexp_replace(t, f"[^a-z{WS}]", " ")                             # T7
     t = F.regexp_replace(t, "([a-z])\\1{2,}", "$1$1")                        # T8

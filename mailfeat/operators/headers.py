@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import address as A
 from ..functions.constants import ALL_HEADER_FEATURES, SIMILARITY_FEATURES
 from ..functions.similarity import similarity_scores, subject_symbol
+from ..functions.text import replace_closed
 
 # header name (lower case) -> column holding its first value
 HEADER_COLS = {
@@ -85,7 +86,7 @@ def received_time(v: Column) -> Column:
     The zone may be missing, unknown or -0000: such a date is naive.  Months
     may be written in full; two-digit years above 68 lie in the last century.
     """
-    d = F.trim(F.regexp_replace(F.regexp_extract(v, "(?m);\\s*(.+)$", 1), "\\([^)]*\\)", " "))
+    d = F.trim(replace_closed(F.regexp_extract(v, "(?m);\\s*(.+)$", 1), "\\([^)]*\\)", ")", " "))
     part = lambda i: F.regexp_extract(d, _DATE, i)
     number = lambda i: F.nullif(part(i), F.lit("")).cast("int")
     name = F.lower(part(2))
@@ -123,7 +124,7 @@ def base_features(df: DataFrame) -> dict:
     rec = c("h_received")
     times = F.transform("_times", lambda t: t["at"])
     span = F.array_max(times) - F.array_min(times)
-    display = F.regexp_replace(frm, "<[^>]+>", "")
+    display = replace_closed(frm, "<[^>]+>", ">", "")
     spf = F.lower(F.coalesce(c("h_spf"), F.lit("")))
     auth = F.lower(F.coalesce(c("h_auth"), F.lit("")))
     dkim = F.regexp_extract(auth, "(?U)dkim\\s*=\\s*(\\w+)", 1)

@@ -20,6 +20,8 @@ from . import text_queries as TQ
 
 FEATURES = ALL_HEADER_FEATURES
 R = 6
+#: Exact means of 0/1 features have short decimals that end in 5 at the sixth place; at this one they don't.
+NB_DIGITS = 9
 
 
 def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +54,8 @@ def q_header_zscore(spark, sf):
 def q_nb_parameters(spark, sf):
     ft = labelled_features(spark, sf)
     p = L.nb_params_long(L.nb_fit(ft, FEATURES), FEATURES)
-    return p.select("dataset", "label", "feature", F.round("prior", R).alias("prior"),
-                    F.round("mean", R).alias("mean"), F.round("var", R).alias("var"))
+    return p.select("dataset", "label", "feature", F.round("prior", NB_DIGITS).alias("prior"),
+                    F.round("mean", NB_DIGITS).alias("mean"), F.round("var", NB_DIGITS).alias("var"))
 
 
 def q_nb_predict(spark, sf):
@@ -230,8 +232,8 @@ SELECT dataset, feature, round(mean, 6) AS mean, round(CASE WHEN sd = 0 THEN 1.0
 {_stats_long('ft', 'avg({f}) AS mean, stddev_pop({f}) AS sd', FEATURES)})""",
     "nb_parameters": f"""WITH {_FT},
 cls AS ({_NB_CLASS}), eps AS ({_NB_EPS})
-SELECT c.dataset, c.label, c.feature, round(c.n_c / CAST(e.n AS DOUBLE), 6) AS prior, round(c.mean, 6) AS mean,
-       round(c.v + e.eps, 6) AS var FROM cls c JOIN eps e USING (dataset)""",
+SELECT c.dataset, c.label, c.feature, round(c.n_c / CAST(e.n AS DOUBLE), 9) AS prior, round(c.mean, 9) AS mean,
+       round(c.v + e.eps, 9) AS var FROM cls c JOIN eps e USING (dataset)""",
     "nb_predict": f"""WITH {_FT},
 base AS (SELECT msg_id, dataset, label FROM ft), {_RANKED.strip()},
 sp AS (SELECT msg_id, {_SPLIT} AS split FROM ranked),

@@ -149,10 +149,10 @@ vocab AS (SELECT v.dataset, v.term, v.idx, v.score, p.idf FROM (
             FROM score) v JOIN pre p USING (dataset, term) WHERE v.idx < {K})"""
 
 _SUMMARY = """
-SELECT dataset, msg_id, count(*) AS nnz, round(sum(w), 6) AS sum_w, round(sum(w * w), 6) AS sum_w2,
-       round(sum(idx * w), 4) AS idx_w
-FROM (SELECT *, w_raw / sqrt(sum(w_raw * w_raw) OVER (PARTITION BY dataset, msg_id)) AS w FROM fw)
-GROUP BY dataset, msg_id"""
+SELECT a.dataset, a.msg_id, count(idx) AS nnz, round(coalesce(sum(w), 0.0), 6) AS sum_w, round(coalesce(sum(w * w), 0.0), 6) AS sum_w2,
+       round(coalesce(sum(idx * w), 0.0), 4) AS idx_w
+FROM {messages} a LEFT JOIN (SELECT *, w_raw / sqrt(sum(w_raw * w_raw) OVER (PARTITION BY dataset, msg_id)) AS w FROM fw) USING (dataset, msg_id)
+GROUP BY a.dataset, a.msg_id"""
 
 ORACLE = {
     "text_clean": f"SELECT doc_id, {sql_clean('text')} AS clean FROM documents",
@@ -176,7 +176,7 @@ WHERE rk <= {K}""",
 SELECT dataset, term, CAST(idx AS BIGINT) AS idx, round(score, 6) AS score, round(idf, 6) AS idf FROM vocab""",
     "tfidf_weights": f"""WITH {_DISC},
 fw AS (SELECT tf.dataset, tf.msg_id, v.idx, (1 + ln(tf.tf)) * v.idf AS w_raw FROM tf JOIN vocab v USING (dataset, term))
-{_SUMMARY}""",
+{_SUMMARY.format(messages="lab")}""",
     "tfidf_transform_unseen": f"""WITH {_DISC},
 un AS (SELECT d.doc_id AS msg_id, 'd' || CAST(d.doc_id % 3 AS VARCHAR) AS dataset,
               {sql_vector_tokens(sql_clean('d.text'))} AS toks
@@ -184,5 +184,5 @@ un AS (SELECT d.doc_id AS msg_id, 'd' || CAST(d.doc_id % 3 AS VARCHAR) AS datase
 ung AS (SELECT dataset, msg_id, unnest({sql_ngrams('toks')}) AS term FROM un),
 utf AS (SELECT dataset, msg_id, term, count(*) AS tf FROM ung GROUP BY ALL),
 fw AS (SELECT u.dataset, u.msg_id, v.idx, (1 + ln(u.tf)) * v.idf AS w_raw FROM utf u JOIN vocab v USING (dataset, term))
-{_SUMMARY}""",
+{_SUMMARY.format(messages="un")}""",
 }

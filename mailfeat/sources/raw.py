@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.decoding import permissive
 from ..operators import headers as H
 
 RAW_SCHEMA = "path STRING, dataset STRING, label INT, raw STRING, content BINARY"
@@ -61,35 +62,52 @@ def _text_parts(message: email.message.Message) -> Iterator[email.message.Messag
     yield from (p for p in message.walk() if p.get_content_type() == "text/plain" and not p.is_multipart())
 
 
-def _charset_text(part: email.message.Message) -> str | None:
-    """A part's text, or None if its charset is unknown."""
-    octets = part.get_payload(decode=True)
+def body_with_reason(content: bytes) -> tuple[str, int, str | None]:
+    """The text of a message (parts joined by a blank), how many parts could not be decoded, and why the first one.
+
+    A message that the parser itself can't take apart has no text and counts as
+    one such part.
+    """
+    texts, reasons = [], []
     try:
-        return octets.decode(part.get_content_charset("latin-1"), "ignore") if octets is not None else ""
-    except LookupError:
-        return None
+        for part in _text_parts(email.message_from_bytes(content)):
+            try:
+                octets, charset = part.get_payload(decode=True), part.get_content_charset("latin-1")
+            except (LookupError, ValueError) as e:
+                reasons.append(type(e).__name__)
+                continue
+            text, reason = permissive(octets or b"", charset)
+            texts.append(text)
+            reasons.append(reason)
+    except Exception as e:  # noqa: BLE001 - e.g. nested too deep; no message stops a job
+        reasons.append(type(e).__name__)
+    broken = [r for r in reasons if r]
+    return " ".join(t for t in texts if t is not None), len(broken), broken[0] if broken else None
 
 
 def body_of(content: bytes) -> tuple[str, int]:
-    """The text of a message (parts joined by a blank) and how many parts could not be decoded."""
-    message = email.message_from_bytes(content)
-    texts = [_charset_text(p) for p in _text_parts(message)]
-    return " ".join(t for t in texts if t is not None), texts.count(None)
+    """The text of a message and how many parts could not be decoded."""
+    return body_with_reason(content)[:2]
 
 
-_BODY = T.StructType([T.StructField("body", T.StringType()), T.StructField("undecoded", T.IntegerType())])
+_BODY = T.StructType([T.StructField("body", T.StringType()), T.StructField("undecoded", T.IntegerType()), T.StructField("reason", T.StringType())])
 
 
 @F.pandas_udf(_BODY)
 def _bodies(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([body_of(bytes(c)) for c in content], columns=["body", "undecoded"])
+    return pd.DataFrame([body_with_reason(bytes(c) if c is not None else b"") for c in content], columns=["body", "undecoded", "reason"])
 
 
-def parse_raw(raw: DataFrame) -> DataFrame:
-    """Parsed messages (msg_id, dataset, label, raw, headers, body_text, undecoded_parts)."""
-    mime = raw.select(F.col("path").alias("msg_id"), "dataset", "label", "raw", _bodies("content").alias("mime"))
+def parse_raw(raw: DataFrame, keep=("dataset", "label")) -> DataFrame:
+    """Parsed messages (msg_id, keep, raw, headers, body_text, undecoded_parts, body_error).
+
+    Everything that reads raw messages, training and scoring alike, comes
+    through here, so that a model scores the text it was fitted on.
+    """
+    mime = raw.select(F.col("path").alias("msg_id"), *keep, "raw", _bodies("content").alias("mime"))
     parsed = H.split_message(mime)
-    return parsed.withColumn("body_text", F.col("mime.body")).withColumn("undecoded_parts", F.col("mime.undecoded")).drop("mime")
+    return (parsed.withColumn("body_text", F.col("mime.body")).withColumn("undecoded_parts", F.col("mime.undecoded"))
+            .withColumn("body_error", F.col("mime.reason")).drop("mime"))
 
 
 def _write(df: DataFrame, path: str, partition_by) -> None:
