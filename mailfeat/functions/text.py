@@ -15,25 +15,47 @@ from .constants import LEMMA_RULES, MIN_STEM_LEN, SLANG_MAP, STOP_WORDS
 # Python's str.split()/\s on ASCII text also treats 0x1C-0x1F as whitespace;
 # Java's \s does not, so the class is spelled out.
 WS = " \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F"
+# Stands for the y of a finished word, which no later suffix rule may take.
+_DONE_Y = "\x01"
 
 
-def _slang_map() -> Column:
-    pairs = []
-    for k, v in SLANG_MAP.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.create_map(*pairs)
+def lemma(word: str) -> str:
+    """T12 on one token: the first suffix rule that leaves enough characters; for the fixed slang values."""
+    if len(word) > MIN_STEM_LEN:
+        for suffix, rep in LEMMA_RULES:
+            if word.endswith(suffix) and len(word) - len(suffix) + len(rep) >= MIN_STEM_LEN:
+                return word[: len(word) - len(suffix)] + rep
+    return word
 
 
-def lemmatize(w: Column) -> Column:
-    """First suffix rule whose result has >= 4 chars; words <= 4 chars kept."""
-    expr = F.when(F.length(w) <= MIN_STEM_LEN, w)
+def _survives(token: str) -> bool:
+    return token not in set(STOP_WORDS) and len(token) > 2
+
+
+# T10 and T11 of slang words are known beforehand: what is left of each, lemma included, or nothing.
+_SLANG_KEPT = {k: lemma(v) for k, v in SLANG_MAP.items() if _survives(v)}
+_DROPPED = sorted(set(STOP_WORDS) | (set(SLANG_MAP) - set(_SLANG_KEPT)))
+
+
+def _lemma_passes(words: Column) -> Column:
+    """T12 on words joined by a blank: one pass for each replacement, in the order of the rules.
+
+    The rules of one replacement need the same stem; the shortest stem is
+    tried first, which is the longest suffix.  A pass begins at word starts only.
+    """
+    passes: dict[str, list[str]] = {}
     for suffix, rep in LEMMA_RULES:
-        keep = F.length(w) - len(suffix) + len(rep)
-        expr = expr.when(
-            w.endswith(suffix) & (keep >= MIN_STEM_LEN),
-            F.concat(F.left(w, F.length(w) - len(suffix)), F.lit(rep)),
-        )
-    return expr.otherwise(w)
+        passes.setdefault(rep, []).append(suffix)
+    for rep in sorted(passes, key=len, reverse=True) if "" in passes else passes:
+        stem = MIN_STEM_LEN - len(rep)
+        done = rep.replace("y", _DONE_Y)
+        words = F.regexp_replace(words, f"(?<![a-z])([a-z]{{{stem},}}?)(?:{'|'.join(passes[rep])})(?= |$)", f"$1{done}")
+    return F.translate(words, _DONE_Y, "y")
+
+
+def let(value: Column, body) -> Column:
+    """body(value), the value being worked out (and written into the plan) once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def replace_closed(text: Column, pattern: str, close: str, by: str) -> Column:
@@ -42,38 +64,42 @@ def replace_closed(text: Column, pattern: str, close: str, by: str) -> Column:
     Only the text up to the last `close` is searched: behind it each opening
     character would be followed to the end in vain, with the square of their number.
     """
-    tail = F.substring_index(text, close, -1)
-    return F.concat(F.regexp_replace(F.left(text, F.length(text) - F.length(tail)), pattern, by), tail)
+    tail = lambda t: F.substring_index(t, close, -1)
+    head = lambda t: F.regexp_replace(F.left(t, F.length(t) - F.length(tail(t))), pattern, by)
+    return let(text, lambda t: F.when(F.contains(t, F.lit(close)), F.concat(head(t), tail(t))).otherwise(t))
 
 
 def normalise_text(text: Column) -> Column:
-    """The character-level rewrite chain (result still unsplit)."""
+    """The character-level rewrite chain; letters and single blanks are left."""
     t = F.coalesce(text, F.lit(""))
     t = F.regexp_replace(t, "[^\\x00-\\x7F]", "")                          # T1
     t = F.lower(t)                                                           # T2
     t = F.regexp_replace(t, f"https?://[^{WS}]+|www\\.[^{WS}]+", " ")      # T3
     # a local part begins where its run of characters does (or the last match ended), so no run is tried from every place
-    t = F.regexp_replace(t, "(?:\\G|(?<![a-z0-9_.+\\-]))[a-z0-9_.+\\-]++@[a-z0-9_.\\-]+", " ")  # T4
+    mail = "(?:\\G|(?<![a-z0-9_.+\\-]))[a-z0-9_.+\\-]++@[a-z0-9_.\\-]+"
+    t = let(t, lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, mail, " ")).otherwise(x))  # T4
     t = replace_closed(t, "<[^>]+>", ">", " ")                               # T5
-    t = F.regexp_replace(t, "[0-9]+", " ")                                  # T6
-    t = F.regexp_replace(t, f"[^a-z{WS}]", " ")                             # T7
-    t = F.regexp_replace(t, "([a-z])\\1{2,}", "$1$1")                        # T8
-    return t
+    t = F.regexp_replace(t, "[^a-z]++", " ")                                 # T6, T7 and the blanks of T9
+    return F.regexp_replace(t, "([a-z])\\1{2,}", "$1$1")                   # T8
+
 
+def clean_text(text: Column) -> Column:
+    """Cleaned text, tokens joined by one space.
 
-def clean_tokens(text: Column) -> Column:
-    """T0-T12 as an array of (possibly multi-word) tokens."""
-    t = normalise_text(text)
-    toks = F.filter(F.split(t, f"[{WS}]+"), lambda x: x != "")             # T9
-    slang = _slang_map()
-    toks = F.transform(toks, lambda x: F.coalesce(F.try_element_at(slang, x), x))  # T10
-    toks = F.filter(toks, lambda x: (~x.isin(STOP_WORDS)) & (F.length(x) > 2))     # T11
-    return F.transform(toks, lemmatize)                                     # T12
+    Tokens are only filtered as an array; slang words go on in capitals, which
+    no suffix rule touches, and are replaced at the end.
+    """
+    slang = list(_SLANG_KEPT)
+    keep = lambda x: ((F.length(x) > 2) & ~x.isin(_DROPPED)) | x.isin(slang)
+    toks = F.filter(F.split(normalise_text(text), " "), keep)               # T9-T11
+    toks = F.transform(toks, lambda x: F.when(x.isin(slang), F.upper(x)).otherwise(x))
+    joined = _lemma_passes(F.array_join(toks, " "))                         # T12, T13
+    expanded = lambda x: F.array_join(F.transform(F.split(x, " "), lambda w: F.coalesce(F.try_element_at(_slang_lemmas(), w), w)), " ")
+    return let(joined, lambda x: F.when(x.rlike("[A-Z]"), expanded(x)).otherwise(x))
 
 
-def clean_text(text: Column) -> Column:
-    """Cleaned text, tokens joined by one space."""
-    return F.array_join(clean_tokens(text), " ")
+def _slang_lemmas() -> Column:
+    return F.create_map(*[F.lit(x) for k, v in _SLANG_KEPT.items() for x in (k.upper(), v)])
 
 
 def vector_tokens(clean: Column) -> Column:
@@ -106,7 +132,7 @@ def add_term_counts(df, ngrams_col: str, out: str = "terms"):
     """
     s = F.col("_srt")
     n = F.size(s)
-    df = df.withColumn("_srt", F.array_sort(F.col(ngrams_col)))
+    df = df.withColumn("_srt", F.sort_array(F.col(ngrams_col)))
     df = df.withColumn("_ends", F.when(
         n > 0,
         F.filter(F.sequence(F.lit(1), n),

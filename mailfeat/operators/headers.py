@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import address as A
 from ..functions.constants import ALL_HEADER_FEATURES, SIMILARITY_FEATURES
 from ..functions.similarity import similarity_scores, subject_symbol
-from ..functions.text import replace_closed
+from ..functions.text import let, replace_closed
 
 # header name (lower case) -> column holding its first value
 HEADER_COLS = {
@@ -86,21 +86,25 @@ def received_time(v: Column) -> Column:
     The zone may be missing, unknown or -0000: such a date is naive.  Months
     may be written in full; two-digit years above 68 lie in the last century.
     """
-    d = F.trim(replace_closed(F.regexp_extract(v, "(?m);\\s*(.+)$", 1), "\\([^)]*\\)", ")", " "))
-    part = lambda i: F.regexp_extract(d, _DATE, i)
-    number = lambda i: F.nullif(part(i), F.lit("")).cast("int")
-    name = F.lower(part(2))
-    month = F.lit(None).cast("int")
-    for i, full in enumerate(_MONTHS, 1):
-        month = F.when(name.isin(full, full[:3]), F.lit(i)).otherwise(month)
-    year = F.when(F.length(part(3)) > 2, number(3)).otherwise(number(3) + F.when(number(3) > 68, 1900).otherwise(2000))
+    date = F.trim(replace_closed(F.regexp_extract(v, "(?m);\\s*(.+)$", 1), "\\([^)]*\\)", ")", " "))
+    fields = let(date, lambda d: F.struct(*[F.regexp_extract(d, _DATE, i).alias(f"p{i}") for i in range(1, 8)]))
+    return let(let(fields, _moment), lambda t: F.when(t["at"].isNotNull(), F.struct((t["at"] - F.coalesce(t["offset"], F.lit(0))).alias("at"), t["offset"].isNull().alias("naive"))))
+
+
+def _lookup(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def _moment(p: Column) -> Column:
+    """struct<at: seconds in the date's own zone, offset: seconds, null if naive> of a date's fields."""
+    number = lambda i: F.nullif(p[f"p{i}"], F.lit("")).cast("int")
+    month = _lookup({name: i for i, full in enumerate(_MONTHS, 1) for name in (full, full[:3])}, F.lower(p["p2"]))
+    year = F.when(F.length(p["p3"]) > 2, number(3)).otherwise(number(3) + F.when(number(3) > 68, 1900).otherwise(2000))
     at = F.unix_seconds(F.try_make_timestamp(year, month, number(1), number(4), number(5), F.coalesce(number(6), F.lit(0)).cast("decimal(16,6)"), F.lit("UTC")))
-    zone = F.upper(part(7))
+    zone = F.upper(p["p7"])
     digits = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
-    offset = F.when(zone == "-0000", F.lit(None)).when(zone.startswith("+"), digits).when(zone.startswith("-"), -digits)
-    for known, seconds in _ZONES.items():
-        offset = F.when(zone == known, F.lit(seconds)).otherwise(offset)
-    return F.when(at.isNotNull(), F.struct((at - F.coalesce(offset, F.lit(0))).alias("at"), offset.isNull().alias("naive")))
+    numeric = F.when(zone == "-0000", F.lit(None)).when(zone.startswith("+"), digits).when(zone.startswith("-"), -digits)
+    return F.struct(at.alias("at"), F.coalesce(_lookup(_ZONES, zone), numeric).alias("offset"))
 
 
 def extract_error(df: DataFrame) -> Column:
