@@ -3,20 +3,28 @@
 Design: a document never leaves its row until its n-grams are counted
 (`term_counts` sorts the n-gram array in-row), so per-document term frequency
 costs no shuffle.  Corpus statistics are one `groupBy(dataset, term)` with
-map-side partial aggregation.  Vocabularies are bounded (k per dataset) and
-therefore broadcast; per-document L2 norms group by document, which is bounded
-by the vocabulary size.
+map-side partial aggregation.  Weights are worked out inside the row too: a
+vocabulary is broadcast where its counted terms allow it, Arrow batches look
+their terms up a column at a time, and the norm is a sum over the row's own cells.
+Beyond that size the exploded terms meet the vocabulary in a join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import constants as C
 from ..functions.text import add_term_counts, clean_text, vector_tokens, word_ngrams
+from ..session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -104,17 +112,91 @@ def preliminary_vocab(pruned: DataFrame, params: BodyParams, group=("dataset",))
     return top.select(*group, "term", "df", "n_docs", "tf_total")
 
 
-def tfidf_long(terms_df: DataFrame, vocab: DataFrame, params: BodyParams, group=("dataset",),
-               extra=("label",)) -> DataFrame:
-    """V6-V8: (group, msg_id, extra, term, w) L2-normalised over the vocabulary.
+#: Terms of all datasets up to which a vocabulary is broadcast (some 60 bytes a term).
+INDEX_TERMS = 500_000
+_CELL = "struct<term:string,idx:bigint,w:double>"
+
+
+def _broadcast_vocabulary(vocab: DataFrame, group) -> Broadcast:
+    """group values -> (terms, idx, idf); the caller has counted the rows."""
+    parts: dict[tuple, list] = {}
+    for r in vocab.select(*group, "term", "idx", "idf").collect():
+        parts.setdefault(tuple(r[: len(group)]), []).append(r[len(group) :])
+    made = {k: (pa.array([t for t, _, _ in rows], pa.string()), np.array([i for _, i, _ in rows], np.int64), np.array([f for _, _, f in rows], float)) for k, rows in parts.items()}
+    return vocab.sparkSession.sparkContext.broadcast(made)
+
+
+def _weigh(terms: pa.ListArray, entry: tuple, sublinear: bool) -> pa.ListArray:
+    """Cells of some rows' (term, tf) lists, whole columns at a time; a row's squares add up to 1."""
+    known, idx, idf = entry
+    flat, lengths = terms.flatten(), pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(terms)), np.nan_to_num(lengths).astype(np.int64))
+    place = pc.index_in(flat.field("term"), value_set=known)
+    hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+    row, at = row[hit], place.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64)
+    tf = flat.field("tf").to_numpy(zero_copy_only=False)[hit].astype(float)
+    w = (1.0 + np.log(tf) if sublinear else tf) * idf[at]
+    norm = np.sqrt(np.bincount(row, w * w, minlength=len(terms)))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(terms)))]).astype(np.int32)
+    cells = pa.StructArray.from_arrays([known.take(pa.array(at)), pa.array(idx[at]), pa.array(w / norm[row])], ["term", "idx", "w"])
+    return pa.ListArray.from_arrays(pa.array(starts), cells)
 
-    `vocab` needs (group, term, idf); it is <= k rows per group, so broadcast.
+
+def tfidf_rows(terms_df: DataFrame, vocab: DataFrame, params: BodyParams, group=("dataset",), extra=("label",)) -> DataFrame:
+    """V6-V8 in the row: (group, msg_id, extra, cells), cells being (term, idx, w) of the vocabulary's terms.
+
+    Nothing is exchanged by message.  A message without such a term, or of a
+    group without a vocabulary, has no cells.
     """
+    keys = [*group, "msg_id", *extra]
+    rows = terms_df.select(*keys, "terms")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("cells", T._parse_datatype_string(f"array<{_CELL}>"))])
+    arrow, index, sublinear, n = to_arrow_schema(schema), _broadcast_vocabulary(vocab, group), params.sublinear_tf, len(group)
+    nothing = (pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0))
+
+    def run(batches):
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(n))))
+            for name in dict.fromkeys(names):
+                part = batch.filter(pa.array([x == name for x in names]))
+                cells = _weigh(part.column(len(keys)), index.value.get(name, nothing), sublinear)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], cells.cast(arrow.field("cells").type)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _joined_weights(terms_df: DataFrame, vocab: DataFrame, params: BodyParams, group=("dataset",), extra=("label",)) -> DataFrame:
+    """The same cells in long form, for a vocabulary of any size: a join by term, then norms by message."""
     long = doc_term_rows(terms_df, keys=(*group, "msg_id"), extra=extra)
-    j = long.join(F.broadcast(vocab), [*group, "term"])
+    j = long.join(vocab, [*group, "term"])
     j = j.withColumn("w_raw", tf_weight(F.col("tf"), params.sublinear_tf) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w_raw") * F.col("w_raw")).over(Window.partitionBy(*group, "msg_id")))
-    return j.withColumn("w", F.col("w_raw") / norm).drop("w_raw")
+    return j.select(*group, "msg_id", *extra, "term", F.col("idx").cast("long").alias("idx"), (F.col("w_raw") / norm).alias("w"))
+
+
+def fits_index(vocab: DataFrame) -> bool:
+    return vocab.count() <= INDEX_TERMS
+
+
+def tfidf_cells(terms_df: DataFrame, vocab: DataFrame, params: BodyParams, group=("dataset",), extra=("label",)) -> DataFrame:
+    """tfidf_rows, or where the vocabulary is too large for an index the joined weights gathered by message."""
+    if fits_index(vocab):
+        return tfidf_rows(terms_df, vocab, params, group, extra)
+    keys = [*group, "msg_id"]
+    long = _joined_weights(terms_df, vocab, params, group, ())
+    cells = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", "idx", "w"))).alias("cells"))
+    none = F.array().cast(f"array<{_CELL}>")
+    return terms_df.select(*keys, *extra).join(cells, keys, "left").withColumn("cells", F.coalesce("cells", none))
+
+
+def tfidf_long(terms_df: DataFrame, vocab: DataFrame, params: BodyParams, group=("dataset",),
+               extra=("label",)) -> DataFrame:
+    """V6-V8: (group, msg_id, extra, term, idx, w) L2-normalised over the vocabulary (group, term, idx, idf)."""
+    if not fits_index(vocab):
+        return _joined_weights(terms_df, vocab, params, group, extra)
+    rows = tfidf_rows(terms_df, vocab, params, group, extra)
+    keys = [*group, "msg_id", *extra]
+    return rows.select(*keys, F.explode_outer("cells").alias("c")).where(F.col("c").isNotNull()).select(*keys, "c.term", "c.idx", "c.w")
 
 
 def discriminative_scores(weights: DataFrame, sizes: DataFrame, group=("dataset",)) -> DataFrame:
@@ -140,12 +222,14 @@ def fit_vocabulary(docs: DataFrame, params: BodyParams = BodyParams(), group=("d
     sizes = corpus_size(docs, group)
     stats = term_stats(docs, group)
     pre = preliminary_vocab(pruned_stats(stats, sizes, params, group), params, group)
-    pre = pre.withColumn("idf", smooth_idf(F.col("df"), F.col("n_docs")))
+    pre = pre.withColumn("idf", smooth_idf(F.col("df"), F.col("n_docs"))).withColumn("idx", F.lit(0))
     if not params.discriminative:
         w = Window.partitionBy(*group).orderBy("term")
         return pre.withColumn("idx", F.row_number().over(w) - 1).select(
             *group, "term", "idx", "df", "n_docs", "idf")
-    weights = tfidf_long(docs, pre.select(*group, "term", "idf"), params, group)
+    checkpoint_dir(pre.sparkSession)
+    pre = pre.checkpoint()  # at most 3 x max_features rows a group: counted, then broadcast
+    weights = tfidf_long(docs, pre, params, group)
     scored = discriminative_scores(weights, sizes, group)
     top = top_k_per_group(scored, params.max_features,
                           [F.round("score", 10).desc(), F.col("term").asc()], group)
@@ -162,6 +246,11 @@ def transform_long(docs: DataFrame, vocab: DataFrame, params: BodyParams = BodyP
         *group, "msg_id", *extra, "idx", "term", "w")
 
 
+def transform_cells(docs: DataFrame, vocab: DataFrame, params: BodyParams = BodyParams(), group=("dataset",), extra=()) -> DataFrame:
+    """V12/V14 in the row: (group, msg_id, extra, cells), a row for every message."""
+    return tfidf_cells(docs, vocab.select(*group, "term", "idx", "idf"), params, group, extra)
+
+
 def feature_names(vocab: DataFrame, group=("dataset",)) -> DataFrame:
     """Term by index."""
     return vocab.select(*group, "idx", "term").orderBy(*group, "idx")

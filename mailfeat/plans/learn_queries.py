@@ -69,7 +69,7 @@ def q_nb_predict(spark, sf):
 
 def q_body_scale(spark, sf):
     docs = TQ._labelled_terms(spark, sf)
-    vocab = V.fit_vocabulary(docs)
+    vocab = V.fit_vocabulary(docs).checkpoint()
     long = V.transform_long(docs, vocab)
     sc = M.body_scale(long, V.corpus_size(docs))
     return sc.select("dataset", F.col("idx").cast("long").alias("idx"), F.round("scale", R).alias("scale"))

@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import add_term_counts, clean_text, vector_tokens, word_ngrams
 from ..operators import corpus as V
+from ..session import checkpoint_dir
 from ..sources.tables import all_documents, labelled_documents, table, text_table
 from .sqltext import sql_clean, sql_ngrams, sql_vector_tokens
 
 R = 6  # decimals kept in float outputs
 
 
+def _stored_terms(docs: DataFrame, params: V.BodyParams) -> DataFrame:
+    """Terms of documents whose cleaned text, the costly part, is written once for all passes over it."""
+    checkpoint_dir(docs.sparkSession)
+    return V.with_terms(V.with_clean(docs).drop("body_text").checkpoint(), params)
+
+
 def _labelled_terms(spark, sf_dir, params=V.BodyParams()):
-    docs = V.with_clean(labelled_documents(spark, sf_dir))
-    return V.with_terms(docs, params)
+    return _stored_terms(labelled_documents(spark, sf_dir), params)
 
 
 def _all_terms(spark, sf_dir, params=V.BodyParams()):
@@ -81,23 +87,30 @@ def _weights_summary(long: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _cells_summary(cells: DataFrame) -> DataFrame:
+    """The same figures from the cells within each row."""
+    total = lambda f: F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + f(c))
+    return cells.select("dataset", "msg_id", F.size("cells").cast("long").alias("nnz"), F.round(total(lambda c: c["w"]), R).alias("sum_w"),
+                        F.round(total(lambda c: c["w"] * c["w"]), R).alias("sum_w2"), F.round(total(lambda c: c["idx"] * c["w"]), 4).alias("idx_w"))
+
+
 def q_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _labelled_terms(spark, sf_dir)
-    vocab = V.fit_vocabulary(docs)
-    return _weights_summary(V.transform_long(docs, vocab), docs)
+    vocab = V.fit_vocabulary(docs).checkpoint()
+    return _cells_summary(V.transform_cells(docs, vocab))
 
 
 def q_tfidf_transform_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on labelled documents, transform the unlabelled ones."""
     docs = _labelled_terms(spark, sf_dir)
-    vocab = V.fit_vocabulary(docs)
+    vocab = V.fit_vocabulary(docs).checkpoint()
     lab = table(spark, sf_dir, "labels").select("doc_id")
     unseen = text_table(spark, sf_dir, "documents", "doc_id").join(lab, "doc_id", "left_anti").select(
         F.col("doc_id").alias("msg_id"),
         F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("dataset"),
         F.coalesce(F.col("text"), F.lit("")).alias("body_text"))
     unseen = V.with_terms(V.with_clean(unseen))
-    return _weights_summary(V.transform_long(unseen, vocab), unseen)
+    return _cells_summary(V.transform_cells(unseen, vocab))
 
 
 QUERIES = {

@@ -66,3 +66,27 @@ def test_every_message_has_a_row_of_weights(spark):
     vocab = spark.createDataFrame([("x", "win", 0, 1.0), ("x", "prize", 1, 1.0)], "dataset string, term string, idx long, idf double")
     rows = {r.msg_id: tuple(r)[2:] for r in T._weights_summary(V.transform_long(docs, vocab), docs).collect()}
     assert rows["b"] == rows["d"] == (0, 0.0, 0.0, 0.0) and rows["a"][0] == 2 and rows["c"] == (1, 1.0, 1.0, 0.0)
+
+
+def test_weights_stay_in_the_row(spark, monkeypatch):
+    """Index and join give the same cells; with the index nothing is exchanged by message."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"m{i}", i % 2, " ".join(rng.choices(["win", "prize", "call", "now", "plan", "menu", "sun"], k=rng.randrange(0, 9))), "xy"[i % 2]) for i in range(60)]
+    docs = V.with_terms(spark.createDataFrame(rows, "msg_id string, label int, clean string, dataset string")).checkpoint()
+    vocab = V.fit_vocabulary(docs).checkpoint()
+    got = V.transform_cells(docs, vocab, extra=("label",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(msg_id" not in plan and "msg_id#" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+    as_rows = lambda df: {r.msg_id: {(c.term, c.idx): round(c.w, 12) for c in r.cells} for r in df.collect()}
+    near = as_rows(got)
+    monkeypatch.setattr(V, "INDEX_TERMS", 0)
+    assert as_rows(V.transform_cells(docs, vocab, extra=("label",))) == near and len(near) == 60
+    long = {(r.msg_id, r.term): round(r.w, 12) for r in V.transform_long(docs, vocab).collect()}
+    assert long == {(m, t): w for m, cells in near.items() for (t, _), w in cells.items()}
+    scale = M.body_scale(V.transform_long(docs, vocab), V.corpus_size(docs)).checkpoint()
+    entries = lambda: {r.msg_id: (r.at, [round(x, 10) for x in r.v]) for r in M.body_entries(got, scale, extra=("label",)).collect()}
+    near = entries()
+    monkeypatch.setattr(M, "SCALE_ENTRIES", 0)
+    assert entries() == near and all(at == sorted(at) for at, _ in near.values())
