@@ -13,6 +13,7 @@ from ..functions.constants import (ALL_HEADER_FEATURES, KNOWN_LEGIT_DOMAINS, SIM
                                    SUSPICIOUS_USERNAME_KEYWORDS, TYPOSQUAT_EXACT, TYPOSQUAT_NEAR)
 from ..functions.similarity import similarity_scores
 from ..operators import headers as H
+from ..sources.raw import parse_text
 from ..sources.tables import TEMPLATE_COLUMNS, TEMPLATES, messages
 from .sqltext import q
 
@@ -23,7 +24,7 @@ EXT_NOSIM = [f for f in ALL_HEADER_FEATURES[17:] if f not in SIMILARITY_FEATURES
 
 
 def parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.split_message(messages(spark, sf_dir, labelled=False))
+    return parse_text(messages(spark, sf_dir, labelled=False))
 
 
 def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:

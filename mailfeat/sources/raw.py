@@ -54,6 +54,23 @@ def scan_raw(spark: SparkSession, root: str, datasets: list[str]) -> DataFrame:
     )
 
 
+FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
+
+
+def _as_messages(files: DataFrame) -> DataFrame:
+    return files.select("path", F.decode("content", "ISO-8859-1").alias("raw"), "content")
+
+
+def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of one folder, without a label: path, raw, content."""
+    return _as_messages(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder))
+
+
+def stream_folder(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
+    """The same rows as a stream: every file once, as it arrives in the folder."""
+    return _as_messages(spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_a_batch).load(folder))
+
+
 def _text_parts(message: email.message.Message) -> Iterator[email.message.Message]:
     """A single-part message itself, or the text/plain leaves of a multipart one, in order."""
     if not message.is_multipart():
@@ -110,6 +127,43 @@ def parse_raw(raw: DataFrame, keep=("dataset", "label")) -> DataFrame:
             .withColumn("body_error", F.col("mime.reason")).drop("mime"))
 
 
+#: Transfer encodings whose body isn't its own text.
+_ENCODED = ["base64", "quoted-printable", "x-uuencode", "uuencode", "uue", "x-uue"]
+
+
+@F.pandas_udf(_BODY)
+def _bodies_of_text(raw: pd.Series) -> pd.DataFrame:
+    def octets(text: str) -> bytes:
+        try:
+            return text.encode("latin-1")  # as scan_raw has decoded it
+        except UnicodeEncodeError:
+            return text.encode("utf-8", "ignore")
+
+    return pd.DataFrame([(None, 0, None) if r is None else body_with_reason(octets(r)) for r in raw], columns=["body", "undecoded", "reason"])
+
+
+def parse_text(messages: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """parse_raw for messages that are given as text: the same columns, the same body.
+
+    Only a message whose headers announce parts, a charset or a transfer
+    encoding needs the MIME parser; any other body is what follows the headers.
+    """
+    parsed = H.split_message(messages, raw_col)
+    kind = F.lower(F.coalesce(H.header_value(F.col("headers"), "content-type"), F.lit("")))
+    coding = F.lower(F.trim(F.coalesce(H.header_value(F.col("headers"), "content-transfer-encoding"), F.lit(""))))
+    encoded = kind.rlike("^\\s*(multipart|message)/") | kind.contains("charset") | coding.isin(_ENCODED)
+    mime = parsed.withColumn("_mime", _bodies_of_text(F.when(encoded, F.col(raw_col))))
+    return (mime.withColumn("body_text", F.coalesce("_mime.body", "body_text")).withColumn("undecoded_parts", F.col("_mime.undecoded"))
+            .withColumn("body_error", F.col("_mime.reason")).drop("_mime"))
+
+
+def quarantined(parsed: DataFrame, features: DataFrame) -> DataFrame:
+    """msg_id, reason and how many parts could not be read, of messages that training would leave out or read in part."""
+    why = features.select("msg_id", "extract_error")
+    both = parsed.select("msg_id", "undecoded_parts", "body_error").join(why, "msg_id")
+    return both.select("msg_id", F.coalesce("extract_error", "body_error").alias("reason"), "undecoded_parts").where("reason IS NOT NULL OR undecoded_parts > 0")
+
+
 def _write(df: DataFrame, path: str, partition_by) -> None:
     """Overwrite only the partitions that df has rows for."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
