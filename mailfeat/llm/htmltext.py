@@ -35,15 +35,20 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn del em f
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILER_TAGS = frozenset("nav header footer aside menu dialog button".split())
 _FORM_TAGS = frozenset(("form", "fieldset"))
+_FIELDS = frozenset("input label textarea select button".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
-_BOILER_NAME = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menus?|modal|nav\w*|newsletter|notices?|overlay|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[_-])", re.I)
+#: What boilerplate is called; a name of several words counts by its head, the last one that says more than where or in what frame.
+_BOILER_WORD = re.compile(r"(?:ads?|adsby\w*|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menus?|modal|nav\w*|newsletter|notices?|overlay|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)$", re.I)
+_FRAME_WORD = re.compile(r"(?:[0-9]+|area|bar|block|bottom|box|btns?|buttons?|column|container|content|desktop|form|global|group|holder|icons?|inner|items?|left|links?|list|mobile|modal|outer|panel|primary|right|row|secondary|section|slot|thread|top|unit|wrap|wrapper)$", re.I)
+_RELATED = re.compile(r"related[_-]?(?:articles?|posts?|stories|news|reading|topics)$", re.I)
 #: Names such as has-sidebar or no-comments say how a page is laid out, not what stands in the tag.
 _STATE_NAME = re.compile(r"(?:^|[_-])(?:has|have|no|not|non|with|without|hide|show|is|layout)(?:$|[_-])", re.I)
 _ARTICLE_NAME = re.compile(r"(?:article|content|entry|main|post|story|(?:article|entry|main|post|story)[_-]?(?:body|content|text))$", re.I)
 _BOILER_ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar)$", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(?P<name>class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s"'>]+)))?""", re.I)
+_OPENS = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)")
+_TO_MARK = re.compile(r"[^>\"']*")
+_ATTR = re.compile(r"""[\s/]*(?P<name>[^\s=/>]+)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?""")
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
@@ -68,15 +73,35 @@ class Block:
 _HIDDEN, _BOILER_TAG, _BOILER, _FORM, _ARTICLE, _ARTICLE_TAG = -4, -3, -2, -1, 1, 2
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Name (lower case) and value of each attribute, one after the other; the first of a name holds."""
+    out: dict[str, str] = {}
+    at = 0
+    while m := _ATTR.match(attrs, at):
+        out.setdefault(m["name"].lower(), m["a"] or m["b"] or m["c"] or "")
+        at = m.end()
+    return out
+
+
+def _is_boilerplate(name: str) -> bool:
+    """Whether a class or id names boilerplate: by the head of its words."""
+    if _STATE_NAME.search(name):
+        return False
+    words = [w for w in re.split(r"[_-]+", name) if w]
+    while len(words) > 1 and _FRAME_WORD.match(words[-1]) and not _BOILER_WORD.match(words[-1]):
+        words.pop()
+    return bool(words and _BOILER_WORD.match(words[-1])) or bool(_RELATED.match(name))
+
+
 def _region(tag: str, attrs: str) -> int:
     """What a tag says about its contents, 0 for nothing."""
-    names = {m["name"].lower(): m["a"] or m["b"] or m["c"] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
+    names = _attributes(attrs) if attrs else {}
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", "")):
         return _HIDDEN
     if tag in _BOILER_TAGS or _BOILER_ROLES.match(names.get("role", "")):
         return _BOILER_TAG
     called = f"{names.get('class', '')} {names.get('id', '')}".split()
-    if tag not in ("body", "html") and any(_BOILER_NAME.search(x) and not _STATE_NAME.search(x) for x in called):
+    if tag not in ("body", "html") and any(map(_is_boilerplate, called)):
         return _BOILER
     if tag in _ARTICLE_TAGS or names.get("role", "").lower() in ("main", "article"):
         return _ARTICLE_TAG
@@ -85,31 +110,51 @@ def _region(tag: str, attrs: str) -> int:
     return _FORM if tag in _FORM_TAGS else 0
 
 
-def _deciding(says: list[int]) -> int:
-    """1, -1 or 0 from what the open tags say, the outermost first."""
-    region = 0
-    for r in says:
-        if r and region != _HIDDEN and not (region == _BOILER_TAG and r == _ARTICLE):
-            region = r
-    return (region > 0) - (region < 0)
+def _inside(outer: int, says: int) -> int:
+    """What holds within a tag: the innermost that decides, but hidden stays, and a class doesn't undo a boilerplate tag."""
+    if not says or says == _FORM or outer == _HIDDEN or (outer == _BOILER_TAG and says == _ARTICLE):
+        return outer
+    return says
+
+
+def _tag_end(page: str, at: int, lone: set[str]) -> int:
+    """Where the tag whose name ends at `at` ends; a quote that never closes (it is put into lone) is a character like others."""
+    while True:
+        at = _TO_MARK.match(page, at).end()
+        if at == len(page) or page[at] == ">":
+            return at
+        quote = page[at]
+        close = -1 if quote in lone else page.find(quote, at + 1)
+        if close < 0:
+            lone.add(quote)
+        at = max(at, close) + 1
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The page's flat blocks in order."""
+    """The page's flat blocks in order, in time linear in the page.
+
+    What an open tag says is summed up on the stack, so a block asks the
+    innermost one only.  A form with a field is boilerplate with all it holds,
+    unless it frames the page, that is has a header, navigation, footer or article
+    in it.
+    """
     page = page or ""
     out: list[Block] = []
-    open_: list[tuple[str, int, int]] = []  # tag, what it says, its number
-    inside: list[list[tuple[int, int]]] = []  # of each block, what its open tags say, and their numbers
-    opened = 0
+    stack: list[tuple[str, int, int]] = []  # tag, what holds in it, the form around (its number)
+    opened: Counter[str] = Counter()
+    around, frames, fields = [0], [True], [False]  # of each form: the one around it, whether it frames the page, whether it has a field
+    in_form: list[int] = []  # of each block
     text: list[str] = []
     linked: list[str] = []
     links = 0
+    lone: set[str] = set()
 
     def flush() -> None:
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            out.append(Block(whole, len(html.unescape("".join(linked)).split()), 0))
-            inside.append([(r, n) for _, r, n in open_ if r])
+            holds = stack[-1][1] if stack else 0
+            out.append(Block(whole, len(html.unescape("".join(linked)).split()), (holds > 0) - (holds < 0)))
+            in_form.append(stack[-1][2] if stack else 0)
         text.clear()
         linked.clear()
 
@@ -118,17 +163,27 @@ def blocks_of(page: str | None) -> list[Block]:
         if links:
             linked.append(s)
 
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     at = 0
-    while m := _TOKEN.search(page, at):
+    while m := _OPENS.search(page, at):
         say(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            say(html.escape(m["cdata"]))
         if not m["tag"]:
+            mark = m[0]
+            ends = "-->" if mark == "<!--" else "]]>" if mark.startswith("<![") else ">"
+            close = page.find(ends, m.end())
+            if mark.startswith("<!["):
+                say(html.escape(page[m.end() : close if close >= 0 else len(page)]))
+            at = close + len(ends) if close >= 0 else len(page)
             continue
+        end = _tag_end(page, m.end(), lone)
+        attrs, at = page[m.end() : end], min(end + 1, len(page))
         tag = m["tag"].lower()
+        if tag in _FIELDS and not m["end"] and not (tag == "input" and _attributes(attrs).get("type", "").lower() == "hidden"):
+            fields[stack[-1][2] if stack else 0] = True
         if tag in _RAW and not m["end"]:
-            if m["attrs"].endswith("/") and tag in ("svg", "math"):
+            if attrs.endswith("/") and tag in ("svg", "math"):
                 continue
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             if tag == "head" and not close:
@@ -144,27 +199,38 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         flush()
         if m["end"]:
-            where = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-            if where is not None:
-                del open_[where:]
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             links = 0
         elif tag not in _VOID:
-            if tag in _ENDS_P and open_ and open_[-1][0] == "p":
-                open_.pop()
-            elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == tag:
-                open_.pop()
-            opened += 1
-            open_.append((tag, _region(tag, m["attrs"]), opened))
+            if stack and (stack[-1][0] == "p" and tag in _ENDS_P or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                pop()
+            _, holds, form = stack[-1] if stack else ("", 0, 0)
+            says = _region(tag, attrs)
+            if says == _FORM:
+                around.append(form)
+                frames.append(False)
+                fields.append(False)
+                form = len(around) - 1
+            elif says in (_ARTICLE_TAG, _ARTICLE) or tag in ("header", "nav", "footer"):
+                up = form
+                while not frames[up]:
+                    frames[up] = True
+                    up = around[up]
+            opened[tag] += 1
+            stack.append((tag, _inside(holds, says), form))
     rest = page[at:]
-    cut = re.search(r"<[A-Za-z/!?][^>]*\Z", rest)  # markup that the page's end cuts off
+    cut = re.compile(r"<[A-Za-z/!?]").search(rest, rest.rfind(">") + 1)  # markup that the page's end cuts off
     say(rest[: cut.start()] if cut else rest)
     flush()
-    held: Counter[int] = Counter()
-    for b, says in zip(out, inside):
-        held.update({n: b.words for r, n in says if r == _FORM})
-    total = sum(b.words for b in out)
-    for b, says in zip(out, inside):
-        b.region = _deciding([r for r, n in says if r != _FORM or 2 * held[n] <= total])
+    dropped = [False]
+    for i in range(1, len(around)):
+        dropped.append(not frames[i] and (fields[i] or dropped[around[i]]))
+    for b, form in zip(out, in_form):
+        if dropped[form]:
+            b.region = -1
     return out
 
 
@@ -247,9 +313,9 @@ def classify(blocks: list[Block]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The article's blocks joined by line ends.
 
-    Where the page marks an article region that holds the bulk of the blocks'
-    words, blocks outside any region are not part of it, whatever the tree says
-    of their shape.
+    A page may mark more than its article, or only a teaser.  So blocks outside
+    any region go only where those that the tree takes from marked regions have
+    more words than they have; with as many or fewer, both stay.
     """
     blocks = blocks_of(page)
     found = [b for b, good in zip(blocks, classify(blocks)) if good]

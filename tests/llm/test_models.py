@@ -176,6 +176,39 @@ def test_regions_keep_whole_articles():
     assert htmltext.main_text(f"<main>{body}</main>{aside}") == htmltext.main_text(body + aside) == both
 
 
+def test_attributes_and_names_are_read_whole():
+    text = "One two three four five six seven eight nine ten."
+    for tag in ('article title="no hidden fees"', 'article aria-label="hidden gems of Rome"', 'article data-hidden="false"', 'div data-id="sidebar"', "div data-role='banner'",
+                'div class="share-price-news"', 'div id="post-social-policy"', "div title='class=sidebar'", 'div class=a id="x>y"'):
+        assert htmltext.main_text(f"<{tag}><p>{text}</p></{tag.split()[0]}>") == text, tag
+    for tag in ('div class="site-header"', "div class=main-nav", 'section id="comments-area"', 'div class="a related-posts"', "p hidden", 'div ROLE="banner"', 'div class="ad-slot-3"', 'div style="color:red; display : none"'):
+        assert htmltext.main_text(f"<p>{text}</p><{tag}>{text} b</{tag.split()[0]}>") == text, tag
+
+
+def test_forms_and_frames():
+    long = " ".join(["word"] * 40)
+    form = f"<form><p>{long} b</p><label>Mail</label><input name=m></form>"
+    assert htmltext.main_text(f"<p>{long}</p>{form}") == htmltext.main_text(f"<form action=/><nav><a href=a>x</a></nav><p>{long}</p>{form}</form>") == long
+    assert htmltext.main_text(f"<form><input type=hidden name=state><p>{long}</p></form>") == long
+
+
+def test_marked_and_unmarked_words_on_both_sides_of_the_limit():
+    """Unmarked blocks go where the marked ones have more words, and only there."""
+    words = lambda n: " ".join(["word"] * n)
+    page = lambda n: f"<main><p>{words(40)}</p></main><p>{words(n)}</p>"
+    assert htmltext.main_text(page(39)) == words(40) and htmltext.main_text(page(40)) == f"{words(40)}\n{words(40)}"
+
+
+def test_cost_is_linear_in_the_page():
+    import time
+
+    n = 60_000
+    for page in ("<div class=content>a " * n, "<b " * n + "'", "<div>" * n + "</section>" * n, "</ " * n + ">", "<" * n * 5, "<div " + "a " * n, "<p>" * n, "<form>" * n + "x", '<a "' * n, "<!--" * n, "&am" * n):
+        began = time.time()
+        htmltext.main_text(page[: 1 << 20])
+        assert time.time() - began < 2, page[:20]
+
+
 def test_op8_pages(spark):
     pages = table(spark, MORE, "pages")
     docs = {r.doc_id: r.text for r in table(spark, MORE, "documents").select("doc_id", "text").collect()}
