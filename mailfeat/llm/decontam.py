@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, map_columns, utf8, window_hashes, word_hashes
 
 LEAST, COVERAGE = 5, 0.6
+#: Items of fewer words are common phrases: they contaminate only a text that consists of them and nothing else.
 MIN_ITEM = 3
+#: Contaminated rows up to which they are broadcast to the documents; beyond that both sides meet in a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Bits of the seed bitmap; 2 ** 26 are 8 MB.
 BITS = 1 << 26
 _PRIME = (1 << 61) - 1
@@ -108,10 +111,10 @@ def _scan(p: list[int], t: list[int], used_p: list[bool], used_t: list[bool], si
 
 
 def _seeds_of_items(items: DataFrame, item_id: str, text: str, least: int) -> DataFrame:
-    """item_id, a key of its own (of id and words), words and distinct seeds of each item that is long enough."""
+    """item_id, a key of its own (of id and words), words and distinct seeds of each item that has a word."""
     def run(cols: dict) -> dict:
         got = [plain_words(t) for t in cols["text"]]
-        seeds = [np.unique(window_hashes(w, min(least, max(len(w), 1)))).view(np.int64).tolist() if len(w) >= MIN_ITEM else [] for w in got]
+        seeds = [np.unique(window_hashes(w, min(least, max(len(w), 1)))).view(np.int64).tolist() for w in got]
         keys = [hashlib.md5(f"{i}:".encode() + w.tobytes()).digest() for i, w in zip(cols["item_id"], got)]
         return {"item_id": cols["item_id"], "item_key": keys, "n_words": [len(w) for w in got], "words": [w.view(np.int64).tolist() for w in got], "seeds": seeds}
 
@@ -148,6 +151,8 @@ def _stretches(docs: DataFrame, doc_id: str, text: str, bits: np.ndarray, sizes:
             w = plain_words(t)
             edge, seeds = np.zeros(len(w) + 1, np.int64), []
             for k in sizes:
+                if k < MIN_ITEM and len(w) != k:
+                    continue
                 h = window_hashes(w, k)
                 if len(h):
                     p = _position(h)
@@ -204,5 +209,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **how: Any) -> DataFram
     """The documents that no item contaminates, as they are; rows with a null id go by their text alone."""
     row = fresh(docs, "row")
     marked = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
-    bad = find_contamination(marked, items, doc_id=row, **how).select(F.col("doc_id").alias(row)).distinct()
+    bad = cut(find_contamination(marked, items, doc_id=row, **how).select(F.col("doc_id").alias(row)).distinct())
+    if bad.count() <= BROADCAST_ROWS:  # then the texts stay where they are
+        bad = F.broadcast(bad)
     return marked.join(bad, row, "left_anti").select(*docs.columns)
