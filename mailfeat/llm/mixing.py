@@ -103,10 +103,19 @@ def _cut_bucket(rows: DataFrame, digits: str, rest: str) -> DataFrame:
     return sums.where(here).select(*LEVELS, F.col(digits).alias(f"cut_{digits}"), (F.col(rest) - F.col("before")).alias(f"rest_{digits}"))
 
 
+#: Leaves up to which their budgets and cuts are broadcast; beyond that rows meet them in a shuffle by leaf.
+BROADCAST_LEAVES = 200_000
+
+
+def _near(leaves: DataFrame) -> DataFrame:
+    """A table of a row a leaf, written already, with a hint that keeps texts from being shuffled by hot leaves."""
+    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+
+
 def _at_place(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
     """Rows that hold tokens, with their leaf's epochs and rest, and their place in its order."""
     place = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    r = rows.where("tokens > 0").join(leaves.select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("place", place)
+    r = rows.where("tokens > 0").join(_near(leaves.select(*LEVELS, "epochs", "rest")), list(LEVELS)).withColumn("place", place)
     return r.withColumn("d1", F.substring("place", 1, 3)).withColumn("d2", F.substring("place", 4, 3))
 
 
@@ -115,7 +124,7 @@ def cuts(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
     keys = list(LEVELS)
     r = _at_place(rows, leaves, mix).where("rest > 0")
     first = cut(_cut_bucket(r, "d1", "rest"))
-    second = _cut_bucket(r.join(first, keys).where("d1 = cut_d1"), "d2", "rest_d1")
+    second = _cut_bucket(r.join(_near(first), keys).where("d1 = cut_d1"), "d2", "rest_d1")
     return cut(first.select(*keys, "cut_d1").join(second, keys))
 
 
@@ -126,7 +135,7 @@ def select_prefix(rows: DataFrame, leaves: DataFrame, ends: DataFrame, mix: Mix)
     are ordered among themselves.
     """
     keys = list(LEVELS)
-    r = _at_place(rows, leaves, mix).join(ends, keys, "left")
+    r = _at_place(rows, leaves, mix).join(_near(ends), keys, "left")
     at_edge = F.coalesce((F.col("d1") == F.col("cut_d1")) & (F.col("d2") == F.col("cut_d2")), F.lit(False))
     inside = F.coalesce((F.col("d1") < F.col("cut_d1")) | ((F.col("d1") == F.col("cut_d1")) & (F.col("d2") < F.col("cut_d2"))), F.lit(False))
     clear = r.where(~at_edge).withColumn("extra_tokens", F.when(inside, F.col("tokens")).otherwise(F.lit(0).cast("long")))
