@@ -160,9 +160,12 @@ def _platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, window: int = WINDOW) -> QualityModel:
-    """Model from at most about per_class rows of each label; only their windows reach the driver."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    picked = bounded_sample(known, "quality", per_class).dropDuplicates(["doc_id"])
+    """Model from at most about per_class rows of each label; only their windows reach the driver.
+
+    Labels other than 0 and 1 teach nothing; an id with both counts as 0.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    picked = bounded_sample(known, "quality", per_class)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
     got = sorted((r[0], r[1], r[2]) for r in rows.select("doc_id", text_window(F.col("text"), "doc_id", window), "quality").collect())
     return fit_rows([t for _, t, _ in got], [q for _, _, q in got])

@@ -224,9 +224,9 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, size: int = LEX
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
-    """Lexicon and weights from labelled rows outside the held-out third."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    picked = bounded_sample(known, "toxic", per_class).dropDuplicates(["doc_id"])
+    """Lexicon and weights from labelled rows outside the held-out third; an id with both labels counts as toxic."""
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    picked = bounded_sample(known, "toxic", per_class)
     sample = cut(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").repartition(16, "doc_id"))
     n = dict(sample.groupBy("toxic").count().collect())
     if not n.get(0) or not n.get(1):
