@@ -3,17 +3,19 @@
 A turn's content is a list of typed parts (text, image, audio, document).  A
 visitor flattens the parts in order: text is escaped, every other part becomes
 a placeholder numbered within the conversation, its reference is recorded and
-its expanded token count comes from its kind.  A turn turns into one segment
+its expanded token count comes from its kind.  A part of an unknown kind is an
+attachment too, `other`, that expands to no token.  A turn turns into one segment
     <|im_start|>role \\n content <|im_end|> \\n
 and a conversation is its segments one after the other, in order of turn.
 
 Escaping: a backslash doubles and "<|" becomes "<\\|", so no text can hold a
-control string, and undoing it gives the text back.  Loss falls on the text of
+control string, and undoing it gives the text back.  Text parts that follow one
+another are escaped as one text, so none can be put together from two.  Loss falls on the text of
 assistant turns.
 
 Defined results: null texts and roles are empty; null turns come first; equal
-turns are ordered by role, then text; rows with a null id are one
-conversation; repeated rows are turns like any others; an empty table gives
+turns are ordered by role, then content; rows with a null id are one
+conversation; a part without units, or with fewer than one, has one; repeated rows are turns like any others; an empty table gives
 only conversations asked for beside it.
 """
 
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_columns
+from .common import ROWS_AT_ONCE, arrow_schema, map_columns
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens that a part of each kind expands to, for each of its units.
 TOKENS = {"image": 256, "audio": 25, "document": 512}
 PART_TYPE = "struct<type:string,text:string,ref:string,units:int>"
+OTHER = "other"
 TRAINED_ROLE = "assistant"
 
 
@@ -54,45 +57,56 @@ def unescape_role(role: str) -> str:
 
 
 class PartVisitor:
-    """Flattens the parts of one turn; one method for each kind of part."""
+    """Flattens the parts of one turn; one method for each kind of part.  first: the conversation's next free slot."""
 
-    def __init__(self) -> None:
+    def __init__(self, first: int = 0) -> None:
         self.out: list[str] = []
+        self.run: list[str] = []
         self.attachments: list[dict[str, Any]] = []
         self.tokens = 0
+        self.first = first
 
     def visit(self, part: dict[str, Any]) -> None:
         kind = part.get("type") or "text"
         if kind == "text":
             self.text(part.get("text") or "")
-        elif kind in TOKENS:
-            self.attachment(kind, part.get("ref"), part.get("units") or 1)
         else:
-            raise ValueError(f"unknown content part: {kind}")
+            self.attachment(kind if kind in TOKENS else OTHER, part.get("ref"), max(part.get("units") or 1, 1))
 
     def text(self, text: str) -> None:
-        self.out.append(escape(text))
-        self.tokens += len(text.split())
+        self.run.append(text)
+
+    def end_of_text(self) -> None:
+        run = "".join(self.run)
+        self.out.append(escape(run))
+        self.tokens += len(run.split())
+        self.run.clear()
 
     def attachment(self, kind: str, ref: str | None, units: int) -> None:
-        expanded = TOKENS[kind] * units
-        self.out.append(f"<|{kind}_{len(self.attachments)}|>")
-        self.attachments.append({"slot": len(self.attachments), "kind": kind, "ref": ref or "", "tokens": expanded})
+        self.end_of_text()
+        slot, expanded = self.first + len(self.attachments), TOKENS.get(kind, 0) * units
+        self.out.append(f"<|{kind}_{slot}|>")
+        self.attachments.append({"slot": slot, "kind": kind, "ref": ref or "", "tokens": expanded})
         self.tokens += expanded
 
+    def content(self) -> str:
+        self.end_of_text()
+        return "".join(self.out)
 
-def format_turn(role: str | None, parts: list[dict[str, Any]]) -> dict[str, Any]:
-    """Segment of one turn with its attachments, token count and loss span in it."""
-    v = PartVisitor()
+
+def format_turn(role: str | None, parts: list[dict[str, Any]], first: int = 0) -> dict[str, Any]:
+    """Segment of one turn with its attachments (numbered from first), token count and loss span in it."""
+    v = PartVisitor(first)
     for p in parts or []:
-        v.visit(p)
-    head, body = f"{START}{escape_role(role or '')}\n", "".join(v.out)
+        if p is not None:
+            v.visit(p)
+    head, body = f"{START}{escape_role(role or '')}\n", v.content()
     loss = [len(head), len(head) + len(body)] if role == TRAINED_ROLE else []
     return {"segment": f"{head}{body}{END}\n", "attachments": v.attachments, "tokens": v.tokens, "loss": loss}
 
 
 _SEGMENT = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
-_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document)_[0-9]+\|>")
+_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document|other)_[0-9]+\|>")
 
 
 def read_segments(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -113,17 +127,36 @@ _TURNS = "conv_id long, turn long, segment string, attachments array<struct<slot
 def format_turns(rows: DataFrame, parts_col: str | None = None) -> DataFrame:
     """A row a turn: its segment, attachments, expanded token count and loss span.
 
-    rows: conv_id, turn, role, and text or a column of typed parts.  Works row
-    by row; a conversation is its segments ordered by (turn, role, text).
+    rows: conv_id, turn, role, and text or a column of typed parts.  Plain
+    texts go row by row.  Typed parts are numbered through a conversation, so
+    its turns come sorted into one partition and pass through one at a time;
+    they leave in that order.
     """
     parts = F.col(parts_col) if parts_col else F.array(F.struct(F.lit("text").alias("type"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
     pick = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), parts.cast(f"array<{PART_TYPE}>").alias("parts"))
 
-    def run(cols: dict) -> dict:
-        got = [format_turn(r, p) for r, p in zip(cols["role"], cols["parts"])]
-        return {"conv_id": cols["conv_id"], "turn": cols["turn"]} | {k: [g[k] for g in got] for k in ("segment", "attachments", "tokens", "loss")}
+    def made(cols: dict, turns: list[dict[str, Any]]) -> dict:
+        return {"conv_id": cols["conv_id"], "turn": cols["turn"]} | {k: [t[k] for t in turns] for k in ("segment", "attachments", "tokens", "loss")}
+
+    if not parts_col:
+        return map_columns(pick, lambda cols: made(cols, [format_turn(r, p) for r, p in zip(cols["role"], cols["parts"])]), _TURNS)
+    arrow = arrow_schema(_TURNS)
+    ordered = pick.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.to_json("parts"))
 
-    return map_columns(pick, run, _TURNS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, slot = object(), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                cols, turns = batch.slice(start, ROWS_AT_ONCE).to_pydict(), []
+                for conv, role, parts in zip(cols["conv_id"], cols["role"], cols["parts"]):
+                    if conv != at:
+                        at, slot = conv, 0
+                    turns.append(format_turn(role, parts, slot))
+                    slot += len(turns[-1]["attachments"])
+                got = made(cols, turns)
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return ordered.mapInArrow(run, _TURNS)
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, tokens long, n_attachments long"
@@ -152,13 +185,15 @@ class _Digest:
         return {"conv_id": conv, "n_turns": self.n, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars, "tokens": self.tokens, "n_attachments": self.attached}
 
 
-def digest_conversations(turns: DataFrame) -> DataFrame:
+def digest_conversations(turns: DataFrame, in_order: bool = False) -> DataFrame:
     """A row a conversation, read back from its formatted segments.
 
+    in_order: the turns come as format_turns leaves typed parts, sorted already.
+
     Segments are sorted within their partition and pass through one at a time,
     so a conversation of any length needs no more memory than one batch.
     """
-    order = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
+    order = turns if in_order else turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
 
     schema = arrow_schema(_DIGEST)
 

@@ -33,8 +33,9 @@ cut AS (SELECT *, string_split(bare, '.') AS l FROM page),
 named AS (
   SELECT *, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS two, l[len(l)] AS one, array_to_string(l[greatest(len(l) - 2, 1):], '.') AS three FROM cut),
 levels AS (
-  SELECT *, CASE WHEN two IN {urlrep.TWO_LABEL_SUFFIXES} THEN two ELSE one END AS suffix,
-         CASE WHEN two IN {urlrep.TWO_LABEL_SUFFIXES} THEN three ELSE two END AS domain FROM named),
+  SELECT *, CASE WHEN address THEN '{urlrep.ADDRESS_SUFFIX}' WHEN two IN {urlrep.TWO_LABEL_SUFFIXES} THEN two ELSE one END AS suffix,
+         CASE WHEN address THEN bare WHEN two IN {urlrep.TWO_LABEL_SUFFIXES} THEN three ELSE two END AS domain
+  FROM (SELECT *, regexp_full_match(bare, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}|\\[.*\\]?') AS address FROM named)),
 outcome AS (
   SELECT bare, domain, suffix, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad
   FROM levels JOIN labels ON labels.doc_id = CAST(n AS BIGINT)),
@@ -72,7 +73,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digest_conversations(chat.format_turns(rows.unionByName(more)))
+    return chat.digest_conversations(chat.format_turns(rows.unionByName(more).withColumn("parts", content_parts()), "parts"), in_order=True)
+
+
+def content_parts():
+    """Typed parts of the table's plain turns: the text in two pieces, cut anywhere, and in two turns of three an attachment between them."""
+    text, turn = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("turn").cast("long"), F.lit(0))
+    half = (F.length(text) / 2).cast("int")
+    part = lambda kind, words, ref, units: F.struct(kind.alias("type"), words.alias("text"), ref.alias("ref"), units.alias("units"))
+    none, one = F.lit(None).cast("string"), F.lit(None).cast("int")
+    said = lambda words: part(F.lit("text"), words, none, one)
+    kind = F.element_at(F.array(F.lit("image"), F.lit("audio"), F.lit("document")), (F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(3)) + 1).cast("int"))
+    shown = part(kind, none, F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string")), (F.pmod(turn, F.lit(5)) + 1).cast("int"))
+    first, rest = said(F.left(text, half)), said(F.substring(text, half + 1, F.length(text)))
+    return F.when(F.pmod(turn, F.lit(3)) == 0, F.array(first, rest)).otherwise(F.array(first, shown, rest))
 
 
 #: Target weights of the documents' tree; a source's domain goes by its number.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Suffixes of two labels under which names are registered.
+#: Suffixes of two labels under which names are registered, unless the caller gives a table of them.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
 
 
@@ -53,14 +53,21 @@ def bare_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
 
 
-def suffix_of(host: Column) -> Column:
+_ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\]?)$"
+#: Stands for the suffix of hosts that are addresses; they share nothing closer with each other.
+ADDRESS_SUFFIX = "[ip]"
+
+
+def suffix_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    """The host's public suffix: one of the two-label ones given, else its last label."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(host.rlike(_ADDRESS), F.lit(ADDRESS_SUFFIX)).when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    """The name registered under the suffix; an address is a domain of its own."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(host.rlike(_ADDRESS), host).when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def matched_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -82,14 +89,14 @@ def _shrunk(counts: DataFrame, key: str, parents: DataFrame | None, parent_key:
     return joined.withColumn("alpha", a).withColumn("beta", b).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
-def host_reputation(outcomes: DataFrame, strength: float = 8.0) -> tuple[dict[str, DataFrame], float]:
+def host_reputation(outcomes: DataFrame, strength: float = 8.0, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[dict[str, DataFrame], float]:
     """Posteriors by level from (host, bad) rows: tables `host`, `domain`, `suffix`; and the global rate.
 
     Pages are summed by host first (partial sums before the one shuffle of
     pages); every further level adds up rows of the level below.
     """
     hosts = outcomes.groupBy("bare").agg(F.count(F.lit(1)).alias("n_seen"), F.sum("bad").alias("n_bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("bare"))).withColumn("suffix", suffix_of(F.col("bare")))
+    hosts = hosts.withColumn("domain", domain_of(F.col("bare"), suffixes)).withColumn("suffix", suffix_of(F.col("bare"), suffixes))
     both = [F.sum("n_seen").alias("n_seen"), F.sum("n_bad").alias("n_bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*both)
     suffixes = domains.groupBy("suffix").agg(*both)
@@ -102,7 +109,7 @@ def host_reputation(outcomes: DataFrame, strength: float = 8.0) -> tuple[dict[st
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], *, page_id: str = "page_id", url: str = "url",
-               strength: float = 8.0, z: float = 1.64, limit: float = 0.3) -> DataFrame:
+               strength: float = 8.0, z: float = 1.64, limit: float = 0.3, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, plus the posterior mean and lower bound of the host.
 
     outcomes: rows (url, bad) of the labelled pages, bad being 0 or 1.
@@ -111,10 +118,10 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], *, page
     split when one host holds many pages.
     """
     rep, root = host_reputation(outcomes.select(bare_host(url_host(F.col(url))).alias("bare"), F.col("bad").cast("long").alias("bad"))
-                          .where(F.col("bad").isNotNull()), strength)
+                          .where(F.col("bad").isNotNull()), strength, suffixes)
     page = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     hosts = page.select("host").distinct().withColumn("bare", bare_host(F.col("host")))
-    hosts = hosts.withColumn("domain", domain_of(F.col("bare"))).withColumn("suffix", suffix_of(F.col("bare")))
+    hosts = hosts.withColumn("domain", domain_of(F.col("bare"), suffixes)).withColumn("suffix", suffix_of(F.col("bare"), suffixes))
     for level, key in (("host", "bare"), ("domain", "domain"), ("suffix", "suffix")):
         hosts = hosts.join(rep[level].select(key, F.struct("alpha", "beta").alias(f"p_{level}")), key, "left")
     anyone = F.struct(F.lit(strength * root).alias("alpha"), F.lit(strength * (1 - root)).alias("beta"))
