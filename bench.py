@@ -15,12 +15,13 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from mailfeat.plans.registry import QUERIES  # noqa: E402
+from mailfeat.plans.stream_queries import saved_models, score_all, score_stream  # noqa: E402
 from mailfeat.session import checkpoint_dir, local_session  # noqa: E402
 
 HEADLINE = [
     "text_clean", "document_frequency", "discriminative_vocab", "tfidf_weights",
     "header_base17", "header_similarity", "feature_table", "metric_bundle", "roc_points",
-    "stratified_split", "nb_predict", "body_scale", "score_batch", "score_stream", "summary_union",
+    "stratified_split", "nb_predict", "body_scale", "train_models", "score_batch", "score_stream", "summary_union",
 ]
 #: Run once before the clock starts, so that no headline pays for the session's start.
 WARM_UP = "text_clean"
@@ -33,9 +34,16 @@ def main() -> None:
     checkpoint_dir(spark)
     QUERIES[WARM_UP](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
+    saved: tuple = ()
     for name in HEADLINE:
         t0 = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        if name == "train_models":  # fitted and saved once; the two scoring headlines only score
+            saved = saved_models(spark, sf_dir)
+        elif name in ("score_batch", "score_stream"):
+            scored = (score_all if name == "score_batch" else score_stream)(spark, sf_dir, *saved)
+            scored.write.format("noop").mode("overwrite").save()
+        else:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
