@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import constants as C
 from ..functions.text import add_term_counts, clean_text, vector_tokens, word_ngrams
 from ..session import checkpoint_dir
+from .bitmap import without_singletons
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class BodyParams:
     discriminative: bool = True
     min_df: int = C.MIN_DF
     max_df: float = C.MAX_DF
+    prune_early: bool = False  # V4 by `bitmap`: one pass more over the terms, about half the shuffle
 
 
 def with_clean(df: DataFrame, text_col: str = "body_text", out: str = "clean") -> DataFrame:
@@ -81,6 +83,18 @@ def pruned_stats(stats: DataFrame, sizes: DataFrame, params: BodyParams, group=(
     return s.where((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(params.max_df) * F.col("n_docs")))
 
 
+def frequent_stats(docs: DataFrame, sizes: DataFrame, params: BodyParams, group=("dataset",)) -> DataFrame:
+    """V4: df and total tf of the terms within the limits of df.
+
+    With prune_early, terms of a single row don't reach the exchange (see
+    `bitmap`); `docs` is then read three times more and should be stored.  The
+    rows are the same either way.
+    """
+    early = params.prune_early and params.min_df >= 2
+    kept = without_singletons(docs.select(*group, "msg_id", "terms"), group) if early else docs
+    return pruned_stats(term_stats(kept, group), sizes, params, group)
+
+
 def top_k_per_group(df: DataFrame, k: int, order, group=("dataset",), rank_col: str = "rank",
                     salts: int = 256, key: str = "term") -> DataFrame:
     """Top-k rows per group, with their rank, in two steps.
@@ -220,8 +234,7 @@ def fit_vocabulary(docs: DataFrame, params: BodyParams = BodyParams(), group=("d
     top terms by total tf are indexed alphabetically (V13).
     """
     sizes = corpus_size(docs, group)
-    stats = term_stats(docs, group)
-    pre = preliminary_vocab(pruned_stats(stats, sizes, params, group), params, group)
+    pre = preliminary_vocab(frequent_stats(docs, sizes, params, group), params, group)
     pre = pre.withColumn("idf", smooth_idf(F.col("df"), F.col("n_docs"))).withColumn("idx", F.lit(0))
     if not params.discriminative:
         w = Window.partitionBy(*group).orderBy("term")

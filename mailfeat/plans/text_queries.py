@@ -62,6 +62,15 @@ def q_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("tf_total").cast("long").alias("tf_total"))
 
 
+def q_document_frequency_early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_frequency with terms of one document pruned before the exchange."""
+    docs = _all_terms(spark, sf_dir)
+    checkpoint_dir(spark)
+    docs = docs.select("dataset", "msg_id", "label", "terms").checkpoint()
+    pr = V.frequent_stats(docs, V.corpus_size(docs), V.BodyParams(prune_early=True))
+    return pr.select("dataset", "term", F.col("df").cast("long").alias("df"), F.col("tf_total").cast("long").alias("tf_total"))
+
+
 def q_vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = V.BodyParams(discriminative=False)
     vocab = V.fit_vocabulary(_all_terms(spark, sf_dir, params), params)
@@ -118,6 +127,7 @@ QUERIES = {
     "text_clean_html": q_text_clean_html,
     "tokens_ngrams": q_tokens_ngrams,
     "document_frequency": q_document_frequency,
+    "document_frequency_early": q_document_frequency_early,
     "vocab_topk": q_vocab_topk,
     "discriminative_vocab": q_discriminative_vocab,
     "tfidf_weights": q_tfidf_weights,
@@ -199,3 +209,4 @@ utf AS (SELECT dataset, msg_id, term, count(*) AS tf FROM ung GROUP BY ALL),
 fw AS (SELECT u.dataset, u.msg_id, v.idx, (1 + ln(u.tf)) * v.idf AS w_raw FROM utf u JOIN vocab v USING (dataset, term))
 {_SUMMARY.format(messages="un")}""",
 }
+ORACLE["document_frequency_early"] = ORACLE["document_frequency"]
