@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import email
 import email.message
+import re
 import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,30 +31,78 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def scan_raw(spark: SparkSession, root: str, datasets: list[str]) -> DataFrame:
-    """`<root>/<dataset>/{spam,ham}/<file>` -> path, dataset, label, raw, content.
-
-    A class folder that is missing is passed over with a warning; datasets
-    with no files simply contribute no rows.
-    """
+def _class_folders(spark: SparkSession, root: str, datasets: list[str]) -> list[str]:
+    """The class folders that are there; one that is missing is passed over with a warning."""
     paths = []
     for folder in (f"{root.rstrip('/')}/{d}/{c}" for d in datasets for c in ("spam", "ham")):
         if _exists(spark, folder):
             paths.append(folder)
         else:
-            warnings.warn(f"no such folder, passed over: {folder}", stacklevel=2)
-    if not paths:
-        return spark.createDataFrame([], RAW_SCHEMA)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths)
-    return df.select(
+            warnings.warn(f"no such folder, passed over: {folder}", stacklevel=3)
+    return paths
+
+
+def _dataset() -> Column:
+    return F.regexp_extract("path", "/([^/]+)/(spam|ham)/[^/]+$", 1).alias("dataset")
+
+
+def _labelled(files: DataFrame) -> DataFrame:
+    return files.select(
         "path",
-        F.regexp_extract("path", "/([^/]+)/(spam|ham)/[^/]+$", 1).alias("dataset"),
+        _dataset(),
         F.when(F.regexp_extract("path", "/(spam|ham)/[^/]+$", 1) == "spam", 1).otherwise(0).alias("label"),
         F.decode("content", "ISO-8859-1").alias("raw"),
         "content",
     )
 
 
+def _binary_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths)
+
+
+def scan_raw(spark: SparkSession, root: str, datasets: list[str]) -> DataFrame:
+    """`<root>/<dataset>/{spam,ham}/<file>` -> path, dataset, label, raw, content.
+
+    A class folder that is missing is passed over with a warning; datasets
+    with no files simply contribute no rows.
+    """
+    paths = _class_folders(spark, root, datasets)
+    return _labelled(_binary_files(spark, paths)) if paths else spark.createDataFrame([], RAW_SCHEMA)
+
+
+LISTING_SCHEMA = "path STRING, dataset STRING, length LONG, changed TIMESTAMP"
+
+
+def list_raw(spark: SparkSession, root: str, datasets: list[str]) -> DataFrame:
+    """The files scan_raw would read: path, dataset, length, changed.  No file is opened."""
+    paths = _class_folders(spark, root, datasets)
+    if not paths:
+        return spark.createDataFrame([], LISTING_SCHEMA)
+    return _binary_files(spark, paths).select("path", _dataset(), "length", F.col("modificationTime").alias("changed"))
+
+
+#: Files up to which scan_files names each one to the reader.
+NAMED_FILES = 10_000
+_GLOB_SIGNS = re.compile(r"([{}\[\]*?\\])")
+
+
+def scan_files(spark: SparkSession, root: str, datasets: list[str], listed: DataFrame) -> DataFrame:
+    """scan_raw's rows of the files in `listed` (path, changed) only.
+
+    Up to NAMED_FILES are named to the reader, so that no other file is
+    opened.  Of more, files older than all of them are passed over by the
+    reader, the others by a join on the path.
+    """
+    some = listed.select("path").limit(NAMED_FILES + 1).collect()
+    if not some:
+        return spark.createDataFrame([], RAW_SCHEMA)
+    if len(some) <= NAMED_FILES:
+        return _labelled(_binary_files(spark, [_GLOB_SIGNS.sub(r"\\\1", r.path) for r in some]))
+    oldest = listed.agg(F.min("changed")).first()[0]
+    files = _binary_files(spark, _class_folders(spark, root, datasets)).where(F.col("modificationTime") >= F.lit(oldest))
+    return _labelled(files.join(listed.select("path"), "path", "left_semi"))
+
+
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
 
