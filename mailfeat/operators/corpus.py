@@ -226,15 +226,19 @@ def discriminative_scores(weights: DataFrame, sizes: DataFrame, group=("dataset"
     return s.withColumn("score", F.abs(F.log(ratio)))
 
 
-def fit_vocabulary(docs: DataFrame, params: BodyParams = BodyParams(), group=("dataset",)) -> DataFrame:
+def fit_vocabulary(docs: DataFrame, params: BodyParams = BodyParams(), group=("dataset",),
+                   sizes: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Fit the body vocabulary: (group, term, idx, df, n_docs, idf[, score]).
 
     `docs` needs (group, msg_id, label, terms).  Discriminative mode ranks the
     preliminary vocabulary by |log-odds| (V9-V11, ties by term); otherwise the
-    top terms by total tf are indexed alphabetically (V13).
+    top terms by total tf are indexed alphabetically (V13).  Sizes and term
+    counts (corpus_size, term_stats) of the same documents are taken as they are
+    where they are given.
     """
-    sizes = corpus_size(docs, group)
-    pre = preliminary_vocab(frequent_stats(docs, sizes, params, group), params, group)
+    sizes = corpus_size(docs, group) if sizes is None else sizes
+    frequent = frequent_stats(docs, sizes, params, group) if stats is None else pruned_stats(stats, sizes, params, group)
+    pre = preliminary_vocab(frequent, params, group)
     pre = pre.withColumn("idf", smooth_idf(F.col("df"), F.col("n_docs"))).withColumn("idx", F.lit(0))
     if not params.discriminative:
         w = Window.partitionBy(*group).orderBy("term")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import corpus as V
 from ..operators import headers as H
 from ..operators import learn as L
 from ..operators import metrics as E
+from ..operators.fitstore import FitStore
 from ..operators.fusion import CONDITION_COLUMNS, FusionState
 from ..session import checkpoint_dir
 from ..sources.raw import parse_text
@@ -81,7 +84,20 @@ def q_fusion_vectors(spark, sf):
     """M3-M6: size, stored cells and length of each condition's vector, by message."""
     checkpoint_dir(spark)
     ft = labelled_features(spark, sf).checkpoint()
-    v = FusionState().fit(ft).transform(ft)
+    return _vector_figures(FusionState().fit(ft).transform(ft))
+
+
+def q_fusion_vectors_merged(spark, sf):
+    """fusion_vectors with a state added up from four batches of messages."""
+    base = f"{checkpoint_dir(spark)}/fitstore-{uuid.uuid4().hex}"
+    ft = labelled_features(spark, sf).checkpoint()
+    store = FitStore(spark, base)
+    for i in range(4):
+        store.add(ft.where(F.pmod(F.xxhash64("msg_id"), F.lit(4)) == i), f"batch-{i}")
+    return _vector_figures(store.state().transform(ft))
+
+
+def _vector_figures(v):
     out = None
     for cond, col in CONDITION_COLUMNS.items():
         p = F.unwrap_udt(F.col(col))
@@ -170,6 +186,7 @@ QUERIES = {
     "rf_oof": q_rf_oof,
     "svm_oof": q_svm_oof,
     "fusion_vectors": q_fusion_vectors,
+    "fusion_vectors_merged": q_fusion_vectors_merged,
     "grid_search": q_grid_search,
     "split_counts": q_split_counts,
     "feature_importance": q_feature_importance,
@@ -283,3 +300,4 @@ SELECT s.dataset, CAST(s.idx AS BIGINT) AS idx,
                   ELSE sqrt(greatest(s2 / n_docs - (s1 / n_docs) * (s1 / n_docs), 0)) END, 6) AS scale
 FROM s JOIN sizes USING (dataset)""",
 }
+ORACLE["fusion_vectors_merged"] = ORACLE["fusion_vectors"]
