@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,34 +70,46 @@ def secular_roots(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     lo[-1] = np.where(at_mid[-1] < 0, gap[-1] / 2, 0.0)
     if at_mid[-1] >= 0:
         hi[-1] = gap[-1] / 2
-    t = (lo + hi) / 2
-    below = np.tri(k, dtype=bool).T  # below[i, j]: i <= j, the poles to the left of root j
+    found = t = (lo + hi) / 2
+    at, poles, left, last = np.arange(k), delta, _triangle(k), np.arange(k) == k - 1  # left[i, j]: i <= j, the poles to the left of root j
     pole_a, pole_b = d - origin, right - origin
     for _ in range(64):
-        diff = delta - t
-        part = w[:, None] / diff
-        f = 1.0 + part.sum(0)
-        size = 1.0 + np.abs(part).sum(0)
+        inverse = 1.0 / (poles - t)
+        f = 1.0 + w @ inverse
+        size = 1.0 + w @ np.abs(inverse)
         up = f > 0
         hi = np.where(up, t, hi)
         lo = np.where(up, lo, t)
-        done = (np.abs(f) <= 4 * _EPS * size) | (hi - lo <= 2 * _EPS * np.maximum(np.abs(lo), np.abs(hi)))
-        if done.all():
+        inverse *= inverse
+        slope = w @ inverse
+        # rounding of f: of its terms, and of t beside the nearest pole
+        done = (np.abs(f) <= _EPS * (8 * size + np.abs(t) * slope)) | (hi - lo <= 2 * _EPS * np.maximum(np.abs(lo), np.abs(hi)))
+        open_ = len(done) - np.count_nonzero(done)
+        if not open_:
             break
-        slope = part / diff
-        psi = np.where(below, slope, 0.0).sum(0)
-        phi = slope.sum(0) - psi
+        psi = w @ (inverse * left)
+        phi = slope - psi
         a_, b_ = pole_a - t, pole_b - t
         c = f - a_ * psi - b_ * phi
-        a = (a_ + b_) * f - a_ * b_ * (psi + phi)
+        a = (a_ + b_) * f - a_ * b_ * slope
         b = a_ * b_ * f
         root = np.sqrt(np.maximum(a * a - 4 * b * c, 0.0))
         step = np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
-        step[-1] = -f[-1] / (psi[-1] + phi[-1])
+        step = np.where(last, a_ + slope * a_ * a_ / (f - slope * a_), step)  # one pole only: it is beyond all of them
         new = t + step
         wild = ~np.isfinite(new) | (new <= lo) | (new >= hi)
         t = np.where(done, t, np.where(wild, (lo + hi) / 2, new))
-    return origin + t, delta - t
+        if 2 * open_ <= len(done):  # go on with the roots that are still sought
+            found[at] = t
+            go = np.flatnonzero(~done)
+            at, t, lo, hi, pole_a, pole_b, last, poles, left = at[go], t[go], lo[go], hi[go], pole_a[go], pole_b[go], last[go], poles[:, go], left[:, go]
+    found[at] = t
+    return origin + found, delta - found
+
+
+@lru_cache(maxsize=4096)
+def _triangle(k: int) -> np.ndarray:
+    return np.ascontiguousarray(np.tri(k).T)
 
 
 def rank_one(d: np.ndarray, u: np.ndarray, v: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,17 +138,18 @@ def rank_one(d: np.ndarray, u: np.ndarray, v: np.ndarray, rho: float) -> tuple[n
     k = len(live)
     # the weights for which the roots are exact (Loewner), so that the columns are orthogonal
     gaps = dk[:, None] - dk[None, :]
-    i, j = np.indices((k, k))
-    under = np.where(j < i, gaps, 0.0)
-    under[:, :-1] = np.where(j[:, :-1] >= i[:, :-1], gaps[:, 1:], under[:, :-1])
-    under[:, -1] = -1.0
+    under = np.full((k, k), -1.0)
+    under[:, :-1] = np.where(_triangle(k)[:, :-1] > 0, gaps[:, 1:], gaps[:, :-1])
     with np.errstate(all="ignore"):
         fit = np.sqrt(np.abs(np.prod(diff / under, axis=1)))
         columns = np.copysign(fit, zk)[:, None] / diff
         columns /= np.linalg.norm(columns, axis=0)
-    u[:, live] = u[:, live] @ columns
-    d = d.copy()
-    d[live] = roots
+    if k == len(d):
+        u, d = u @ columns, roots
+    else:
+        u[:, live] = u[:, live] @ columns
+        d = d.copy()
+        d[live] = roots
     order = np.argsort(d, kind="stable")
     return d[order], u[:, order]
 
