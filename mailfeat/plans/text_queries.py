@@ -54,6 +54,12 @@ def q_tokens_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: how often each n-gram occurs in each message; counted in the row, nothing is exchanged."""
+    long = V.doc_term_rows(_all_terms(spark, sf_dir))
+    return long.select("dataset", "msg_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
 def q_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _all_terms(spark, sf_dir)
     sizes = V.corpus_size(docs)
@@ -126,6 +132,7 @@ QUERIES = {
     "text_clean": q_text_clean,
     "text_clean_html": q_text_clean_html,
     "tokens_ngrams": q_tokens_ngrams,
+    "term_frequency": q_term_frequency,
     "document_frequency": q_document_frequency,
     "document_frequency_early": q_document_frequency_early,
     "vocab_topk": q_vocab_topk,
@@ -189,6 +196,7 @@ t AS (SELECT doc_id, count(DISTINCT term) AS n_distinct, max(cnt) AS max_tf FROM
 SELECT g.doc_id, CAST(len(g.toks) AS INTEGER) AS n_tokens, CAST(len(g.ng) AS INTEGER) AS n_ngrams,
        CAST(coalesce(t.n_distinct, 0) AS INTEGER) AS n_distinct, CAST(coalesce(t.max_tf, 0) AS BIGINT) AS max_tf
 FROM g LEFT JOIN t USING (doc_id)""",
+    "term_frequency": f"WITH {_ALL} SELECT dataset, msg_id, term, CAST(tf AS BIGINT) AS tf FROM tf",
     "document_frequency": f"WITH {_ALL} SELECT dataset, term, CAST(df AS BIGINT) AS df, CAST(tf_total AS BIGINT) AS tf_total FROM pruned",
     "vocab_topk": f"""WITH {_ALL}
 SELECT dataset, term, CAST(row_number() OVER (PARTITION BY dataset ORDER BY term) - 1 AS BIGINT) AS idx,

@@ -90,3 +90,12 @@ def test_weights_stay_in_the_row(spark, monkeypatch):
     near = entries()
     monkeypatch.setattr(M, "SCALE_ENTRIES", 0)
     assert entries() == near and all(at == sorted(at) for at, _ in near.values())
+
+
+def test_term_frequency_is_counted_in_the_row(spark):
+    from mailfeat.plans import text_queries as T
+
+    docs = V.with_terms(spark.createDataFrame([("x", "a", "win prize win"), ("x", "b", ""), ("y", "c", None)], "dataset string, msg_id string, clean string"), V.BodyParams(ngram_min=1, ngram_max=2))
+    assert {tuple(r) for r in V.doc_term_rows(docs).collect()} == {("x", "a", "win", 2), ("x", "a", "prize", 1), ("x", "a", "win prize", 1), ("x", "a", "prize win", 1)}
+    plan = T.q_term_frequency(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
