@@ -88,9 +88,9 @@ class FitStore:
         self.drop(batch)
         base = f"{self.path}/batches/{batch}"
         cols = ["dataset", F.col("msg_id").cast("string").alias("msg_id"), F.col("label").cast("int").alias("label"), "body_text"]
-        docs = V.with_terms(V.with_clean(ft.select(*cols)), self.params).select("dataset", "msg_id", "label", "terms")
-        self._write(docs, base, "terms")
-        docs = self._read(base, "terms")
+        checkpoint_dir(self.spark)
+        docs = V.with_terms(V.with_clean(ft.select(*cols)).drop("body_text").checkpoint(), self.params)
+        self._write(V.term_lists_of(docs, ["dataset", "msg_id", "label"]), base, "terms")
         self._write(V.term_stats(docs), base, "counts")
         self._write(V.corpus_size(docs), base, "sizes")
         self._write(header_moments(ft), base, "moments")

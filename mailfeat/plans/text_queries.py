@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import add_term_counts, clean_text, vector_tokens, word_ngrams
+from ..functions.text import clean_text, ngram_figures
 from ..operators import corpus as V
 from ..session import checkpoint_dir
 from ..sources.tables import all_documents, labelled_documents, table, text_table
@@ -27,7 +27,7 @@ def _labelled_terms(spark, sf_dir, params=V.BodyParams()):
 
 def _all_terms(spark, sf_dir, params=V.BodyParams()):
     """Terms of every document, labelled or not (V4, V5, V13 need no label)."""
-    return V.with_terms(V.with_clean(all_documents(spark, sf_dir)), params)
+    return V.with_terms(V.with_clean(all_documents(spark, sf_dir)).drop("body_text"), params)
 
 
 def q_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,16 +42,7 @@ def q_text_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tokens_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", clean_text(F.col("text")).alias("clean"))
-    d = d.withColumn("toks", vector_tokens(F.col("clean")))
-    d = d.withColumn("ngrams", word_ngrams(F.col("toks")))
-    d = add_term_counts(d, "ngrams")
-    return d.select(
-        "doc_id",
-        F.size("toks").alias("n_tokens"),
-        F.size("ngrams").alias("n_ngrams"),
-        F.size("terms").alias("n_distinct"),
-        F.coalesce(F.array_max(F.transform("terms", lambda x: x["tf"])), F.lit(0)).cast("long").alias("max_tf"),
-    )
+    return d.withColumn("g", ngram_figures(F.col("clean"))).select("doc_id", "g.*")
 
 
 def q_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +52,7 @@ def q_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _all_terms(spark, sf_dir)
+    docs = _stored_terms(all_documents(spark, sf_dir), V.BodyParams())
     sizes = V.corpus_size(docs)
     pr = V.pruned_stats(V.term_stats(docs), sizes, V.BodyParams())
     return pr.select("dataset", "term", F.col("df").cast("long").alias("df"),
@@ -72,14 +63,14 @@ def q_document_frequency_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_frequency with terms of one document pruned before the exchange."""
     docs = _all_terms(spark, sf_dir)
     checkpoint_dir(spark)
-    docs = docs.select("dataset", "msg_id", "label", "terms").checkpoint()
+    docs = V.term_lists_of(docs, ["dataset", "msg_id", "label"]).checkpoint()
     pr = V.frequent_stats(docs, V.corpus_size(docs), V.BodyParams(prune_early=True))
     return pr.select("dataset", "term", F.col("df").cast("long").alias("df"), F.col("tf_total").cast("long").alias("tf_total"))
 
 
 def q_vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = V.BodyParams(discriminative=False)
-    vocab = V.fit_vocabulary(_all_terms(spark, sf_dir, params), params)
+    vocab = V.fit_vocabulary(_stored_terms(all_documents(spark, sf_dir), params), params)
     return vocab.select("dataset", "term", F.col("idx").cast("long").alias("idx"),
                         F.col("df").cast("long").alias("df"))
 
