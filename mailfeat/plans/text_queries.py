@@ -54,7 +54,7 @@ def q_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _stored_terms(all_documents(spark, sf_dir), V.BodyParams())
     sizes = V.corpus_size(docs)
-    pr = V.pruned_stats(V.term_stats(docs), sizes, V.BodyParams())
+    pr = V.pruned_stats(V.term_stats(docs, min_df=V.BodyParams().min_df), sizes, V.BodyParams())
     return pr.select("dataset", "term", F.col("df").cast("long").alias("df"),
                      F.col("tf_total").cast("long").alias("tf_total"))
 
