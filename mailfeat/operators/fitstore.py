@@ -5,11 +5,11 @@ A batch (a day's messages, say) is cleaned and counted once and leaves four tabl
     moments   dataset, feature, n, mean, m2      of the 33 header features
     sizes     dataset, n_docs, n_pos, n_neg
     counts    dataset, term, df, tf_total        of every term, none pruned
-    terms     dataset, msg_id, label, terms      the counted n-grams of each message
+    texts     dataset, msg_id, label, clean      the cleaned text of each message
 
-State of any set of batches comes from sums of the first three, so no message is
-counted twice however often the state is extended; the term weights, which
-depend on the merged idf, are one pass over the stored terms.  fit of
+State of any set of batches comes from sums of the first three, so no message's n-grams
+are counted twice however often the state is extended; the term weights, which
+depend on the merged idf, are a pass over the stored texts that looks up the vocabulary's terms alone.  fit of
 A and then B equals fit of A and B together: vocabulary, df and idf exactly, means and
 scales but for the last digits of the floating point sums.
 
@@ -26,13 +26,13 @@ from ..functions.constants import ALL_HEADER_FEATURES
 from ..session import checkpoint_dir
 from . import assemble as M
 from . import corpus as V
-from .fusion import FusionState
+from .fusion import FusionState, cleaned
 
 _TABLES = {
     "moments": "dataset string, feature string, n long, mean double, m2 double",
     "sizes": "dataset string, n_docs long, n_pos long, n_neg long",
     "counts": "dataset string, term string, df long, tf_total long",
-    "terms": "dataset string, msg_id string, label int, terms array<struct<term:string,tf:bigint>>",
+    "texts": "dataset string, msg_id string, label int, clean string",
 }
 
 
@@ -87,10 +87,10 @@ class FitStore:
             raise ValueError(f"no name for a batch: {batch!r}")
         self.drop(batch)
         base = f"{self.path}/batches/{batch}"
-        cols = ["dataset", F.col("msg_id").cast("string").alias("msg_id"), F.col("label").cast("int").alias("label"), "body_text"]
+        cols = ["dataset", F.col("msg_id").cast("string").alias("msg_id"), F.col("label").cast("int").alias("label"), "clean" if "clean" in ft.columns else "body_text"]
         checkpoint_dir(self.spark)
-        docs = V.with_terms(V.with_clean(ft.select(*cols)).drop("body_text").checkpoint(), self.params)
-        self._write(V.term_lists_of(docs, ["dataset", "msg_id", "label"]), base, "terms")
+        self._write(cleaned(ft.select(*cols)), base, "texts")
+        docs = V.with_terms(self._read(base, "texts"), self.params)
         self._write(V.term_stats(docs), base, "counts")
         self._write(V.corpus_size(docs), base, "sizes")
         self._write(header_moments(ft), base, "moments")
@@ -122,8 +122,8 @@ class FitStore:
     def state(self, batches: list[str] | None = None) -> FusionState:
         """The fitted state of the batches; a dataset whose pruned vocabulary is empty is an error, as in FusionState.fit."""
         checkpoint_dir(self.spark)
-        docs, sizes = self.table("terms", batches), self.sizes(batches).checkpoint()  # sizes: one row a dataset
+        docs, sizes = V.with_terms(self.table("texts", batches), self.params), self.sizes(batches).checkpoint()  # sizes: one row a dataset
         vocab = V.fit_vocabulary(docs, self.params, sizes=sizes, stats=self.counts(batches)).checkpoint()
-        scale = M.body_scale(V.transform_long(docs, vocab, self.params), sizes).checkpoint()
+        scale = M.scale_of_sums(V.weight_sums(docs, vocab, self.params), sizes).checkpoint()
         header = stats_of_moments(merged_moments(self.table("moments", batches))).checkpoint()
         return FusionState(self.params, header, vocab, scale).complete(sizes)
