@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailfeat.operators import corpus as V
+from mailfeat.operators import forest
 from mailfeat.operators import learn as L
 from mailfeat.operators import metrics as E
 from mailfeat.operators.fusion import FusionState, NotFitted
@@ -100,3 +101,18 @@ def test_rounding_is_half_to_even(spark):
     rows = [("g", 1, int(i < 29), 0.5) for i in range(32)]
     df = spark.createDataFrame(rows, "g string, label int, pred int, score double")
     assert E.metric_bundle(df, ["g"]).first().accuracy == 0.9062
+
+
+def test_grid_grows_common_trees_once(spark, ft, monkeypatch):
+    one = ft.where("dataset = 'd1'")
+    frame = flows.vectors(one, FusionState().fit(one)).checkpoint()
+    grid = [{"num_trees": t, "max_depth": d} for t in (2, 3) for d in (3, 6)]
+    calls, grown = [], forest._grown
+    monkeypatch.setattr(forest, "_grown", lambda *a: calls.append(a) or grown(*a))
+    found = {r.point: r.f1 for r in flows.grid_search(frame, SMALL, grid, [], folds=2)[0].collect()}
+    assert len(calls) == 2  # one for each fold
+    calls.clear()
+    together = forest.fit_all
+    monkeypatch.setattr(forest, "fit_all", lambda df, col, points: [together(df, col, [s])[0] for s in points])
+    assert found == {r.point: r.f1 for r in flows.grid_search(frame, SMALL, grid, [], folds=2)[0].collect()}
+    assert len(calls) == 8
