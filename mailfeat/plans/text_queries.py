@@ -61,9 +61,8 @@ def q_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_document_frequency_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_frequency with terms of one document pruned before the exchange."""
-    docs = _all_terms(spark, sf_dir)
     checkpoint_dir(spark)
-    docs = V.term_lists_of(docs, ["dataset", "msg_id", "label"]).checkpoint()
+    docs = V.term_lists_of(_all_terms(spark, sf_dir), ["dataset", "msg_id", "label"])
     pr = V.frequent_stats(docs, V.corpus_size(docs), V.BodyParams(prune_early=True))
     return pr.select("dataset", "term", F.col("df").cast("long").alias("df"), F.col("tf_total").cast("long").alias("tf_total"))
 
